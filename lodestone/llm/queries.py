@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .secrets import find_secrets
 from .sharding import extendible_shards
 from .tables import table
 from .url_filters import PATTERN_RULES, SITE_RULES, filter_urls
@@ -18,13 +20,23 @@ def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_extendible_shards, op5_exact_dedup, op9_url_filters)}
+    op2_extendible_shards, op3_secret_scan, op5_exact_dedup, op8_bpe_round_trip, op9_url_filters)}
