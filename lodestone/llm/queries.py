@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .langid import identify_language
+from .near_dedup import near_duplicates
+from .quality import score_quality
 from .secrets import find_secrets
 from .sharding import extendible_shards
 from .tables import table
@@ -16,6 +19,10 @@ from .url_filters import PATTERN_RULES, SITE_RULES, filter_urls
 SHARD_BYTES = 1 << 20
 
 
+def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs")
 
@@ -28,6 +35,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,4 +54,4 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_extendible_shards, op3_secret_scan, op5_exact_dedup, op8_bpe_round_trip, op9_url_filters)}
+    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters)}
