@@ -13,6 +13,7 @@ from .near_dedup import near_duplicates
 from .quality import score_quality
 from .secrets import find_secrets
 from .sharding import extendible_shards
+from .substring_dedup import remove_repeats
 from .tables import table
 from .url_filters import PATTERN_RULES, SITE_RULES, filter_urls
 
@@ -53,5 +54,9 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters)}
+    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters, op10_repeated_passages)}
