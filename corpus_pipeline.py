@@ -1,12 +1,73 @@
-"""Corpus preparation as a chain of stages, each over all that the one before kept."""
+"""Corpus preparation as a chain of stages.
+
+Each stage takes every document that the one before kept, calls one operator,
+and returns the documents that it keeps, with the columns of ``documents``; the
+last returns what encoding made of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.bpe import bpe_round_trip
+from lodestone.llm.decontamination import find_leaks
+from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm.langid import UNKNOWN, identify_language
+from lodestone.llm.near_dedup import near_duplicates
+from lodestone.llm.tables import stash, table
+
+#: A text whose likeliest language has a smaller posterior is rejected.
+LEAST_SCORE = 0.35
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ``ids``; rows without one stay."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or nothing that resembles one."""
+    found = identify_language(docs)
+    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keeps the document with the largest id."""
+    return exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, keeps the document with the smallest id."""
+    return _without(docs, near_duplicates(docs).where("NOT kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of ``benchmark``."""
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    import public_tokenizers
+
+    return bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", encode),
+]
+#: Models, signatures and encodings can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,10 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: For matching across punctuation: every ASCII byte that is no letter or digit.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64: every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))
@@ -92,10 +96,10 @@ class Words:
 
     __slots__ = ("data", "offs", "start", "end", "of", "doc", "hash")
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True, separator: np.ndarray = SEPARATOR):
         n = len(data)
         self.data, self.offs = data, offs
-        word = ~SEPARATOR[data]
+        word = ~separator[data]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
         before = np.empty(n, bool)

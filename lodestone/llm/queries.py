@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .langid import identify_language
 from .near_dedup import near_duplicates
@@ -32,6 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -59,4 +64,4 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters, op10_repeated_passages)}
+    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op4_benchmark_leaks, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters, op10_repeated_passages)}
