@@ -1,14 +1,310 @@
-"""Registered queries of the retrieval operators, and SQL for the same rows."""
+"""Registered queries of the retrieval operators; the SQL for their rows is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import text as T
+from ..operators import bm25, chunking, context, evaluate, fusion, graph, guard, registry, vectors, verify
+from .oracles import ORACLES  # noqa: F401 - read by the driver's entry
+
+QUESTION = "Does Customer#000000007 work in NATION_3 or NATION_7, located in AFRICA?"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as rows of the corpus."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text")
+
+
+# ---- ingestion
+
+
+def clean_documents(spark, sf_dir):
+    text = T.clean_text(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("clean_sha256"), F.length(text).alias("n_clean"))
+
+
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk_pages(_pages(spark, sf_dir)).select("chunk_id", "document_id", "chunk_ord", "text")
+
+
+def fixed_chunks(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"))).alias("pos", "piece"))
+
+
+def document_hash_dedup(spark, sf_dir):
+    return registry.register(_table(spark, sf_dir, "documents")).select("doc_id", "file_hash")
+
+
+def quality_filter(spark, sf_dir):
+    return chunking.with_quality(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "garbled", "reason", F.round("bad_word_ratio", 6).alias("bad_word_ratio"))
+
+
+def upload_validation(spark, sf_dir):
+    suffix = F.element_at(F.array(*map(F.lit, [".pdf", ".txt", ".exe", ".MD"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("source"), suffix).alias("name"), F.octet_length("text").alias("n_bytes"))
+    return registry.validate(files)
+
+
+def index_stats(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("chunk_count", F.size(T.fixed_chunks(F.col("text"))))
+    vecs, lengths = _table(spark, sf_dir, "embeddings"), bm25.build_index(_chunks(spark, sf_dir)).lengths
+    return registry.stats(docs, vecs, lengths)
+
+
+# ---- retrieval
+
+
+def bm25_term_stats(spark, sf_dir):
+    return bm25.build_index(_chunks(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_search_batch(spark, sf_dir):
+    return bm25.search(bm25.build_index(_chunks(spark, sf_dir)), _questions(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+def vector_search_batch(spark, sf_dir):
+    vecs = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    asked = vecs.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return vectors.search(vecs, asked).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+
+
+def vector_normalize(spark, sf_dir):
+    unit = vectors.normalized(F.col("embedding"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(unit[0], 5).alias("first"), F.round(vectors.dot(unit, unit), 5).alias("norm"))
+
+
+def hashed_vector_search(spark, sf_dir):
+    return vectors.search_hashed(_chunks(spark, sf_dir), _questions(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+def _hits(spark, sf_dir) -> dict[str, DataFrame]:
+    chunks, asked = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    return fusion.retrieve_each({
+        "vector": lambda: vectors.search_hashed(chunks, asked),
+        "bm25": lambda: bm25.search(bm25.build_index(chunks), asked)})
+
+
+def compare_retrievers(spark, sf_dir):
+    return fusion.compare(_hits(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+def _flat(fused: DataFrame) -> DataFrame:
+    return fused.select("query_id", "fused_rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("retrievers", ",").alias("retrievers"),
+                        F.try_element_at("ranks", F.lit("vector")).alias("rank_vector"), F.try_element_at("ranks", F.lit("bm25")).alias("rank_bm25"), "found_by_multiple")
+
+
+def rrf_fusion(spark, sf_dir):
+    return _flat(fusion.fuse(_hits(spark, sf_dir)))
+
+
+def weighted_fusion(spark, sf_dir):
+    return _flat(fusion.fuse(_hits(spark, sf_dir), "weighted", weights={"bm25": 2.0})).drop("fused_rank")
+
+
+def _reranked(spark, sf_dir) -> DataFrame:
+    fused = fusion.fuse(_hits(spark, sf_dir)).select("query_id", "fused_rank", "chunk_id")
+    rows = fused.join(_questions(spark, sf_dir), "query_id").join(_chunks(spark, sf_dir), "chunk_id")
+    return fusion.rerank(rows, min_score=0.3)
+
+
+def rerank_threshold(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("query_id", "rank", "chunk_id", "fused_rank", "rerank_score")
+
+
+def context_build(spark, sf_dir):
+    hits = _reranked(spark, sf_dir).select("query_id", F.col("rank").alias("hit_rank"), "chunk_id", "text")
+    built = context.build_context(hits)
+    return built.select("query_id", F.size("sources").alias("n_sources"), F.sha2(F.array_join(F.transform("sources", lambda s: s["text"]), "\n\n"), 256).alias("context_sha256"), "dropped_chunks", "removed_duplicate_sentences", "is_empty")
+
+
+def sentence_split(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def context_dedup(spark, sf_dir):
+    hits = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("hit_rank"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), "text")
+    return context.distinct_sentences(hits).groupBy("query_id", "hit_rank").agg(F.count("*").alias("sentences"), F.count_if(~F.col("fresh")).alias("repeats"), F.sum("words").alias("words"))
+
+
+# ---- the graph: customers, nations and regions, with orders as the chunks
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    customer, nation, region, orders = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region", "orders"))
+    named = [customer.select(F.lit("Organization").alias("type"), F.col("c_name").alias("name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("own")),
+             nation.select(F.lit("Location").alias("type"), F.col("n_name").alias("name"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("own")),
+             region.select(F.lit("Location").alias("type"), F.col("r_name").alias("name"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("own"))]
+    nodes = named[0].unionByName(named[1]).unionByName(named[2]).withColumns({"entity_id": T.entity_id(F.col("type"), F.col("name")), "description": F.lit("")})
+    ids = nodes.select("own", "entity_id")
+    raw = customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("s"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("t"), F.lit("LOCATED_IN").alias("type")).unionByName(
+        nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("s"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("t"), F.lit("PART_OF").alias("type")))
+    edges = raw.join(ids.select(F.col("own").alias("s"), F.col("entity_id").alias("source_id")), "s").join(ids.select(F.col("own").alias("t"), F.col("entity_id").alias("target_id")), "t")
+    edges = edges.withColumn("relationship_id", T.relationship_id(F.col("source_id"), F.col("type"), F.col("target_id")))
+    told = orders.select(F.col("o_orderkey").alias("chunk_id"), F.year("o_orderdate").alias("document_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("own"), (0.7 + (F.col("o_orderkey") % 30) / 100).alias("confidence"))
+    evidence = told.join(edges.select(F.col("s").alias("own"), "relationship_id"), "own").select("relationship_id", "chunk_id", "document_id", "confidence")
+    mentions = told.join(ids, "own").select("entity_id", "chunk_id", "document_id")
+    return {"entities": nodes.select("entity_id", "name", "type", "description"), "edges": edges.select("relationship_id", "source_id", "target_id", "type"), "evidence": evidence, "mentions": mentions}
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUESTION).alias("question"))
+
+
+def entity_ids(spark, sf_dir):
+    return _graph(spark, sf_dir)["entities"].select("entity_id", "name", "type")
+
+
+def graph_seed_entities(spark, sf_dir):
+    return graph.seed_entities(_graph(spark, sf_dir)["entities"], _asked(spark))
+
+
+def graph_one_hop(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.one_hop(g["edges"], graph.seed_entities(g["entities"], _asked(spark))).select("relationship_id", "source_id", "target_id", "type")
+
+
+def graph_search(spark, sf_dir):
+    g, asked = _graph(spark, sf_dir), _asked(spark)
+    found = graph.graph_search(g["edges"], g["evidence"], g["mentions"], graph.seed_entities(g["entities"], asked), asked)
+    return found.select("rank", "chunk_id", "score", F.array_join("entities", "|").alias("entities"))
+
+
+def graph_delete_document(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    left = graph.delete_document(g["evidence"], g["mentions"], g["edges"], g["entities"], F.col("document_id") <= 1998)
+    return graph.counts(**{f"n_{name}": t for name, t in left.items()})
+
+
+def graph_counts(spark, sf_dir):
+    return graph.counts(**{f"n_{name}": t for name, t in _graph(spark, sf_dir).items()})
+
+
+def graph_upsert_evidence(spark, sf_dir):
+    """Orders of every second key arrive again with another confidence, then as new ones."""
+    e = _graph(spark, sf_dir)["evidence"]
+    old, new = e.where("chunk_id % 2 = 0"), e.withColumn("confidence", F.lit(0.5))
+    return graph.upsert_evidence(old, new).groupBy("relationship_id").agg(F.round(F.max("confidence"), 6).alias("confidence"), F.count("*").alias("n_chunks"))
+
+
+def _raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model might return for each document: its first words, some wrong."""
+    kinds = F.array(*map(F.lit, ["Person", "organization", "Animal", "Concept"]))
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.posexplode(F.slice(F.concat(words, F.array(F.lit("zzzz"))), 1, 4)).alias("pos", "name"))
+    return rows.select("chunk_id", "pos", "name", F.element_at(kinds, ((F.col("chunk_id") + F.col("pos")) % 4 + 1).cast("int")).alias("type"), F.lit("").alias("description"), "text")
+
+
+def entity_validation(spark, sf_dir):
+    return graph.validate_entities(_raw_entities(spark, sf_dir)).select("chunk_id", "pos", "name_key", "entity_type", "reason")
+
+
+def graph_merge(spark, sf_dir):
+    merged = graph.merge_entities(graph.accepted_entities(graph.validate_entities(_raw_entities(spark, sf_dir))))
+    return merged.select("entity_id", "type", "n_chunks")
+
+
+def relationship_validation(spark, sf_dir):
+    entities = graph.accepted_entities(graph.validate_entities(_raw_entities(spark, sf_dir)))
+    kinds = F.array(*map(F.lit, ["related to", "Works-For", "likes", "RELATED_TO"]))
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    raw = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.lit(0).alias("pos"), words[0].alias("source"), F.coalesce(F.get(words, 1), F.lit("")).alias("target"), F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("type"),
+        F.array_join(F.slice(words, 1, 6), " ").alias("evidence"), (0.65 + (F.col("doc_id") % 10) / 20).alias("confidence"), "text")
+    return graph.validate_relationships(raw, entities).select("chunk_id", "relation", "reason")
+
+
+# ---- guarding, verifying, evaluating
+
+
+def input_guardrail(spark, sf_dir):
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return guard.screen(asked).select("conv_id", "turn", "category", "reason", F.sha2("cleaned", 256).alias("cleaned_sha256"), F.array_join("changes", "; ").alias("changes"))
+
+
+def answer_numbers(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.numbers_in(F.col("text"))).alias("number"))
+
+
+def answer_citations(spark, sf_dir):
+    """Answers that cite sources 1 to 3 or more, of which 1 and 2 are known."""
+    answer = F.concat("text", F.lit(" ["), (F.col("turn") % 5 + 1).cast("string"), F.lit("] ."))
+    text, used, invalid = verify.check_citations(answer, F.array(F.lit(1), F.lit(2)))
+    return _table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(text, 256).alias("text_sha256"), F.array_join(used.cast("array<string>"), ",").alias("used"), F.array_join(invalid.cast("array<string>"), ",").alias("invalid"))
+
+
+def answer_check(spark, sf_dir):
+    """Assistant turns against the user turns of their conversation as sources."""
+    talk = _table(spark, sf_dir, "conversations")
+    answers = talk.where("role = 'assistant'").groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by(F.concat("text", F.lit(" It has 12 parts [1].")), "turn").alias("answer"))
+    sources = talk.where("role = 'user'").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("ref"), "text")
+    return verify.assemble(answers, verify.check_sentences(answers, sources)).drop("cleaned_answer")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    named = lambda c: F.when(c == 1, "answer").otherwise("refuse")
+    return docs.join(labels, "doc_id").select(
+        "doc_id", F.col("source").alias("run"), named(F.col("quality")).alias("expected_behavior"), named(1 - F.col("toxic")).alias("observed_behavior"),
+        F.array(F.lit("the"), F.lit("1,000"), F.lit("THAT")).alias("expected_facts"), F.col("text").alias("answer"), F.lit("SRC1").alias("expected_document"),
+        F.array().cast("array<int>").alias("expected_pages"), F.array(F.struct(F.col("source").alias("document_name"), F.lit(1).alias("page_number"))).alias("cited"))
+
+
+METRICS = ["behavior_correct", "source_hit", "key_facts"]
+
+
+def eval_scores(spark, sf_dir):
+    return evaluate.score_cases(_cases(spark, sf_dir)).select("doc_id", *METRICS)
+
+
+def eval_summary(spark, sf_dir):
+    return evaluate.summarize(evaluate.score_cases(_cases(spark, sf_dir)).select(*METRICS), METRICS)
+
+
+def eval_by_behavior(spark, sf_dir):
+    return evaluate.by_behavior(evaluate.score_cases(_cases(spark, sf_dir)))
+
+
+def eval_compare(spark, sf_dir):
+    scored = evaluate.score_cases(_cases(spark, sf_dir)).select("run", *METRICS)
+    return evaluate.compare_runs(evaluate.summarize(scored, METRICS, ["run"]), METRICS)
+
+
+def relevance_buckets(spark, sf_dir):
+    score = F.when(F.col("n_chars") > 9000, None).otherwise(F.round(F.col("n_chars") / 9000, 2))
+    return _table(spark, sf_dir, "documents").select("doc_id", evaluate.relevance_label(score).alias("relevance"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid search over overlapping chunks: BM25 and vector lists, fused."""
+    chunks = chunking.chunk_pages(_pages(spark, sf_dir))
+    asked = _questions(spark, sf_dir)
+    fused = fusion.fuse({"vector": vectors.search_hashed(chunks, asked), "bm25": bm25.search(bm25.build_index(chunks), asked)})
+    return _flat(fused)
+
+
+def hybrid_search(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    clean_documents, chunk_documents, fixed_chunks, document_hash_dedup, quality_filter, upload_validation, index_stats,
+    bm25_term_stats, bm25_search_batch, vector_search_batch, vector_normalize, hashed_vector_search, compare_retrievers, rrf_fusion, weighted_fusion,
+    rerank_threshold, context_build, sentence_split, context_dedup, hybrid_search,
+    entity_ids, graph_seed_entities, graph_one_hop, graph_search, graph_delete_document, graph_counts, graph_upsert_evidence, entity_validation, graph_merge, relationship_validation,
+    input_guardrail, answer_numbers, answer_citations, answer_check, eval_scores, eval_summary, eval_by_behavior, eval_compare, relevance_buckets)}
