@@ -29,7 +29,7 @@ from .bytewords import pieces
 
 #: What the engine of the vocabulary's patterns takes as white space.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_MEMORY = 200_000
+_MEMORY = 120_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -77,7 +77,7 @@ class WordBpe:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, offsets by word)."""
-        lengths = np.array([len(w) for w in words])
+        lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[data]
         ends = np.cumsum(lengths)

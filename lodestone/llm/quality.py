@@ -90,8 +90,10 @@ class QualityModel:
 
 def fit(sample: list[tuple[str, object]], dim: int = 8, epochs: int = 4, rate: float = 0.5, batch: int = 32, seed: int = 7) -> QualityModel:
     """Train on (text, 0 or 1) pairs.  Classes weigh alike, whatever their share."""
-    rng = np.random.default_rng(seed)
     buckets = 1 << BUCKET_BITS
+    if not sample:
+        return QualityModel(np.zeros((FAMILIES, buckets), np.float32), 0.0)
+    rng = np.random.default_rng(seed)
     vectors = (rng.random((FAMILIES, buckets, dim)) - 0.5) / dim
     layer = rng.normal(0, 1, (dim, 2))
     bias = np.zeros(2)
@@ -104,9 +106,9 @@ def fit(sample: list[tuple[str, object]], dim: int = 8, epochs: int = 4, rate: f
             ids, count = np.unique(bucket, return_counts=True)
             own.append((ids, count / max(1, len(bucket))))
         docs.append((own, int(label)))
-    share = np.bincount([y for _, y in docs], minlength=2).astype(float) if docs else np.ones(2)
+    share = np.bincount([y for _, y in docs], minlength=2).astype(float)
     weight = share.sum() / (2 * np.maximum(share, 1))
-    for epoch in range(epochs if docs else 0):
+    for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             own = [docs[i] for i in order[lo : lo + batch]]
