@@ -10,11 +10,13 @@ shares a key.  (At a similarity of 0.75, a pair above that distance still shares
 one but for a chance of about 1e-6.)
 
 Documents with equal sets are one class from the start.  Within a key's group,
-pairs are formed with two members only, the first and the last; after their
-links are confirmed and joined to components, only members that are in different
-components and haven't led yet are left, and the next two lead.  So a group of
-copies costs pairs in proportion to its size, and no pair of different
-components that shares a key goes unchecked.
+pairs are first formed with two members only, the smallest and the largest id,
+ROUNDS times, each with the next two of members that confirmed links haven't yet
+joined: a group of copies costs pairs in proportion to its size.  Where members
+are in different components after that, blocks of at most BLOCK of them meet in
+one task with the lower half of their shingles' bits: pairs of different
+components under a distance that holds nearly all similar ones (LOOSE) compare
+these sets there, and only pairs that are similar up to SLACK shingles go on.
 
 Every link is confirmed on the full sets.
 """
@@ -34,7 +36,9 @@ from .tables import stash
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 14, 5, 1, 16
+LOOSE = 36  # of 70 symbols; a similarity of 0.75 exceeds it with a chance of about 1e-6
 PERCENT = 75
+ROUNDS, BLOCK, SLACK = 2, 1024, 2
 _U = np.uint64
 _FACTORS = mix64(np.arange(1, CHUNKS * WIDTH + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
 _SALTS = mix64(np.arange(1, CHUNKS * WIDTH + 1, dtype=_U) * _U(0x9FB21C651E98DF25))
@@ -60,12 +64,12 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[new], np.searchsorted(doc[new], np.arange(len(offs)))
 
 
-def signatures(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of documents with a set, 128 bits that identify each set, keys)."""
+def signatures(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of documents with a set, 128 bits that identify each set, keys, symbols)."""
     rows = np.flatnonzero(np.diff(of))
     first = of[:-1][rows]
     if not len(rows):
-        return rows, np.zeros((0, 2), np.int64), np.zeros((0, CHUNKS * WIDTH), np.int64)
+        return rows, np.zeros((0, 2), np.int64), np.zeros((0, CHUNKS * WIDTH), np.int64), np.zeros((0, CHUNKS * WIDTH), np.uint16)
     identity = np.column_stack([np.add.reduceat(mix64(h), first), np.add.reduceat(mix64(h * _U(3) + _U(1)), first)])
     symbols = np.empty((len(rows), CHUNKS * WIDTH), _U)
     for j, factor in enumerate(_FACTORS):
@@ -79,13 +83,13 @@ def signatures(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             if k != j:
                 packed = (packed << _U(BITS)) | symbols[:, k]
         keys[:, j] = mix64(packed ^ _SALTS[j])
-    return rows, identity.view(np.int64), keys.view(np.int64)
+    return rows, identity.view(np.int64), keys.view(np.int64), symbols.astype(np.uint16)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offs in pieces(batches, "text"):
         h, of = shingle_sets(data, offs)
-        rows, identity, keys = signatures(h, of)
+        rows, identity, keys, _ = signatures(h, of)
         n = len(offs) - 1
         s1, s2, has = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         s1[rows], s2[rows], has[rows] = identity[:, 0], identity[:, 1], CHUNKS * WIDTH
@@ -106,6 +110,103 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _first_slot(equal: np.ndarray) -> np.ndarray:
+    """For pairs (rows) by equality of their symbols: the first key that they share."""
+    by_chunk = equal.reshape(len(equal), CHUNKS, WIDTH)
+    enough = by_chunk.sum(axis=2) >= WIDTH - ERRORS
+    chunk = enough.argmax(axis=1)
+    own = by_chunk[np.arange(len(equal)), chunk]
+    return chunk * WIDTH + np.where(own.all(axis=1), 0, (~own).argmax(axis=1))
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """(begin, end) of the runs of equal values in x."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return ([0, *cuts.tolist()], [*cuts.tolist(), len(x)]) if len(x) else ([], [])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symbols, and the lower 32 bits of the shingles, sorted, of texts with a set."""
+    for batch, data, offs in pieces(batches, "text"):
+        h, of = shingle_sets(data, offs)
+        rows, _, _, symbols = signatures(h, of)
+        low = [np.sort(h[of[k] : of[k + 1]].astype(np.uint32)).tobytes() for k in rows.tolist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([s.tobytes() for s in symbols], pa.binary()), pa.array(low, pa.binary())], ["id", "symbols", "hashes"])
+
+
+def _compare():
+    """Blocks of key groups (sorted by group) to pairs of different components
+    with near signatures.  A pair comes from the first key that it shares."""
+
+    def alike(sets: list[np.ndarray], row: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others are similar to the row, up to SLACK."""
+        own, sizes = sets[row], np.array([len(sets[k]) for k in others])
+        merged = np.concatenate([sets[k] for k in others])
+        hit = own[np.minimum(np.searchsorted(own, merged), len(own) - 1)] == merged
+        both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64) + SLACK
+        return 100 * both >= PERCENT * (len(own) + sizes - both)
+
+    def group(part: pa.Table) -> tuple[list[int], list[int]]:
+        c, side = part["c"].to_numpy(), part["side"].to_numpy()
+        sets = [np.frombuffer(h, np.uint32) for h in part["hashes"].to_pylist()]
+        slot = part["slot"][0].as_py()
+        symbols = np.frombuffer(b"".join(part["symbols"].to_pylist()), np.uint16).reshape(len(c), -1)
+        diagonal = side[0] == 2
+        left = np.flatnonzero(side != 1)
+        right = left if diagonal else np.flatnonzero(side == 1)
+        out_a, out_b = [], []
+        for lo in range(0, len(left), 256):
+            rows = left[lo : lo + 256]
+            same = np.zeros((len(rows), len(right)), np.uint8)
+            for k in range(symbols.shape[1]):
+                same += symbols[rows, k][:, None] == symbols[right, k][None]
+            x, y = np.nonzero((same >= symbols.shape[1] - LOOSE) & (c[rows][:, None] != c[right][None]))
+            if diagonal:
+                up = rows[x] < right[y]
+                x, y = x[up], y[up]
+            first = _first_slot(symbols[rows[x]] == symbols[right[y]]) == slot
+            x, y = rows[x][first], right[y][first]
+            for lo_x, hi_x in zip(*_runs(x), strict=True):
+                others = y[lo_x:hi_x]
+                others = others[alike(sets, int(x[lo_x]), others)]
+                out_a += [int(x[lo_x])] * len(others)
+                out_b += others.tolist()
+        return out_a, out_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            g = t["g"].to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                part = t.slice(lo, hi - lo)
+                x, y = group(part)
+                if x:
+                    ids = part["id"].combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last group of a batch may go on in the next.
+            g = batch.column(batch.schema.get_field_index("g")).to_numpy()
+            last = int(np.flatnonzero(g == g[-1])[0])
+            if held and g[0] == g[-1] == held[-1].column(0)[-1].as_py():
+                held.append(batch)
+                continue
+            t = pa.Table.from_batches([*held, batch.slice(0, last)]) if held or last else None
+            if held and last == 0 and g[0] == held[-1].column(0)[-1].as_py():
+                held.append(batch)
+                continue
+            if t is not None and t.num_rows:
+                yield from compared(t)
+            held = [batch.slice(last)]
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     by_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -115,6 +216,22 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_confirm, f"a {id_type}, b {id_type}")
 
 
+def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among each key's members."""
+    id_type = texts.schema["id"].dataType.simpleString()
+    size = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    blocks = stash(size.where("c_lo <> c_hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-keys")
+    dealt = stash(rest.join(blocks, "key"), "open-members")
+    sets = stash(texts.join(dealt.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, f"id {id_type}, symbols binary, hashes binary"), "open-sets")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks i and j meet once: rows of the lower one are side 0, of the higher one side 1; 2 is a block with itself.
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "slot", "id", "c", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    rows = dealt.join(sets, "id").select("g", "slot", "id", "c", "side", "symbols", "hashes")
+    found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(), f"x {id_type}, y {id_type}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs``.
 
@@ -131,33 +248,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where("id IS NOT NULL AND n > 0")
     # Classes of equal sets; only those of more than one document need a table.
     equal = stash(named.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep <> other").drop("other"), "equal-sets")
-    members = named.select("id", "n", "s1", "s2").join(equal, ["s1", "s2", "n"]).select("id", "rep")
-    follower = members.where("id <> rep").select("id").distinct()
-    reps = named.join(follower, "id", "left_anti")
-    keyed = reps.select("id", F.explode("keys").alias("key"))
+    members = stash(named.select("id", "n", "s1", "s2").join(equal, ["s1", "s2", "n"]).select("id", "rep").distinct(), "equal-members")
+    reps = named.join(members.where("id <> rep").select("id").distinct(), "id", "left_anti")
+    keyed = reps.select("id", F.posexplode("keys").alias("slot", "key"))
     shared = stash(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), "shared-keys")
-    groups = stash(keyed.join(shared, "key").select("key", "id", "lo", "hi"), "key-groups")
+    rest = stash(keyed.join(shared, "key").select("key", "slot", "id", F.col("id").alias("c"), "lo", "hi"), "key-groups")
     texts = texts.where("id IS NOT NULL")
-    links, checked, left = None, None, groups.withColumns({"c": F.col("id")})
-    while True:
-        # Every member with the two that lead.
-        pairs = left.select("c", "id", F.explode(F.array("lo", "hi")).alias("lead"))
-        pairs = pairs.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    links, checked, components = None, None, None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:  # every member with the two that lead
+            pairs = rest.select("id", F.explode(F.array("lo", "hi")).alias("lead")).where("id <> lead")
+            pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        else:
+            pairs = _rest_pairs(rest.select("key", "slot", "id", "c"), texts)
         pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
         found = stash(_links(pairs, texts), "confirmed")
         links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        components = stash(connected_components(links), "components")
-        # Members that led are through; a group is, once the rest are in one component.
-        rest = left.where("id <> lo AND id <> hi").drop("c", "lo", "hi").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        rest = stash(rest, "rest")
-        ends = rest.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo <> c_hi")
-        open_groups = rest.join(stash(ends, "open-keys"), "key")
-        led = open_groups.groupBy("key").agg(F.min(F.when(F.col("c") == F.col("c_lo"), F.col("id"))).alias("lo"), F.min(F.when(F.col("c") == F.col("c_hi"), F.col("id"))).alias("hi"))
-        left = stash(open_groups.join(stash(led, "leads"), "key").select("key", "id", "c", "lo", "hi"), "open-groups")
-        if left.isEmpty():
+        components = connected_components(links)
+        if turn == ROUNDS:
             break
-    rep_of = signed.select("id", "n").join(stash(members.distinct(), "members"), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = rep_of.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        components = stash(components, "components")
+        # Members that led are through; a group is, once the rest are in one component.
+        left = rest.where("id <> lo AND id <> hi").select("key", "slot", "id").join(components, "id", "left").select("key", "slot", "id", F.coalesce("component", "id").alias("c"))
+        left = stash(left, "rest")
+        leads = stash(left.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c_lo <> c_hi").drop("c_lo", "c_hi"), "leads")
+        rest = stash(left.join(leads, "key"), "open-groups")
+        links = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    rep_of = signed.select("id", "n").join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = rep_of.join(stash(components, "components").select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
