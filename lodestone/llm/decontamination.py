@@ -9,9 +9,9 @@
    solved on the driver (Nystrom form).
 3. Passages and items are projected; an item is a candidate for a passage whose
    projection has at least SHARE of the item's own, at a cosine of COSINE.
-4. A candidate counts if the longest common subsequence of content words has
-   most of the item's, or somewhat fewer but also the item's answer (its last
-   words), which catches paraphrases.
+4. A candidate counts if, in a span half as long again as the item, the longest
+   common subsequence of words has most of the item's, or somewhat fewer but also
+   the item's answer (its last words), which catches paraphrases.
 
 A passage is SPAN cells of CELL words; it begins at every cell of a document.
 """
@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from .bytewords import PUNCTUATION, Words, pieces
 
 CELL, SPAN, SEGMENT = 16, 4, 48
-RANK, EXTRA = 128, 16
+RANK, EXTRA = 48, 8
 SHARE, COSINE = 0.4, 0.25
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
-COMMON = 0.05  # words in more of the cells carry no weight
+SHORT = 8  # items of fewer words must be there whole and in one piece
+COMMON = 0.01  # words in more of the cells carry no weight
 MAX_ITEMS, MAX_BYTES = 50_000, 1 << 27
 BLOCK = 64  # words whose sums travel in one row
 
@@ -69,10 +70,13 @@ class Passages:
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray):
         w = Words(data, offs, lower=True, separator=PUNCTUATION)
         self.words = w
-        per_doc = -(-np.diff(w.of) // CELL)
+        # SPAN - 1 empty cells behind each document keep passages from reaching the next.
+        own = -(-np.diff(w.of) // CELL)
+        per_doc = own + SPAN - 1
         self.first_cell = np.concatenate([[0], np.cumsum(per_doc)])
-        self.n_cells = int(self.first_cell[-1])
+        self.n_cells, self.n_own = int(self.first_cell[-1]), int(own.sum())
         self.doc_of_cell = np.repeat(np.arange(len(per_doc)), per_doc)
+        self.padding = np.arange(self.n_cells) - self.first_cell[self.doc_of_cell] >= own[self.doc_of_cell]
         self.at, self.number = vocabulary.find(w.hash)
         doc = w.doc[self.at]
         cell = self.first_cell[doc] + (self.at - w.of[doc]) // CELL
@@ -84,28 +88,24 @@ class Passages:
         """Sums over the SPAN cells of a document from each one on."""
         out = by_cell.copy()
         for k in range(1, SPAN):
-            if self.n_cells > k:
-                same = self.doc_of_cell[k:] == self.doc_of_cell[:-k]
-                out[:-k][same] += by_cell[k:][same]
+            out[:-k] += by_cell[k:]
+        out[self.padding] = 0
         return out
 
     def spans_back(self, by_span: np.ndarray) -> np.ndarray:
         """For each cell the sum over the passages that it's in."""
         out = by_span.copy()
         for k in range(1, SPAN):
-            if self.n_cells > k:
-                same = self.doc_of_cell[k:] == self.doc_of_cell[:-k]
-                out[k:][same] += by_span[:-k][same]
+            out[k:] += by_span[:-k]
         return out
 
 
-def _sum_by(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` summed by ``keys`` (sorted or not) into n rows."""
+def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` summed by ``keys``, which are sorted, into n rows."""
     out = np.zeros((n, *values.shape[1:]), np.float32)
     if len(keys):
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) > 0]))
-        out[keys[order][first]] = np.add.reduceat(values[order], first, axis=0)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        out[keys[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
@@ -153,7 +153,7 @@ def _frequencies(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
         for _, data, offs in pieces(batches, "text"):
             p = Passages(vocabulary.value, data, offs)
             own += np.bincount(p.word, minlength=len(own))
-            cells += p.n_cells
+            cells += p.n_own
         seen = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(own[seen], cells))], ["word", "n"])
 
@@ -168,13 +168,12 @@ def _frequencies(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
 
 
 def _weights(df: np.ndarray, cells: int, items: Benchmark) -> np.ndarray:
-    """IDF; words in many cells get none, but for items that have few others."""
+    """IDF; words in many cells get none, but for the rarest half of each item's."""
     idf = np.log1p(max(cells, 1) / np.maximum(df, 1)).astype(np.float32)
     content = df <= COMMON * cells
     for w in items.words:
-        if content[np.unique(w)].sum() < 4:
-            content = content.copy()
-            content[w] = True
+        own = np.unique(w)
+        content[own[np.argsort(df[own], kind="stable")[: max(8, len(own) // 2)]]] = True
     return np.where(content, idf, 0).astype(np.float32)
 
 
@@ -183,6 +182,7 @@ def _sketch(texts: DataFrame, vocabulary, weights, omega) -> tuple[np.ndarray, f
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, idf, w = vocabulary.value, weights.value, omega.value
+        lift, square = w * idf[:, None], idf**2
         total, norm = np.zeros((len(idf), w.shape[1]), np.float32), 0.0
         for _, data, offs in pieces(batches, "text"):
             p = Passages(v, data, offs)
@@ -190,12 +190,14 @@ def _sketch(texts: DataFrame, vocabulary, weights, omega) -> tuple[np.ndarray, f
             word, cell = p.word[use], p.cell[use]
             if not len(word):
                 continue
-            size = np.sqrt(p.spans(_sum_by(cell, idf[word][:, None] ** 2, p.n_cells)))
-            scale = 1 / np.maximum(size, 1e-6)
+            size = p.spans(_sums(cell, square[word], p.n_cells))  # squared lengths
             norm += float((size > 0).sum())
-            y = p.spans(_sum_by(cell, w[word] * idf[word][:, None], p.n_cells)) * scale**2
+            y = p.spans(_sums(cell, lift[word], p.n_cells))
+            y /= np.maximum(size, 1e-12)[:, None]
             g = p.spans_back(y)
-            total += _sum_by(word, g[cell] * idf[word][:, None], len(idf))
+            order = np.argsort(word, kind="stable")
+            total += _sums(word[order], g[cell[order]], len(idf))
+        total *= idf[:, None]
         blocks = range(0, len(idf), BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in blocks] + [-1], pa.int64()), pa.array([total[b : b + BLOCK].tobytes() for b in blocks] + [np.float32([norm]).tobytes()], pa.binary())], ["block", "sums"])
 
@@ -224,7 +226,7 @@ def _basis(sums: np.ndarray, omega: np.ndarray) -> np.ndarray:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 5) -> DataFrame:
-    """doc_id, item_id, cosine, lcs (share of the item's content words) and
+    """doc_id, item_id, cosine, lcs (share of the item's words) and
     answer (share of its last ones), a row for each document and item that it
     leaks.
 
@@ -257,12 +259,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lift, targets, owner, known, content = model.value
         sizes = np.linalg.norm(targets, axis=1)
-        sequences = [w[content[w]].tolist() for w in known.words]
+        sequences = [w.tolist() for w in known.words]
         item_type_pa = pa.array(known.ids).type
         for batch, data, offs in pieces(batches, "text"):
             p = Passages(vocabulary.value, data, offs)
             use = content[p.word]
-            spans = p.spans(_sum_by(p.cell[use], lift[p.word[use]], p.n_cells))
+            spans = p.spans(_sums(p.cell[use], lift[p.word[use]], p.n_cells))
             size = np.linalg.norm(spans, axis=1)
             # A projection shorter than that can't have the share of any item.
             far = np.flatnonzero(size >= SHARE * sizes.min())
@@ -274,24 +276,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 for r, s in zip(*np.nonzero(hit), strict=True):
                     cell = int(own[r])
                     candidates.setdefault((int(p.doc_of_cell[cell]), int(owner[s])), []).append((float(dots[r, s] / (size[cell] * sizes[s])), cell))
-            inside = content[p.number]
-            at, number = p.at[inside], p.number[inside]
+            at, number = p.at, p.number
             out: list[tuple[int, int, float, float, float]] = []
             for (doc, item), cells_of in candidates.items():
                 sequence = sequences[item]
                 tail = sequence[-max(2, len(sequence) // 4) :]
-                reach = len(known.words[item])
+                reach = len(sequence)
+                step = reach // 4 if reach >= SHORT else 1
                 best = (0.0, 0.0, 0.0)
-                for cosine, cell in sorted(cells_of, reverse=True):
+                # Spans a little longer than the item: scattered words of a longer text are no copy.
+                width, begins = (reach + reach // 2 if reach >= SHORT else reach), {}
+                for cosine, cell in sorted(cells_of):
                     begin = int(p.words.of[doc]) + (cell - int(p.first_cell[doc])) * CELL
-                    lo, hi = np.searchsorted(at, [max(begin - reach, p.words.of[doc]), min(begin + SPAN * CELL + reach, p.words.of[doc + 1])])
+                    for k in range((begin - reach) // step, (begin + SPAN * CELL) // step + 1):
+                        begins[k * step] = cosine
+                for begin, cosine in sorted(begins.items()):
+                    lo, hi = np.searchsorted(at, [max(begin, p.words.of[doc]), min(begin + width, p.words.of[doc + 1])])
+                    if hi - lo < PARAPHRASE * len(sequence):
+                        continue
                     part = number[lo:hi].tolist()
                     lcs, answer = longest_common(sequence, part) / len(sequence), longest_common(tail, part) / len(tail)
                     best = max(best, (lcs, answer, cosine))
-                    if lcs >= COPY:
+                    if lcs == 1:
                         break
                 lcs, answer, cosine = best
-                if lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER:
+                if lcs == 1 or reach >= SHORT and (lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER):
                     out.append((doc, item, cosine, lcs, answer))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array([known.ids[k] for k in columns[1]], item_type_pa), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
