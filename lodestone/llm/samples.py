@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_LABELS = 500
+_RANGE = 1 << 20
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the quarter of ids that no model may learn from."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -19,14 +23,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     aren't held out, with whole texts of at most ``max_bytes`` bytes: the first
     in the order of a hash of the id.
 
-    ``labels`` has the id and the label column.  The ids are chosen before any
-    text moves; rank limits are applied within each task first, so a label that
-    nearly all rows have isn't gathered in one."""
+    ``labels`` has the id and the label column, with at most MAX_LABELS labels.
+    The ids are chosen before any text moves, and by a share of the hash's range
+    that each label's count gives, so that a label which nearly all rows have
+    doesn't come together in one task."""
     pick = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label).alias("__label"))
-    # Long texts are left out before ranking, so that the sample is full.
+    # Long texts are left out before choosing, so that the sample is full.
     short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= max_bytes).select(F.col(id_col).alias("__id"))
-    by = Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id")
-    ids = pick.join(short, "__id", "left_semi").withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= per_label).drop("__rank")
+    pick = pick.join(short, "__id", "left_semi")
+    counts = pick.groupBy("__label").count().limit(MAX_LABELS + 1).collect()
+    if not counts:
+        return []
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    share = F.pmod(F.xxhash64("__id"), F.lit(_RANGE)) / _RANGE
+    most = F.create_map(*[F.lit(x) for r in counts for x in (r["__label"], (2 * per_label + 20) / r["count"])])
+    by = Window.partitionBy("__label").orderBy(share, "__id")
+    ids = pick.where(share <= F.element_at(most, F.col("__label"))).withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= per_label).drop("__rank")
     text = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     rows = text.join(F.broadcast(ids), "__id").select("__text", "__label", "__id").collect()
     return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[2], r[0]))]
