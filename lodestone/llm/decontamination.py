@@ -9,6 +9,9 @@
    solved on the driver (Nystrom form).
 3. Passages and items are projected; an item is a candidate for a passage whose
    projection has at least SHARE of the item's own, at a cosine of COSINE.
+   As a small space has no room for every item, an item is also a candidate
+   wherever one of its anchors occurs: so many of its rarest words that a span
+   without any of them can't match it.  So no match is lost, whatever the space.
 4. A candidate counts if, in a span half as long again as the item, the longest
    common subsequence of words has most of the item's, or somewhat fewer but also
    the item's answer (its last words), which catches paraphrases.
@@ -35,6 +38,7 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 SHORT = 8  # items of fewer words must be there whole and in one piece
 COMMON = 0.01  # words in more of the cells carry no weight
 MAX_ITEMS, MAX_BYTES = 50_000, 1 << 27
+CANDIDATES, AROUND = 1 << 18, 1 << 21  # anchors, and words around them, looked at together
 BLOCK = 64  # words whose sums travel in one row
 
 
@@ -132,6 +136,104 @@ class Benchmark:
         return [(k, w[lo : lo + SEGMENT]) for k, w in enumerate(self.words) for lo in range(0, len(w), SEGMENT) if lo == 0 or len(w) - lo >= SEGMENT // 3]
 
 
+def _least(n: int, share: float) -> int:
+    """The smallest count that is at least ``share`` of n."""
+    return next(c for c in range(max(0, int(share * n) - 1), n + 1) if c / n >= share)
+
+
+def _tail(w):
+    """The last words of an item, its answer."""
+    return w[-max(2, len(w) // 4) :]
+
+
+def _rarest(w: np.ndarray, df: np.ndarray, need: int) -> np.ndarray:
+    """Words of which any ``need`` places of ``w`` hold one."""
+    return np.unique(w[np.argsort(df[w], kind="stable")[: len(w) - need + 1]])
+
+
+def _needs(items: Benchmark) -> np.ndarray:
+    """The shortest common subsequence that can count, by item."""
+    return np.array([len(w) if len(w) < SHORT else _least(len(w), min(PARAPHRASE, COPY)) for w in items.words])
+
+
+def _anchors(df: np.ndarray, items: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds by word, items) of the anchors: every span that matches an item
+    holds one of its anchors."""
+    words = []
+    for w, need in zip(items.words, _needs(items).tolist(), strict=True):
+        own = _rarest(w, df, need)
+        if len(w) >= SHORT:  # a copy, or the answer of a paraphrase
+            both = np.union1d(_rarest(w, df, _least(len(w), COPY)), _rarest(_tail(w), df, _least(len(_tail(w)), ANSWER)))
+            own = min(own, both, key=lambda x: df[x].sum())
+        words.append(own)
+    word, item = np.concatenate(words), np.repeat(np.arange(len(words)), [len(x) for x in words])
+    return np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(df)))]), item[np.argsort(word, kind="stable")]
+
+
+class Near:
+    """Finds where an item may be, by anchors and by how many of its words are around."""
+
+    def __init__(self, df: np.ndarray, items: Benchmark):
+        self.bounds, self.items = _anchors(df, items)
+        self.needs, self.size = _needs(items), len(df)
+        keys = [np.unique(w, return_counts=True) for w in items.words]
+        self.keys = np.concatenate([k * self.size + w for k, (w, _) in enumerate(keys)])  # sorted
+        self.times = np.concatenate([n for _, n in keys])
+        self.widths = np.array([_width(len(w)) for w in items.words])
+
+    def places(self, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+        """(items, word positions) of the anchors around which as many of the
+        item's words are found as a match has."""
+        n = (self.bounds[1:] - self.bounds[:-1])[p.number]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + CANDIDATES, "right")))
+            at = np.repeat(np.arange(lo, hi), n[lo:hi])
+            item = self.items[self.bounds[p.number[at]] + np.arange(len(at)) - (ends[at] - n[at] - done)]
+            found += self._kept(p, item, p.at[at])
+            lo = hi
+        items, places = zip(*found, strict=True)
+        return np.concatenate(items), np.concatenate(places)
+
+    def _kept(self, p: Passages, item: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        doc, width = p.words.doc[x], self.widths[item]
+        first = np.searchsorted(p.at, np.maximum(x - width + 1, p.words.of[doc]))
+        count = np.searchsorted(p.at, np.minimum(x + width, p.words.of[doc + 1])) - first
+        enough = np.flatnonzero(count >= self.needs[item])
+        ends = np.cumsum(count[enough])
+        lo = 0
+        while lo < len(enough):
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + AROUND, "right")))
+            own = enough[lo:hi]
+            lo = hi
+            which = np.repeat(np.arange(len(own)), count[own])
+            around = np.arange(len(which)) + np.repeat(first[own] - np.cumsum(count[own]) + count[own], count[own])
+            key = item[own][which] * self.size + p.number[around]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            which, k = which[hit], k[hit]
+            fits = np.bincount(which, minlength=len(own)) >= self.needs[item[own]]
+            use = fits[which]
+            pair = np.unique(which[use] * len(self.keys) + k[use])
+            places = np.bincount(pair // len(self.keys), self.times[pair % len(self.keys)], len(own))
+            own = own[places >= self.needs[item[own]]]
+            yield item[own], x[own]
+
+
+def _width(n: int) -> int:
+    """Spans a little longer than an item of n words: scattered words of a longer text are no copy."""
+    return n + n // 2 if n >= SHORT else n
+
+
+def _step(n: int) -> int:
+    """From the begin of one span to the next's."""
+    return n // 4 if n >= SHORT else 1
+
+
 def _read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[Vocabulary, Benchmark]:
     known = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col)
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
@@ -254,10 +356,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
     sums = sums + max(norm, 1.0) / len(segments) * (unit.T @ (unit @ omega))
     basis = _basis(sums, omega)
-    model = spark.sparkContext.broadcast((basis * idf[:, None], rows @ basis, np.array([k for k, _ in segments]), items, idf > 0))
+    model = spark.sparkContext.broadcast((basis * idf[:, None], rows @ basis, np.array([k for k, _ in segments]), items, idf > 0, Near(df, items)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lift, targets, owner, known, content = model.value
+        lift, targets, owner, known, content, near = model.value
         sizes = np.linalg.norm(targets, axis=1)
         sequences = [w.tolist() for w in known.words]
         item_type_pa = pa.array(known.ids).type
@@ -268,40 +370,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             size = np.linalg.norm(spans, axis=1)
             # A projection shorter than that can't have the share of any item.
             far = np.flatnonzero(size >= SHARE * sizes.min())
-            candidates: dict[tuple[int, int], list[tuple[float, int]]] = {}
+            # Words of the document where spans that may match begin.
+            candidates: dict[tuple[int, int], set[int]] = {}
             for lo in range(0, len(far), 4096):
                 own = far[lo : lo + 4096]
                 dots = spans[own] @ targets.T
                 hit = (dots >= SHARE * sizes**2) & (dots >= COSINE * size[own][:, None] * sizes) & (sizes > 0)
-                for r, s in zip(*np.nonzero(hit), strict=True):
-                    cell = int(own[r])
-                    candidates.setdefault((int(p.doc_of_cell[cell]), int(owner[s])), []).append((float(dots[r, s] / (size[cell] * sizes[s])), cell))
+                for r, s in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                    doc, item = int(p.doc_of_cell[own[r]]), int(owner[s])
+                    begin, reach = (int(own[r]) - int(p.first_cell[doc])) * CELL, len(sequences[item])
+                    step = _step(reach)
+                    candidates.setdefault((doc, item), set()).update(range(max(0, (begin - reach) // step) * step, begin + SPAN * CELL + 1, step))
+            for item, x in zip(*(x.tolist() for x in near.places(p)), strict=True):
+                doc, reach = int(p.words.doc[x]), len(sequences[item])
+                x -= int(p.words.of[doc])
+                step = _step(reach)
+                candidates.setdefault((doc, item), set()).update(range(max(0, (x - _width(reach)) // step + 1) * step, x + 1, step))
             at, number = p.at, p.number
             out: list[tuple[int, int, float, float, float]] = []
-            for (doc, item), cells_of in candidates.items():
+            for (doc, item), begins in candidates.items():
                 sequence = sequences[item]
-                tail = sequence[-max(2, len(sequence) // 4) :]
+                tail = _tail(sequence)
                 reach = len(sequence)
-                step = reach // 4 if reach >= SHORT else 1
-                best = (0.0, 0.0, 0.0)
-                # Spans a little longer than the item: scattered words of a longer text are no copy.
-                width, begins = (reach + reach // 2 if reach >= SHORT else reach), {}
-                for cosine, cell in sorted(cells_of):
-                    begin = int(p.words.of[doc]) + (cell - int(p.first_cell[doc])) * CELL
-                    for k in range((begin - reach) // step, (begin + SPAN * CELL) // step + 1):
-                        begins[k * step] = cosine
-                for begin, cosine in sorted(begins.items()):
-                    lo, hi = np.searchsorted(at, [max(begin, p.words.of[doc]), min(begin + width, p.words.of[doc + 1])])
-                    if hi - lo < PARAPHRASE * len(sequence):
+                best = (0.0, 0.0, 0)
+                width, of = _width(reach), int(p.words.of[doc])
+                for begin in sorted(begins):
+                    lo, hi = np.searchsorted(at, [of + begin, min(of + begin + width, p.words.of[doc + 1])])
+                    if hi - lo < near.needs[item]:
                         continue
                     part = number[lo:hi].tolist()
                     lcs, answer = longest_common(sequence, part) / len(sequence), longest_common(tail, part) / len(tail)
-                    best = max(best, (lcs, answer, cosine))
+                    best = max(best, (lcs, answer, -begin))
                     if lcs == 1:
                         break
-                lcs, answer, cosine = best
+                lcs, answer, begin = best
                 if lcs == 1 or reach >= SHORT and (lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER):
-                    out.append((doc, item, cosine, lcs, answer))
+                    # The most alike of the passages that reach into the span.
+                    cells = np.arange(max(0, -begin // CELL - SPAN + 1), (width - begin - 1) // CELL + 1) + p.first_cell[doc]
+                    cells, own = cells[cells < p.first_cell[doc + 1]], np.flatnonzero(owner == item)
+                    cosine = spans[cells] @ targets[own].T / np.maximum(size[cells][:, None] * sizes[own], 1e-12)
+                    out.append((doc, item, float(cosine.max()), lcs, answer))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array([known.ids[k] for k in columns[1]], item_type_pa), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 

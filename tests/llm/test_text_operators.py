@@ -252,6 +252,51 @@ def test_leaks(spark):
     assert decontamination.find_leaks(spark.createDataFrame(docs, DOCS), bench.limit(0)).count() == 0
 
 
+def brute_leaks(items, docs):
+    """(doc, item, lcs, answer) of the best span, by every span of every document."""
+    out = set()
+    for i, text, _ in docs:
+        w = re.findall("[a-z0-9]+", (text or "").lower())
+        for k, item in items:
+            q = item.split()
+            n, tail = len(q), q[-max(2, len(q) // 4) :]
+            width, step = (n + n // 2, n // 4) if n >= decontamination.SHORT else (n, 1)
+            best = (0, 0)
+            for lo in range(0, len(w), step):
+                part = w[lo : lo + width]
+                if sum(map(set(part).__contains__, q)) * 2 >= n:  # a subsequence of 0.6 has more of its words
+                    best = max(best, (decontamination.longest_common(q, part) / n, decontamination.longest_common(tail, part) / len(tail)))
+            if best[0] == 1 or n >= decontamination.SHORT and (best[0] >= 0.8 or best[0] >= 0.6 and best[1] >= 0.6):
+                out.add((i, k, *best))
+    return out
+
+
+def crowded_corpus(rng):
+    """More items than the space has dimensions, short ones among them."""
+    common = ["the", "of", "and", "to", "in"]
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghklmn" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+    mixed = words + common * 200
+    items = [(k, " ".join(dict.fromkeys(rng.choices(words, k=rng.randint(2, 7))) if k % 2 else rng.choices(mixed, k=rng.randint(12, 60)))) for k in range(300)]
+    docs = []
+    for i in range(150):
+        w = rng.choices(mixed, k=rng.randint(60, 300))
+        for k in rng.sample(range(300), 3):
+            part = items[k][1].split()
+            if i % 3 == 0:
+                part = [x for n, x in enumerate(part) if n % 6 != 3]
+            w[(at := rng.randrange(len(w))) : at] = part
+        docs.append((i, " ".join(w), "en"))
+    return items, docs
+
+
+def test_leaks_of_more_items_than_dimensions(spark):
+    items, docs = crowded_corpus(random.Random(16))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_leaks(items, docs)
+    assert len({k for _, k, _, _ in expected if len(items[k][1].split()) < decontamination.SHORT}) > 50
+    assert {(r.doc_id, r.item_id, r.lcs, r.answer) for r in found} == expected
+
+
 def test_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(100):
