@@ -94,10 +94,15 @@ def _split_first(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.
 
 
 def _repeat_rows(doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """(document, start and length in one) of each stretch; a row holds at most
+    _LEN - 1 windows, a longer stretch has several."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     first, length = _stretches(doc, start)
-    return [doc[first], start[first] * _LEN + np.minimum(length, _LEN - 1)]
+    rows = -(-length // (_LEN - 1))
+    done = (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)) * (_LEN - 1)
+    first, length = np.repeat(first, rows), np.repeat(length, rows)
+    return [doc[first], (start[first] + done) * _LEN + np.minimum(length - done, _LEN - 1)]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

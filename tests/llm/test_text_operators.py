@@ -173,6 +173,25 @@ def test_repeats_edges(spark):
     assert [(r.doc_id, r.n_removed, r.kept_text == text) for r in sorted(rows, key=str)] == [(r.doc_id, 0, True) for r in sorted(rows, key=str)]
 
 
+def test_long_stretches_take_several_rows(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_LEN", 8)
+    stretches = [(1, 3, 1), (1, 10, 7), (2, 0, 8), (2, 20, 30), (4, 5, 14)]
+    windows = [(d, s + k) for d, s, n in stretches for k in range(n)]
+    random.Random(3).shuffle(windows)
+    doc, rows = substring_dedup._repeat_rows(*np.array(windows).T)
+    got = [(d, s // 8 + k) for d, s in zip(doc.tolist(), rows.tolist()) for k in range(s % 8)]
+    assert got == sorted(windows)
+    assert len(rows) == 1 + 1 + 2 + 5 + 2
+    assert [len(x) for x in substring_dedup._repeat_rows(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_repeats_of_more_than_a_row_of_windows(spark):
+    n = (1 << 20) + 5_000
+    docs = [(1, "again " * n, None), (2, "again " * n, None)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: (n, n - 1, hashlib.sha256(b"again").hexdigest()), 2: (n, n, hashlib.sha256(b"").hexdigest())}
+
+
 def prose(rng, vowels, n):
     return " ".join("".join(rng.choice("bcdfgl") + rng.choice(vowels) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
