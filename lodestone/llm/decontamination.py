@@ -392,7 +392,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 sequence = sequences[item]
                 tail = _tail(sequence)
                 reach = len(sequence)
-                best = (0.0, 0.0, 0)
+                best = None
                 width, of = _width(reach), int(p.words.of[doc])
                 for begin in sorted(begins):
                     lo, hi = np.searchsorted(at, [of + begin, min(of + begin + width, p.words.of[doc + 1])])
@@ -400,11 +400,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         continue
                     part = number[lo:hi].tolist()
                     lcs, answer = longest_common(sequence, part) / len(sequence), longest_common(tail, part) / len(tail)
-                    best = max(best, (lcs, answer, -begin))
+                    if lcs == 1 or reach >= SHORT and (lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER):
+                        best = max(best or (0.0, 0.0, 0), (lcs, answer, -begin))
                     if lcs == 1:
                         break
-                lcs, answer, begin = best
-                if lcs == 1 or reach >= SHORT and (lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER):
+                if best:
+                    lcs, answer, begin = best
                     # The most alike of the passages that reach into the span.
                     cells = np.arange(max(0, -begin // CELL - SPAN + 1), (width - begin - 1) // CELL + 1) + p.first_cell[doc]
                     cells, own = cells[cells < p.first_cell[doc + 1]], np.flatnonzero(owner == item)

@@ -272,7 +272,7 @@ def test_leaks(spark):
 
 
 def brute_leaks(items, docs):
-    """(doc, item, lcs, answer) of the best span, by every span of every document."""
+    """(doc, item, lcs, answer) of the best span that passes, by every span of every document."""
     out = set()
     for i, text, _ in docs:
         w = re.findall("[a-z0-9]+", (text or "").lower())
@@ -280,12 +280,14 @@ def brute_leaks(items, docs):
             q = item.split()
             n, tail = len(q), q[-max(2, len(q) // 4) :]
             width, step = (n + n // 2, n // 4) if n >= decontamination.SHORT else (n, 1)
-            best = (0, 0)
+            best = None
             for lo in range(0, len(w), step):
                 part = w[lo : lo + width]
                 if sum(map(set(part).__contains__, q)) * 2 >= n:  # a subsequence of 0.6 has more of its words
-                    best = max(best, (decontamination.longest_common(q, part) / n, decontamination.longest_common(tail, part) / len(tail)))
-            if best[0] == 1 or n >= decontamination.SHORT and (best[0] >= 0.8 or best[0] >= 0.6 and best[1] >= 0.6):
+                    lcs, answer = decontamination.longest_common(q, part) / n, decontamination.longest_common(tail, part) / len(tail)
+                    if lcs == 1 or n >= decontamination.SHORT and (lcs >= 0.8 or lcs >= 0.6 and answer >= 0.6):
+                        best = max(best or (0, 0), (lcs, answer))
+            if best:
                 out.add((i, k, *best))
     return out
 
@@ -316,6 +318,15 @@ def test_leaks_of_more_items_than_dimensions(spark):
     assert {(r.doc_id, r.item_id, r.lcs, r.answer) for r in found} == expected
 
 
+def test_a_longer_span_without_the_answer_hides_no_leak(spark):
+    item = [f"w{k}" for k in range(40)]
+    begun, ended, other = item[:28], item[14:], [f"x{k}" for k in range(150)]
+    docs = [(k, " ".join(w), "en") for k, w in enumerate([begun + other + ended, ended + other + begun, begun + other, other + ended])]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = decontamination.find_leaks(spark.createDataFrame(docs, DOCS), bench).collect()
+    assert sorted((r.doc_id, r.lcs, r.answer) for r in found) == [(0, 0.65, 1.0), (1, 0.65, 1.0), (3, 0.65, 1.0)]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(100):
