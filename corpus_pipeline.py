@@ -17,7 +17,7 @@ from lodestone.llm.langid import UNKNOWN, identify_language
 from lodestone.llm.near_dedup import near_duplicates
 from lodestone.llm.tables import stash, table
 
-#: A text whose likeliest language has a smaller posterior is rejected.
+#: A text whose words' own likeliest languages have a smaller mean posterior is rejected.
 LEAST_SCORE = 0.35
 VOCABULARY = "word_bpe_49k.json"
 
@@ -29,8 +29,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or nothing that resembles one."""
-    found = identify_language(docs)
-    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+    found = identify_language(docs, certainty=True)
+    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("certainty") < LEAST_SCORE)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,11 +112,13 @@ class LanguageModel:
     def label_words(self, w: Words) -> np.ndarray:
         return forward_backward(emissions(self.weights, w), self.transitions, w.of)[0]
 
-    def documents(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def documents(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(likeliest language, its share of the words, mean of each word's own
+        largest posterior) by document."""
         w = Words(data, offs, lower=True)
         n = len(offs) - 1
         if not self.languages:
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         post = self.label_words(w)
         letters = np.concatenate([[0], np.cumsum(_LETTER[data] | (data >= 0xC0))])
         lettered = letters[w.end] > letters[w.start]
@@ -130,7 +132,9 @@ class LanguageModel:
         for d in np.flatnonzero(~has):  # a text without an ASCII letter: look at its characters
             has[d] = any(map(str.isalpha, data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")))
         names = [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-        return names, np.where(has, share[np.arange(n), best], 0.0)
+        sure = np.concatenate([[0.0], np.cumsum(weight.max(axis=1))])
+        sure = (sure[w.of[1:]] - sure[w.of[:-1]]) / np.maximum(total.sum(axis=1), 1e-12)
+        return names, np.where(has, share[np.arange(n), best], 0.0), np.where(has, sure, 0.0)
 
 
 def fit(sample: list[tuple[str, object]], epochs: int = 2, rate: float = 0.3, span: int = 64, batch: int = 64, decay: float = 1e-6, seed: int = 7) -> LanguageModel:
@@ -181,8 +185,10 @@ def fit(sample: list[tuple[str, object]], epochs: int = 2, rate: float = 0.3, sp
     return LanguageModel(languages, weights.astype(np.float32), moves)
 
 
-def identify_language(docs: DataFrame, per_language: int = 150, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred and score (0 to 1) of each row of ``docs``.
+def identify_language(docs: DataFrame, per_language: int = 150, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred and score (0 to 1) of each row of ``docs``; with
+    ``certainty`` also certainty, the mean of each word's own largest posterior:
+    score is the language's share, which is small in a clean text of several.
 
     The field is fitted on at most ``per_language`` whole texts of each language
     in ``lang_col`` (nulls teach nothing); every whole text is labelled.  A text
@@ -196,8 +202,9 @@ def identify_language(docs: DataFrame, per_language: int = 150, max_bytes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch, data, offs in pieces(batches, "__text", 1 << 21):
-            names, score = own.documents(data, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            names, score, sure = own.documents(data, offs)
+            columns = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns[: 4 + certainty], ["doc_id", "held_out", "lang_pred", "score", "certainty"][: 4 + certainty])
 
     rows = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double" + ", certainty double" * certainty)

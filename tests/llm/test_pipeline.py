@@ -4,6 +4,16 @@ import corpus_pipeline
 from test_text_operators import brute_components, leak_corpus, prose
 
 
+def test_clean_texts_of_several_languages_stay(spark, tmp_path):
+    rng = random.Random(12)
+    kinds = {"xx": "a", "yy": "o", "zz": "i", "ww": "u"}
+    docs = [(i, prose(rng, kinds[k], 40), k, "src", 1) for i, k in enumerate(list(kinds) * 40)]
+    docs += [(900 + n, " ".join(prose(rng, kinds[k], 60) for k in list(kinds)[:n]), None, "src", 1) for n in (3, 4)]
+    docs += [(910, None, None, "src", 1), (911, "12 !!", None, "src", 1)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {910, 911}
+
+
 def test_each_stage_on_its_input(spark, tmp_path):
     rng = random.Random(9)
     items, docs, leaks = leak_corpus(rng)
