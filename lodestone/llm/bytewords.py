@@ -61,10 +61,10 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
+    """(bytes, offsets) of a string or binary column; null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     kind = np.int64 if wide else np.int32
     if offsets is None or not len(column):
@@ -133,3 +133,25 @@ class Words:
         sums = np.zeros(total + 1, _U)
         np.cumsum(self.hash * powers[:total], out=sums[1:])
         return at, mix64((sums[at + n] - sums[at]) * inverse[at] + _U(n))
+
+
+def exact_ids(w: Words) -> np.ndarray:
+    """A number for each word, the same where their bytes are: words with equal
+    hashes are compared."""
+    _, first, ids = np.unique(w.hash, return_index=True, return_inverse=True)
+    lead = first[ids]
+    other = np.flatnonzero(lead != np.arange(len(lead)))
+    length = w.end - w.start
+    same = bool((length[other] == length[lead[other]]).all())
+    lo = 0
+    ends = np.cumsum(length[other])
+    while same and lo < len(other):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE_BYTES, "right")))
+        own, n = other[lo:hi], length[other[lo:hi]]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = bool((w.data[np.repeat(w.start[own], n) + step] == w.data[np.repeat(w.start[lead[own]], n) + step]).all())
+        lo = hi
+    if same:
+        return ids
+    raw, numbers = w.data.tobytes(), {}
+    return np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)])

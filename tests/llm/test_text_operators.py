@@ -149,9 +149,8 @@ def brute_repeats(docs):
     return out
 
 
-@pytest.mark.parametrize("limit", [20_000, 2])
-def test_repeats_agree_with_a_set_of_windows(spark, limit, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP_LIMIT", limit)
+@pytest.mark.parametrize("limit", [1 << 22, 4000, 300])
+def test_repeats_agree_with_a_set_of_windows(spark, limit):
     rng = random.Random(limit)
     passages = [[f"p{p}w{k}" for k in range(rng.randint(20, 60))] for p in range(5)]
     docs = []
@@ -162,7 +161,7 @@ def test_repeats_agree_with_a_set_of_windows(spark, limit, monkeypatch):
         docs.append((i, " \n".join(w), "en"))
     docs += [(80, None, None), (81, "", None), (82, "a " * 100, None), (83, "a " * 19, None), (84, "A " * 100, None), (85, "日本 " * 50, None)]
     df = spark.createDataFrame(docs, DOCS).repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(df).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(df, group_bytes=limit).collect()}
     assert got == brute_repeats(docs)
 
 
@@ -173,6 +172,44 @@ def test_repeats_edges(spark):
     assert [(r.doc_id, r.n_removed, r.kept_text == text) for r in sorted(rows, key=str)] == [(r.doc_id, 0, True) for r in sorted(rows, key=str)]
 
 
+def test_words_with_equal_hashes_are_told_apart():
+    text = "a b a bb a b ba 日 b".encode()
+    w = substring_dedup.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    for h in (w.hash, np.zeros_like(w.hash), w.hash % 2):
+        w.hash = h
+        ids = substring_dedup.exact_ids(w)
+        words = text.split()
+        assert all((ids[i] == ids[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+
+
+def test_repeats_in_spite_of_colliding_prefixes():
+    """All windows in one subtree, as if every hash were the same, in several batches."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices("ab", k=24) if i % 2 else [f"p{k}" for k in range(i % 3, 25)]), "en") for i in range(200)]
+    rows = [(0, 0, i, 0, t.encode()) for i, t, _ in docs]
+    names = ["key", "level", "id", "at", "text"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 30]), types)], names) for lo in range(0, len(rows), 30)]
+    for limit in (1 << 20, 3000):
+        todo, got = batches, set()
+        while todo:
+            out = [b for b in substring_dedup._subtrees(limit)(iter(todo)) if b.num_rows]
+            got |= {(r["id"], r["at"] // 2**20 + k) for b in out for r in b.to_pylist() if r["text"] is None for k in range(r["at"] % 2**20)}
+            todo = [b.filter(b.column(4).is_valid()) for b in out]
+            on = pa.Table.from_batches([b for b in todo if b.num_rows], batches[0].schema) if any(b.num_rows for b in todo) else None
+            todo = on.sort_by([("key", "ascending"), ("id", "ascending"), ("at", "ascending")]).to_batches(30) if on is not None else []
+        seen, expected = set(), set()
+        for i, t, _ in docs:
+            w = t.split()
+            for k in range(len(w) - 19):
+                if tuple(w[k : k + 20]) in seen:
+                    expected.add((i, k))
+                seen.add(tuple(w[k : k + 20]))
+        assert got == expected and len(expected) > 50
+
+
 def test_long_stretches_take_several_rows(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_LEN", 8)
     stretches = [(1, 3, 1), (1, 10, 7), (2, 0, 8), (2, 20, 30), (4, 5, 14)]
