@@ -40,6 +40,11 @@ _VALUES = mix64(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _LOWER_VALUES = _VALUES.copy()
 _LOWER_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
 
+_OTHER_BASE = 0xC2B2AE3D27D4EB4F | 1
+_OTHER_VALUES = mix64(np.arange(1, 257, dtype=_U) * _U(0x165667B19E3779F9))
+_OTHER_LOWER_VALUES = _OTHER_VALUES.copy()
+_OTHER_LOWER_VALUES[ord("A") : ord("Z") + 1] = _OTHER_VALUES[ord("a") : ord("z") + 1]
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -115,15 +120,24 @@ class Words:
         self.of = np.searchsorted(self.start, offs)
         self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.of))
         if hashed:
-            powers, inverse = _power_tables(_BASE, n)
-            sums = np.zeros(n + 1, _U)
-            terms = (_LOWER_VALUES if lower else _VALUES)[data]
-            terms *= powers[:n]
-            np.cumsum(terms, out=sums[1:])
-            self.hash = mix64((sums[self.end] - sums[self.start]) * inverse[self.start])
-
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every run of n words of one document."""
+            self.hash = self._hashes(_BASE, _LOWER_VALUES if lower else _VALUES)
+
+    def _hashes(self, base: int, values: np.ndarray) -> np.ndarray:
+        n = len(self.data)
+        powers, inverse = _power_tables(base, n)
+        sums = np.zeros(n + 1, _U)
+        terms = values[self.data]
+        terms *= powers[:n]
+        np.cumsum(terms, out=sums[1:])
+        return mix64((sums[self.end] - sums[self.start]) * inverse[self.start])
+
+    def second_hash(self, lower: bool = False) -> np.ndarray:
+        """Another hash by word, independent of the first."""
+        return self._hashes(_OTHER_BASE, _OTHER_LOWER_VALUES if lower else _OTHER_VALUES)
+
+    def windows(self, n: int, by_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of every run of n words of one document, from the
+        words' own hashes or those given."""
         total = len(self.start)
         if total < n:
             return np.zeros(0, np.int64), np.zeros(0, _U)
@@ -131,7 +145,7 @@ class Words:
         at = at[self.doc[: total - n + 1] == self.doc[n - 1 :]]
         powers, inverse = _power_tables(_WINDOW_BASE, total)
         sums = np.zeros(total + 1, _U)
-        np.cumsum(self.hash * powers[:total], out=sums[1:])
+        np.cumsum((self.hash if by_word is None else by_word) * powers[:total], out=sums[1:])
         return at, mix64((sums[at + n] - sums[at]) * inverse[at] + _U(n))
 
 

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stash
 
+SALTS = 1024
+
+
+def beside_group(rows: DataFrame, by: list[str], value: str, **aggregates: Callable[[str], Column]) -> DataFrame:
+    """``rows`` with minima or maxima of ``value`` over their group.
+
+    A group is dealt over SALTS tasks by its values; only a row for each of
+    these comes together.  So the rows of a hub are never in one task."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    some = salted.groupBy(*by, "__salt").agg(*[f(value).alias(name) for name, f in aggregates.items()])
+    whole = some.groupBy(*by).agg(*[f(name).alias(name) for name, f in aggregates.items()])
+    return salted.join(some.select(*by, "__salt").join(whole, by), [*by, "__salt"]).drop("__salt")
+
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -22,11 +37,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = _print(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = beside_group(both, ["a"], "b", m=F.min).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
         large = stash(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
+        small = beside_group(large, ["a"], "b", m=F.min).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
         edges = stash(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
         after = _print(edges)
         if after == before:

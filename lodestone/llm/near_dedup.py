@@ -9,14 +9,16 @@ every way to leave out ERRORS of its symbols, and every pair under that distance
 shares a key.  (At a similarity of 0.75, a pair above that distance still shares
 one but for a chance of about 1e-6.)
 
-Documents with equal sets are one class from the start.  Within a key's group,
-pairs are first formed with two members only, the smallest and the largest id,
-ROUNDS times, each with the next two of members that confirmed links haven't yet
-joined: a group of copies costs pairs in proportion to its size.  Where members
-are in different components after that, blocks of at most BLOCK of them meet in
-one task with the lower half of their shingles' bits: pairs of different
-components under a distance that holds nearly all similar ones (LOOSE) compare
-these sets there, and only pairs that are similar up to SLACK shingles go on.
+Documents with equal sets are one class from the start; classes, not ids, are
+what is linked: sets are equal if 128 bits of independent hashes and the size
+agree.  Within a key's group, pairs are first formed with two members only, the
+smallest and the largest, ROUNDS times, each with the next two of members that
+confirmed links haven't yet joined: a group of copies costs pairs in proportion
+to its size.  Pairs whose signatures differ too much (LOOSE) end there; only the
+others meet with their sets.  Where members are in different components after
+that, blocks of at most BLOCK of them meet in one task with the lower half of
+their shingles' bits: pairs of different components under LOOSE compare these
+sets there, and only pairs that are similar up to SLACK shingles go on.
 
 Every link is confirmed on the full sets.
 """
@@ -30,83 +32,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Words, mix64, pieces, utf8_buffers
-from .components import connected_components
+from .bytewords import Words, mix64, pieces
+from .components import beside_group, connected_components
 from .tables import stash
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, BITS = 14, 5, 1, 16
-LOOSE = 36  # of 70 symbols; a similarity of 0.75 exceeds it with a chance of about 1e-6
+LOOSE = 40  # of 70 symbols; a similarity of 0.75 exceeds it with a chance of about 1e-8
 PERCENT = 75
 ROUNDS, BLOCK, SLACK = 2, 1024, 2
+GROUP = ["slot", "key", "i", "j"]
 _U = np.uint64
 _FACTORS = mix64(np.arange(1, CHUNKS * WIDTH + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
-_SALTS = mix64(np.arange(1, CHUNKS * WIDTH + 1, dtype=_U) * _U(0x9FB21C651E98DF25))
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes, sorted within each document; offsets).  Fewer
-    words than a shingle has are one shingle; no words are none."""
+def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, sorted within each document; independent hashes
+    of the same shingles; offsets).  Fewer words than a shingle has are one
+    shingle; no words are none."""
     w = Words(data, offs, lower=True)
+    other = w.second_hash(lower=True)
     words = np.diff(w.of)
     at, h = w.windows(SHINGLE)
-    docs, hashes = [w.doc[at]], [h]
+    docs, hashes, others = [w.doc[at]], [h], [w.windows(SHINGLE, other)[1]]
     for n in range(1, SHINGLE):
+        if not (words == n).any():
+            continue
         at, h = w.windows(n)
         whole = words[w.doc[at]] == n
         docs.append(w.doc[at][whole])
         hashes.append(h[whole])
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
+        others.append(w.windows(n, other)[1][whole])
+    doc, h, h2 = np.concatenate(docs), np.concatenate(hashes), np.concatenate(others)
     order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+    doc, h, h2 = doc[order], h[order], h2[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.searchsorted(doc[new], np.arange(len(offs)))
+    return h[new], h2[new], np.searchsorted(doc[new], np.arange(len(offs)))
 
 
-def signatures(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of documents with a set, 128 bits that identify each set, keys, symbols)."""
+def signatures(h: np.ndarray, h2: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of documents with a set, 128 bits that identify each set, symbols)."""
     rows = np.flatnonzero(np.diff(of))
     first = of[:-1][rows]
     if not len(rows):
-        return rows, np.zeros((0, 2), np.int64), np.zeros((0, CHUNKS * WIDTH), np.int64), np.zeros((0, CHUNKS * WIDTH), np.uint16)
-    identity = np.column_stack([np.add.reduceat(mix64(h), first), np.add.reduceat(mix64(h * _U(3) + _U(1)), first)])
+        return rows, np.zeros((0, 2), np.int64), np.zeros((0, CHUNKS * WIDTH), np.uint16)
+    identity = np.column_stack([np.add.reduceat(mix64(x), first) for x in (h, h2)])
     symbols = np.empty((len(rows), CHUNKS * WIDTH), _U)
     for j, factor in enumerate(_FACTORS):
         symbols[:, j] = np.minimum.reduceat(h * factor, first)
-    symbols = mix64(symbols) & _U((1 << BITS) - 1)
-    keys = np.empty_like(symbols)
-    for j in range(CHUNKS * WIDTH):  # chunk j // WIDTH without its symbol j % WIDTH
+    return rows, identity.view(np.int64), (mix64(symbols) & _U((1 << BITS) - 1)).astype(np.uint16)
+
+
+def keys_of(symbols: np.ndarray) -> np.ndarray:
+    """For each symbol, its chunk without it, in one number."""
+    keys = np.empty(symbols.shape, _U)
+    for j in range(CHUNKS * WIDTH):
         chunk = j - j % WIDTH
-        packed = np.zeros(len(rows), _U)
+        packed = np.zeros(len(symbols), _U)
         for k in range(chunk, chunk + WIDTH):
             if k != j:
-                packed = (packed << _U(BITS)) | symbols[:, k]
-        keys[:, j] = mix64(packed ^ _SALTS[j])
-    return rows, identity.view(np.int64), keys.view(np.int64), symbols.astype(np.uint16)
+                packed = (packed << _U(BITS)) | symbols[:, k].astype(_U)
+        keys[:, j] = packed
+    return keys.view(np.int64)
+
+
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), CHUNKS * WIDTH)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offs in pieces(batches, "text"):
-        h, of = shingle_sets(data, offs)
-        rows, identity, keys, _ = signatures(h, of)
-        n = len(offs) - 1
-        s1, s2, has = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        s1[rows], s2[rows], has[rows] = identity[:, 0], identity[:, 1], CHUNKS * WIDTH
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(of).astype(np.int64)), pa.array(s1), pa.array(s2), listed], ["id", "n", "s1", "s2", "keys"])
+        h, h2, of = shingle_sets(data, offs)
+        rows, identity, symbols = signatures(h, h2, of)
+        both = np.zeros((len(offs) - 1, 2), np.int64)
+        both[rows] = identity
+        signs: list[bytes | None] = [None] * len(both)
+        for r, x in zip(rows.tolist(), symbols, strict=True):
+            signs[r] = x.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(of).astype(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(signs, pa.binary())], ["id", "n", "s1", "s2", "symbols"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = keys_of(_symbols(batch.column(1)))
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), listed], ["node", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symbols and shingles, sorted, of (node, text) whose text has the node's set."""
+    for batch, data, offs in pieces(batches, "text"):
+        h, h2, of = shingle_sets(data, offs)
+        rows, identity, symbols = signatures(h, h2, of)
+        node = batch.column(0).take(pa.array(rows))
+        own = [k for k in range(len(rows)) if (node.field(1)[k].as_py(), node.field(2)[k].as_py()) == tuple(identity[k].tolist())]
+        raw = [h[of[rows[k]] : of[rows[k] + 1]].tobytes() for k in own]
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(own, pa.int64())), pa.array([symbols[k].tobytes() for k in own], pa.binary()), pa.array(raw, pa.binary())], ["node", "symbols", "hashes"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, symbols_a, symbols_b) to those whose signatures may be those of similar sets."""
+    for batch in batches:
+        differ = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(axis=1)
+        yield batch.select(["a", "b"]).filter(pa.array(differ <= LOOSE))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts to the pairs whose sets are similar."""
-    for batch, _, _ in pieces(batches, "text_a"):
-        sets = [shingle_sets(*utf8_buffers(batch.column(batch.schema.get_field_index(c)))) for c in ("text_a", "text_b")]
-        (ha, oa), (hb, ob) = sets
+    """Pairs (a, b, hashes_a, hashes_b) to those whose sets are similar."""
+    for batch in batches:
         keep = []
-        for k in range(batch.num_rows):
-            x, y = ha[oa[k] : oa[k + 1]], hb[ob[k] : ob[k + 1]]
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(bool(len(x)) and 100 * both >= PERCENT * (len(x) + len(y) - both))
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -125,13 +164,11 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
     return ([0, *cuts.tolist()], [*cuts.tolist(), len(x)]) if len(x) else ([], [])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Symbols, and the lower 32 bits of the shingles, sorted, of texts with a set."""
-    for batch, data, offs in pieces(batches, "text"):
-        h, of = shingle_sets(data, offs)
-        rows, _, _, symbols = signatures(h, of)
-        low = [np.sort(h[of[k] : of[k + 1]].astype(np.uint32)).tobytes() for k in rows.tolist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([s.tobytes() for s in symbols], pa.binary()), pa.array(low, pa.binary())], ["id", "symbols", "hashes"])
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as the lower 32 bits of their shingles, sorted."""
+    for batch in batches:
+        low = [np.sort(np.frombuffer(x.as_buffer(), _U).astype(np.uint32)).tobytes() for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary())], ["node", "symbols", "hashes"])
 
 
 def _compare():
@@ -147,10 +184,10 @@ def _compare():
         return 100 * both >= PERCENT * (len(own) + sizes - both)
 
     def group(part: pa.Table) -> tuple[list[int], list[int]]:
-        c, side = part["c"].to_numpy(), part["side"].to_numpy()
+        c1, c2, side = (part[c].to_numpy() for c in ("c1", "c2", "side"))
         sets = [np.frombuffer(h, np.uint32) for h in part["hashes"].to_pylist()]
         slot = part["slot"][0].as_py()
-        symbols = np.frombuffer(b"".join(part["symbols"].to_pylist()), np.uint16).reshape(len(c), -1)
+        symbols = np.frombuffer(b"".join(part["symbols"].to_pylist()), np.uint16).reshape(len(side), -1)
         diagonal = side[0] == 2
         left = np.flatnonzero(side != 1)
         right = left if diagonal else np.flatnonzero(side == 1)
@@ -160,7 +197,8 @@ def _compare():
             same = np.zeros((len(rows), len(right)), np.uint8)
             for k in range(symbols.shape[1]):
                 same += symbols[rows, k][:, None] == symbols[right, k][None]
-            x, y = np.nonzero((same >= symbols.shape[1] - LOOSE) & (c[rows][:, None] != c[right][None]))
+            apart = (c1[rows][:, None] != c1[right][None]) | (c2[rows][:, None] != c2[right][None])
+            x, y = np.nonzero((same >= symbols.shape[1] - LOOSE) & apart)
             if diagonal:
                 up = rows[x] < right[y]
                 x, y = x[up], y[up]
@@ -173,63 +211,65 @@ def _compare():
                 out_b += others.tolist()
         return out_a, out_b
 
+    def starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        """The first row of each group."""
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for name in GROUP:
+            x = t.column(name).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = t["g"].to_numpy()
-            bounds = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            bounds = np.append(starts(t), t.num_rows)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 part = t.slice(lo, hi - lo)
                 x, y = group(part)
                 if x:
-                    ids = part["id"].combine_chunks()
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
+                    nodes = part["node"].combine_chunks()
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], ["x", "y"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             # The last group of a batch may go on in the next.
-            g = batch.column(batch.schema.get_field_index("g")).to_numpy()
-            last = int(np.flatnonzero(g == g[-1])[0])
-            if held and g[0] == g[-1] == held[-1].column(0)[-1].as_py():
-                held.append(batch)
-                continue
-            t = pa.Table.from_batches([*held, batch.slice(0, last)]) if held or last else None
-            if held and last == 0 and g[0] == held[-1].column(0)[-1].as_py():
-                held.append(batch)
-                continue
-            if t is not None and t.num_rows:
-                yield from compared(t)
-            held = [batch.slice(last)]
+            t = pa.Table.from_batches([*held, batch])
+            last = int(starts(t)[-1])
+            if last:
+                yield from compared(t.slice(0, last))
+            held = t.slice(last).to_batches()
         if held:
             yield from compared(pa.Table.from_batches(held))
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    by_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    by_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    joined = pairs.join(by_b, "b").join(by_a, "a").select("a", "b", "text_a", "text_b")
-    id_type = texts.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(_confirm, f"a {id_type}, b {id_type}")
+def _joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with a column of ``table`` (node, column) for either end."""
+    side = lambda end: table.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}"))
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", f"{column}_a", f"{column}_b")
+
 
+def _links(pairs: DataFrame, sets: DataFrame, node: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    return _joined(pairs, sets, "hashes").mapInArrow(_confirm, f"a {node}, b {node}")
 
-def _rest_pairs(rest: DataFrame, texts: DataFrame) -> DataFrame:
+
+def _rest_pairs(rest: DataFrame, sets: DataFrame, node: str) -> DataFrame:
     """Pairs (a, b) of different components among each key's members."""
-    id_type = texts.schema["id"].dataType.simpleString()
-    size = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    blocks = stash(size.where("c_lo <> c_hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-keys")
-    dealt = stash(rest.join(blocks, "key"), "open-members")
-    sets = stash(texts.join(dealt.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, f"id {id_type}, symbols binary, hashes binary"), "open-sets")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    size = rest.groupBy("slot", "key").agg(F.count("*").alias("m"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    blocks = stash(size.where("c_lo <> c_hi").select("slot", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-keys")
+    dealt = rest.join(blocks, ["slot", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Blocks i and j meet once: rows of the lower one are side 0, of the higher one side 1; 2 is a block with itself.
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "slot", "id", "c", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = dealt.join(sets, "id").select("g", "slot", "id", "c", "side", "symbols", "hashes")
-    found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(), f"x {id_type}, y {id_type}")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") > F.col("other"), 1).otherwise(0)
+    dealt = dealt.select("slot", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2"), side.alias("side"))
+    halves = sets.mapInArrow(_halves, f"node {node}, symbols binary, hashes binary")
+    rows = dealt.join(halves, "node").select(*GROUP, "node", "c1", "c2", "side", "symbols", "hashes")
+    found = rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_compare(), f"x {node}, y {node}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,44 +278,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs other than white space, with A-Z in lower case.  Documents
     are linked where 100 * intersection >= PERCENT * union; component_id is the
     smallest id reachable, and only its document is kept.  A null, empty or
-    blank text has no set and is linked with nothing.  Ids should be unique:
-    rows that share an id share its component.  Rows with a null id are reported
-    as themselves, with a null component, and kept.
+    blank text has no set and is linked with nothing.  Rows that share an id are
+    judged each by its own text.  Rows with a null id are reported as themselves,
+    with a null component, and kept.  Texts of any length are taken whole, an
+    empty table gives no rows, and other columns aren't read, whatever their names.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    signed = stash(texts.mapInArrow(_sign, f"id {id_type}, n long, s1 long, s2 long, keys array<bigint>"), "signatures")
+    node = f"struct<id:{id_type},s1:bigint,s2:bigint>"
+    signed = stash(texts.mapInArrow(_sign, f"id {id_type}, n long, s1 long, s2 long, symbols binary"), "signatures")
     named = signed.where("id IS NOT NULL AND n > 0")
-    # Classes of equal sets; only those of more than one document need a table.
-    equal = stash(named.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep <> other").drop("other"), "equal-sets")
-    members = stash(named.select("id", "n", "s1", "s2").join(equal, ["s1", "s2", "n"]).select("id", "rep").distinct(), "equal-members")
-    reps = named.join(members.where("id <> rep").select("id").distinct(), "id", "left_anti")
-    keyed = reps.select("id", F.posexplode("keys").alias("slot", "key"))
-    shared = stash(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), "shared-keys")
-    rest = stash(keyed.join(shared, "key").select("key", "slot", "id", F.col("id").alias("c"), "lo", "hi"), "key-groups")
-    texts = texts.where("id IS NOT NULL")
-    links, checked, components = None, None, None
+    classes = named.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("symbols").alias("symbols"))
+    classes = stash(classes.select(F.struct("id", "s1", "s2").alias("node"), "symbols"), "classes")
+    keyed = classes.mapInArrow(_keys, f"node {node}, keys array<bigint>").select("node", F.posexplode("keys").alias("slot", "key"))
+    shared = stash(keyed.groupBy("slot", "key").count().where("count > 1").drop("count"), "shared-keys")
+    rest = stash(keyed.join(shared, ["slot", "key"]), "key-groups")
+    signs = stash(classes.join(rest.select("node").distinct(), "node", "left_semi"), "open-signatures")
+    sets, links, checked, components = None, None, None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:  # every member with the two that lead
-            pairs = rest.select("id", F.explode(F.array("lo", "hi")).alias("lead")).where("id <> lead")
-            pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            rest = stash(beside_group(rest, ["slot", "key"], "node", lo=F.min, hi=F.max), "led-groups")
+            pairs = rest.select("node", F.explode(F.array("lo", "hi")).alias("lead")).where("node <> lead")
+            pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            pairs = _joined(pairs, signs, "symbols").mapInArrow(_near, f"a {node}, b {node}")
         else:
-            pairs = _rest_pairs(rest.select("key", "slot", "id", "c"), texts)
+            wanted = rest.select("node").distinct()
+            sets = _with_sets(texts, wanted, node)
+            pairs = _rest_pairs(rest.select("slot", "key", "node", "c"), sets, node)
         pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        found = stash(_links(pairs, texts), "confirmed")
+        if turn < ROUNDS:
+            sets = _with_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), node)
+        found = stash(_links(pairs, sets, node), "confirmed")
         links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
+        components = stash(connected_components(links), "components")
         if turn == ROUNDS:
             break
-        components = stash(components, "components")
         # Members that led are through; a group is, once the rest are in one component.
-        left = rest.where("id <> lo AND id <> hi").select("key", "slot", "id").join(components, "id", "left").select("key", "slot", "id", F.coalesce("component", "id").alias("c"))
-        left = stash(left, "rest")
-        leads = stash(left.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c_lo <> c_hi").drop("c_lo", "c_hi"), "leads")
-        rest = stash(left.join(leads, "key"), "open-groups")
+        left = rest.where("node <> lo AND node <> hi").select("slot", "key", "node")
+        left = left.join(components.withColumnRenamed("id", "node"), "node", "left").select("slot", "key", "node", F.coalesce("component", "node").alias("c"))
+        rest = beside_group(left, ["slot", "key"], "c", c_lo=F.min, c_hi=F.max).where("c_lo <> c_hi").drop("c_lo", "c_hi")
         links = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    rep_of = signed.select("id", "n").join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = rep_of.join(stash(components, "components").select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    of_class = components.select(F.col("id.s1").alias("s1"), F.col("id.s2").alias("s2"), F.col("component.id").alias("component"))
+    single = classes.join(components.select(F.col("id").alias("node")), "node", "left_anti").select("node.s1", "node.s2", F.col("node.id").alias("component"))
+    columns = lambda rows, component: rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    own = columns(named.drop("symbols").join(of_class.unionByName(single), ["s1", "s2"], "left"), F.col("component"))
+    return own.unionByName(columns(signed.where("id IS NULL OR n = 0"), F.col("id")))
+
+
+def _with_sets(texts: DataFrame, wanted: DataFrame, node: str) -> DataFrame:
+    """(node, symbols, hashes) of the wanted nodes."""
+    own = texts.join(wanted.select(F.col("node.id").alias("id"), "node"), "id").select("node", "text")
+    sets = own.mapInArrow(_sets, f"node {node}, symbols binary, hashes binary")
+    return stash(sets.groupBy("node").agg(F.max("symbols").alias("symbols"), F.max("hashes").alias("hashes")), "open-sets")

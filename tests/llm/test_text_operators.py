@@ -115,6 +115,26 @@ def test_near_duplicates_agree_with_all_pairs(spark, rounds, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is judged by its own text, and none is multiplied."""
+    rng = random.Random(21)
+    base = rng.choices([f"w{k}" for k in range(300)], k=60)
+    other = rng.choices([f"v{k}" for k in range(300)], k=60)
+    near = [*base[:30], "x", *base[31:]]
+    docs = [(5, " ".join(base), None), (5, " ".join(other), None), (7, " ".join(near), None), (5, " ".join(base), None), (9, " ".join(other), None), (4, " ".join([*other, "y"]), None), (8, "", None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, DOCS)).collect())
+    sizes = [len({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for _, t, _ in docs]
+    assert got == sorted([(5, sizes[0], 5, True), (5, sizes[1], 4, False), (7, sizes[2], 5, False), (5, sizes[3], 5, True), (9, sizes[4], 4, False), (4, sizes[5], 4, True), (8, 0, 8, True)])
+
+
+def test_columns_that_clash_are_not_read(spark):
+    names = "doc_id long, text string, id string, n string, s1 string, key string, node string, slot string, marks string, stretches string"
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(k, text, *["x"] * 8) for k in range(3)], names)
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()} == {(0, 0, True), (1, 0, False), (2, 0, False)}
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()} == {(0, 0), (1, 40), (2, 40)}
+
+
 def test_signature_keys_meet_under_the_distance():
     rng = np.random.default_rng(1)
     symbols = rng.integers(0, 1 << 16, (200, 70)).astype(np.uint16)
