@@ -14,7 +14,14 @@
    without any of them can't match it.  So no match is lost, whatever the space.
 4. A candidate counts if, in a span half as long again as the item, the longest
    common subsequence of words has most of the item's, or somewhat fewer but also
-   the item's answer (its last words), which catches paraphrases.
+   the item's answer (its last words), which catches paraphrases; and EVIDENCE
+   words at least, or all where the item has fewer.  Of the spans that count the
+   one with the longest subsequence is reported.
+
+A benchmark of more than MAX_ITEMS items or MAX_BYTES bytes is searched for in
+several parts, one after another, as what describes a part is held by the driver
+and each task.  For words w and segments s of a part that's about 1.2 kB * w +
+0.3 kB * s besides its texts: 1 GB for 10**6 different words and 10**5 segments.
 
 A passage is SPAN cells of CELL words; it begins at every cell of a document.
 """
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import PUNCTUATION, Words, pieces
+from .tables import stash
 
 CELL, SPAN, SEGMENT = 16, 4, 48
 RANK, EXTRA = 48, 8
 SHARE, COSINE = 0.4, 0.25
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
-SHORT = 8  # items of fewer words must be there whole and in one piece
+EVIDENCE = 8  # words in common at least, or all of a shorter item's
 COMMON = 0.01  # words in more of the cells carry no weight
-MAX_ITEMS, MAX_BYTES = 50_000, 1 << 27
+MAX_ITEMS, MAX_BYTES = 50_000, 1 << 25
+SCORES = 1 << 23  # products of passages and segments, or numbers of a sparse product, held at once
 CANDIDATES, AROUND = 1 << 18, 1 << 21  # anchors, and words around them, looked at together
 BLOCK = 64  # words whose sums travel in one row
 
@@ -132,8 +142,9 @@ class Benchmark:
     words: list[np.ndarray]  # word numbers in order
 
     def segments(self) -> list[tuple[int, np.ndarray]]:
-        """(item, word numbers) of parts that a passage can hold."""
-        return [(k, w[lo : lo + SEGMENT]) for k, w in enumerate(self.words) for lo in range(0, len(w), SEGMENT) if lo == 0 or len(w) - lo >= SEGMENT // 3]
+        """(item, word numbers) of parts that a passage can hold; the last one of
+        several is as long as the others."""
+        return [(k, w[max(0, min(lo, len(w) - SEGMENT)) : lo + SEGMENT]) for k, w in enumerate(self.words) for lo in range(0, len(w), SEGMENT)]
 
 
 def _least(n: int, share: float) -> int:
@@ -151,9 +162,14 @@ def _rarest(w: np.ndarray, df: np.ndarray, need: int) -> np.ndarray:
     return np.unique(w[np.argsort(df[w], kind="stable")[: len(w) - need + 1]])
 
 
+def _need(n: int, share: float) -> int:
+    """Words of an item of n that a common subsequence must have."""
+    return max(_least(n, share), min(n, EVIDENCE))
+
+
 def _needs(items: Benchmark) -> np.ndarray:
     """The shortest common subsequence that can count, by item."""
-    return np.array([len(w) if len(w) < SHORT else _least(len(w), min(PARAPHRASE, COPY)) for w in items.words])
+    return np.array([_need(len(w), min(PARAPHRASE, COPY)) for w in items.words])
 
 
 def _anchors(df: np.ndarray, items: Benchmark) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +177,10 @@ def _anchors(df: np.ndarray, items: Benchmark) -> tuple[np.ndarray, np.ndarray]:
     holds one of its anchors."""
     words = []
     for w, need in zip(items.words, _needs(items).tolist(), strict=True):
-        own = _rarest(w, df, need)
-        if len(w) >= SHORT:  # a copy, or the answer of a paraphrase
-            both = np.union1d(_rarest(w, df, _least(len(w), COPY)), _rarest(_tail(w), df, _least(len(_tail(w)), ANSWER)))
-            own = min(own, both, key=lambda x: df[x].sum())
-        words.append(own)
+        # Any match has one of the first; a copy or the answer of a paraphrase has one of the others.
+        any_match = _rarest(w, df, need)
+        either = np.union1d(_rarest(w, df, _need(len(w), COPY)), _rarest(_tail(w), df, _least(len(_tail(w)), ANSWER)))
+        words.append(min(any_match, either, key=lambda x: df[x].sum()))
     word, item = np.concatenate(words), np.repeat(np.arange(len(words)), [len(x) for x in words])
     return np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(df)))]), item[np.argsort(word, kind="stable")]
 
@@ -226,27 +241,73 @@ class Near:
 
 def _width(n: int) -> int:
     """Spans a little longer than an item of n words: scattered words of a longer text are no copy."""
-    return n + n // 2 if n >= SHORT else n
+    return n + n // 2
 
 
 def _step(n: int) -> int:
     """From the begin of one span to the next's."""
-    return n // 4 if n >= SHORT else 1
+    return max(1, n // 4)
+
 
+def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
+    """The benchmark (id, text) in parts that the driver can hold."""
+    known = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    count = max(-(-n // MAX_ITEMS), -(-size // MAX_BYTES))
+    if count <= 1:
+        return [known]
+    # Half as many again, as they are dealt at random, once and for all.
+    count += count // 2 + 1
+    dealt = stash(known.withColumn("part", F.floor(F.rand(1) * count).cast("int")), "benchmark")
+    return [dealt.where(F.col("part") == k).select("id", "text") for k in range(count)]
 
-def _read_benchmark(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[Vocabulary, Benchmark]:
-    known = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col)
-    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
-    if n > MAX_ITEMS or size > MAX_BYTES:
-        raise ValueError(f"a benchmark has at most {MAX_ITEMS} items and {MAX_BYTES} bytes; split it")
-    rows = known.collect()
+
+def _read_benchmark(part: DataFrame) -> tuple[Vocabulary, Benchmark]:
+    rows = part.collect()
     hashes = []
     for r in rows:
-        raw = np.frombuffer(r[1].encode(), np.uint8)
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
         hashes.append(Words(raw, np.array([0, len(raw)]), lower=True, separator=PUNCTUATION).hash)
     vocabulary = Vocabulary.of(np.concatenate([np.zeros(0, np.uint64), *hashes]))
     keep = [k for k, h in enumerate(hashes) if len(h)]
-    return vocabulary, Benchmark([rows[k][0] for k in keep], [vocabulary.find(hashes[k])[1] for k in keep])
+    return vocabulary, Benchmark([rows[k]["id"] for k in keep], [vocabulary.find(hashes[k])[1] for k in keep])
+
+
+class Segments:
+    """Segments of items as rows of a sparse matrix: (segment, word, weight),
+    multiplied by blocks of segments."""
+
+    def __init__(self, items: Benchmark, idf: np.ndarray):
+        parts = items.segments()
+        self.owner = np.array([k for k, _ in parts])
+        words = [np.unique(w) for _, w in parts]
+        self.bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        self.word = np.concatenate(words)
+        self.weight = idf[self.word]
+        self.norms = np.sqrt(np.add.reduceat(self.weight.astype(np.float64) ** 2, self.bounds[:-1]))
+
+    def _blocks(self, width: int) -> Iterator[tuple[int, int]]:
+        lo, n = 0, len(self.owner)
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.bounds, self.bounds[lo] + SCORES // width, "right")) - 1)
+            yield lo, hi
+            lo = hi
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.owner), right.shape[1]), np.float32)
+        for lo, hi in self._blocks(right.shape[1]):
+            a, b = self.bounds[lo], self.bounds[hi]
+            out[lo:hi] = np.add.reduceat(self.weight[a:b, None] * right[self.word[a:b]], self.bounds[lo:hi] - a, axis=0)
+        return out
+
+    def add_gram(self, sums: np.ndarray, right: np.ndarray, weight: float) -> None:
+        """Adds weight * U'(U right) to ``sums``, U being the rows at unit length."""
+        inverse = 1 / np.maximum(self.norms, 1e-6)
+        y = self.times(right) * (inverse**2)[:, None]
+        for lo, hi in self._blocks(right.shape[1]):
+            a, b = self.bounds[lo], self.bounds[hi]
+            row = np.repeat(np.arange(lo, hi), np.diff(self.bounds[lo : hi + 1]))
+            np.add.at(sums, self.word[a:b], weight * self.weight[a:b, None] * y[row])
 
 
 def _frequencies(texts: DataFrame, vocabulary) -> tuple[np.ndarray, int]:
@@ -333,30 +394,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leaks.
 
     Null, empty and wordless texts, of documents or items, match nothing; an
-    empty benchmark or corpus gives no rows.  Repeated rows each match; items
-    with equal texts are both reported.  Texts are searched whole.
+    empty benchmark or corpus gives no rows.  Repeated rows and rows with a null
+    id each match; items with equal texts are both reported.  Texts of any length
+    are searched whole, and other columns aren't read, whatever their names.
     """
-    spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, cosine double, lcs double, answer double"
-    words, items = _read_benchmark(benchmark, item_col, item_text)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return reduce(DataFrame.unionByName, [_find_part(texts, part, schema, seed) for part in _parts(benchmark, item_col, item_text)])
+
+
+def _find_part(texts: DataFrame, part: DataFrame, schema: str, seed: int) -> DataFrame:
+    spark = texts.sparkSession
+    words, items = _read_benchmark(part)
     if not items.ids:
         return spark.createDataFrame([], schema)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     vocabulary = spark.sparkContext.broadcast(words)
     df, cells = _frequencies(texts, vocabulary)
     idf = _weights(df, cells, items)
     weights = spark.sparkContext.broadcast(idf)
     omega = np.random.default_rng(seed).normal(size=(len(idf), RANK + EXTRA)).astype(np.float32)
     sums, norm = _sketch(texts, vocabulary, weights, spark.sparkContext.broadcast(omega))
-    segments = items.segments()
-    rows = np.zeros((len(segments), len(idf)), np.float32)
-    for k, (_, w) in enumerate(segments):
-        rows[k, np.unique(w)] = idf[np.unique(w)]
-    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
-    sums = sums + max(norm, 1.0) / len(segments) * (unit.T @ (unit @ omega))
+    segments = Segments(items, idf)
+    segments.add_gram(sums, omega, max(norm, 1.0) / len(segments.owner))
     basis = _basis(sums, omega)
-    model = spark.sparkContext.broadcast((basis * idf[:, None], rows @ basis, np.array([k for k, _ in segments]), items, idf > 0, Near(df, items)))
+    model = spark.sparkContext.broadcast((basis * idf[:, None], segments.times(basis), segments.owner, items, idf > 0, Near(df, items)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lift, targets, owner, known, content, near = model.value
@@ -372,8 +434,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             far = np.flatnonzero(size >= SHARE * sizes.min())
             # Words of the document where spans that may match begin.
             candidates: dict[tuple[int, int], set[int]] = {}
-            for lo in range(0, len(far), 4096):
-                own = far[lo : lo + 4096]
+            at_once = max(1, SCORES // len(targets))
+            for lo in range(0, len(far), at_once):
+                own = far[lo : lo + at_once]
                 dots = spans[own] @ targets.T
                 hit = (dots >= SHARE * sizes**2) & (dots >= COSINE * size[own][:, None] * sizes) & (sizes > 0)
                 for r, s in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
@@ -400,7 +463,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         continue
                     part = number[lo:hi].tolist()
                     lcs, answer = longest_common(sequence, part) / len(sequence), longest_common(tail, part) / len(tail)
-                    if lcs == 1 or reach >= SHORT and (lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER):
+                    if lcs * reach > near.needs[item] - 0.5 and (lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER):
                         best = max(best or (0.0, 0.0, 0), (lcs, answer, -begin))
                     if lcs == 1:
                         break

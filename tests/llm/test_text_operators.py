@@ -335,14 +335,13 @@ def brute_leaks(items, docs):
         w = re.findall("[a-z0-9]+", (text or "").lower())
         for k, item in items:
             q = item.split()
-            n, tail = len(q), q[-max(2, len(q) // 4) :]
-            width, step = (n + n // 2, n // 4) if n >= decontamination.SHORT else (n, 1)
-            best = None
-            for lo in range(0, len(w), step):
-                part = w[lo : lo + width]
+            n, tail, best = len(q), q[-max(2, len(q) // 4) :], None
+            for lo in range(0, len(w), max(1, n // 4)):
+                part = w[lo : lo + n + n // 2]
                 if sum(map(set(part).__contains__, q)) * 2 >= n:  # a subsequence of 0.6 has more of its words
-                    lcs, answer = decontamination.longest_common(q, part) / n, decontamination.longest_common(tail, part) / len(tail)
-                    if lcs == 1 or n >= decontamination.SHORT and (lcs >= 0.8 or lcs >= 0.6 and answer >= 0.6):
+                    common = decontamination.longest_common(q, part)
+                    lcs, answer = common / n, decontamination.longest_common(tail, part) / len(tail)
+                    if common >= min(n, 8) and (lcs >= 0.8 or lcs >= 0.6 and answer >= 0.6):
                         best = max(best or (0, 0), (lcs, answer))
             if best:
                 out.add((i, k, *best))
@@ -371,10 +370,18 @@ def test_leaks_of_more_items_than_dimensions(spark):
     items, docs = crowded_corpus(random.Random(16))
     found = decontamination.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
     expected = brute_leaks(items, docs)
-    assert len({k for _, k, _, _ in expected if len(items[k][1].split()) < decontamination.SHORT}) > 50
+    assert len({k for _, k, _, _ in expected if len(items[k][1].split()) < decontamination.EVIDENCE}) > 50
     assert {(r.doc_id, r.item_id, r.lcs, r.answer) for r in found} == expected
 
 
+def test_a_benchmark_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_ITEMS", 40)
+    items, docs = crowded_corpus(random.Random(17))
+    items, docs = items[:100], docs[:60]
+    found = decontamination.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.lcs, r.answer) for r in found} == brute_leaks(items, docs)
+
+
 def test_a_longer_span_without_the_answer_hides_no_leak(spark):
     item = [f"w{k}" for k in range(40)]
     begun, ended, other = item[:28], item[14:], [f"x{k}" for k in range(150)]
