@@ -11,25 +11,28 @@ from pyspark.sql import functions as F
 
 # ---- fixed values
 WORD = r"[\p{L}\p{N}_]"
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-BLANK = r"[ \t\x0b\f\r\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANK = r"[ \t\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
-BM25_TOKEN = r"[A-Za-z0-9ऀ-ॿ]+(?:[-/.][A-Za-z0-9]+)*"
-BULLETS = "[▪●]"
-SENTENCE_END = "[.!?।]"
+BM25_TOKEN = r"[A-Za-z0-9\u0900-\u097f]+(?:[-/.][A-Za-z0-9]+)*"
+BULLETS = "[\uf0a7\uf0b7\uf076\uf0d8\uf0fc\u25aa\u25cf]"
+SENTENCE_END = "[.!?\u0964]"
 ABBREVIATIONS = ("i.e", "e.g", "etc", "viz", "Rs", "No", "Nos", "Dr", "Mr", "Mrs", "Ms", "Smt", "Shri", "Govt", "Dept", "approx", "vs", "Sl", "St")
-DOT = "․"
+DOT = "\u2024"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 PERIOD = r"per\s+month|per\s+annum|per\s+year|a\s+month|a\s+year|monthly|annually|yearly|per\s+day|daily|p\.?m\.?|p\.?a\.?"
 PERIOD_NAMES = {"a month": "per month", "monthly": "per month", "pm": "per month", "a year": "per year", "per annum": "per year",
                 "annually": "per year", "yearly": "per year", "pa": "per year", "daily": "per day"}
 CITATION = r"\[(\d{1,2})\]"
 GRAPH_STOP_WORDS = (
-    "a an the and or of to in on for by with from at as is are was were be been does do did what which who whom whose when where "
-    "why how this that these those it its their his her about tell me under can will should would much many any all there "
-    "according document documents uploaded").split()
-INDIC_WORD = r"[ऀ-ॿ஀-௿]+"
-INDIC_SIGN = r"^[ऀ-ःऺ-ॏ॑-ॗॢॣஂா-்ௗ]"
+    "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "by", "with", "from", "at", "as", "is", "are",
+    "was", "were", "be", "been", "does", "do", "did", "what", "which", "who", "whom", "whose", "when", "where", "why",
+    "how", "this", "that", "these", "those", "it", "its", "their", "his", "her", "about", "tell", "me", "under",
+    "can", "will", "should", "would", "much", "many", "any", "all", "there", "according", "document", "documents",
+    "uploaded",
+)
+INDIC_WORD = r"[\u0900-\u097f\u0b80-\u0bff]+"
+INDIC_SIGN = r"^[\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u0b82\u0bbe-\u0bcd\u0bd7]"
 
 
 def _sub(c: Column, pattern: str, to: str) -> Column:

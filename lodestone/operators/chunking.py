@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 
+_PARAGRAPH, _SENTENCE = re.compile(r"(?s).*\n\s*\n"), re.compile(r"(?s).*[.!?]\s+")
+
+
+def pieces_of(text: str | None, size: int, overlap: int) -> list[str] | None:
+    """The pieces of one text; see ``split_text``."""
+    if text is None or len(text) <= size:
+        return [text] if text else None if text is None else []
+    out, start, half = [], 0, size // 2
+    while start + size < len(text):
+        window = text[start : start + size]
+        cut = size
+        for pattern in (_PARAGRAPH, _SENTENCE):
+            found = pattern.match(window)
+            if found and found.end() > half:
+                cut = found.end()
+                break
+        else:
+            blank = window.rfind(" ", half)
+            cut = blank if blank >= 0 else size
+        if cut <= overlap:  # such a piece would begin again where it began
+            cut = size
+        out.append(text[start : start + cut])
+        start += cut - overlap
+    return [p for p in map(str.strip, [*out, text[start:]]) if p]
+
 
 def split_text(c: Column, size: int = 800, overlap: int = 120) -> Column:
     """Pieces of at most ``size`` characters that end, in this order of
@@ -14,27 +43,16 @@ def split_text(c: Column, size: int = 800, overlap: int = 120) -> Column:
     second half of the window), or at the window's end; each piece begins
     ``overlap`` characters before the end of the one before.
 
-    It's one fold over as many steps as the text can need."""
-    if not 0 <= overlap < size // 2:
-        raise ValueError("overlap must be smaller than half of size")
-    half = size // 2
-    steps = F.ceil(F.length(c) / (half - overlap)).cast("int") + 1
-
-    def step(state: Column, _: Column) -> Column:
-        start = state["start"]
-        window = F.substring(c, start + 1, F.lit(size))
-        paragraph = F.length(F.regexp_extract(window, rf"(?s)^.*\n{T.SPACE}*\n", 0))
-        sentence = F.length(F.regexp_extract(window, rf"(?s)^.*[.!?]{T.SPACE}+", 0))
-        blank = F.length(window) - F.instr(F.reverse(window), " ")
-        cut = F.when(paragraph > half, paragraph).when(sentence > half, sentence).when(F.contains(window, F.lit(" ")) & (blank >= half), blank).otherwise(size)
-        last = start + size >= F.length(c)
-        piece = F.when(last, F.substring(c, start + 1, F.length(c))).otherwise(F.substring(c, start + 1, cut))
-        moved = F.struct((start + cut - overlap).cast("int").alias("start"), last.alias("done"), F.concat(state["pieces"], F.array(T.strip(piece))).alias("pieces"))
-        return F.when(state["done"], state).otherwise(moved)
-
-    first = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("pieces"))
-    folded = F.aggregate(F.sequence(F.lit(1), steps), first, step, lambda s: s["pieces"])
-    return F.filter(F.when(F.length(c) <= size, F.array(c)).otherwise(folded), lambda p: p != "")
+    Where a piece ends depends on where it began, so texts are walked once, in
+    Arrow batches."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pieces_of(t, size, overlap))
+
+    return walk(c)
 
 
 def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 120, cleaned: bool = False) -> DataFrame:

@@ -34,9 +34,10 @@ def build_context(hits: DataFrame, max_chars: int = MAX_CHARS, max_sources: int
 
     Chunks are taken best first; one that doesn't fit the rest of the budget is
     skipped and later ones still tried; the first is cut at a word if it alone
-    is too long.  A repeated chunk id keeps its best rank.  The fold runs over a
-    query's ranked list, which the retrievers have bounded."""
-    best = hits.groupBy("query_id", "chunk_id").agg(F.min_by("text", "hit_rank").alias("text"), F.min("hit_rank").alias("hit_rank"))
+    is too long.  A repeat of a chunk that was taken is passed over; a repeat of
+    one that was dropped is looked at again, all its sentences being known by then.
+    The fold runs over a query's ranked list, which the retrievers have bounded."""
+    best = hits.select("query_id", "hit_rank", "chunk_id", "text")
     marked = distinct_sentences(best, min_words)
     kept = marked.groupBy("query_id", "hit_rank").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fresh"), F.struct("pos", "sentence")))), lambda s: F.concat(F.lit("• "), s["sentence"])), "\n").alias("text"),
@@ -53,13 +54,15 @@ def build_context(hits: DataFrame, max_chars: int = MAX_CHARS, max_sources: int
         add = F.concat(s["sources"], F.array(F.struct((n + 1).alias("ref"), c["chunk_id"].cast("string").alias("chunk_id"), text.alias("text"))))
         state = lambda sources, used, dropped, removed: F.struct(sources.alias("sources"), used.alias("used"), dropped.alias("dropped"), removed.alias("removed"))
         removed = s["removed"] + c["repeats"]
+        taken = F.exists(s["sources"], lambda x: x["chunk_id"] == c["chunk_id"].cast("string"))
         return (
-            F.when(n >= max_sources, state(s["sources"], s["used"], s["dropped"] + 1, s["removed"]))
+            F.when(taken, s)
+            .when(n >= max_sources, state(s["sources"], s["used"], s["dropped"] + 1, s["removed"]))
             .when((c["text"] == "") | (~fits & (n > 0)), state(s["sources"], s["used"], s["dropped"] + 1, removed))
             .otherwise(state(add, s["used"] + F.length(text), s["dropped"], removed)))
 
     folded = chunks.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("ranked")).withColumn("s", F.aggregate("ranked", start, step))
-    return folded.select("query_id", F.col("s.sources").alias("sources"), F.col("s.dropped").alias("dropped_chunks"), F.col("s.removed").alias("removed_duplicate_sentences"), (F.size("s.sources") == 0).alias("is_empty"))
+    return folded.select("query_id", F.col("s.sources").alias("sources"), F.col("s.dropped").alias("dropped_chunks"), F.col("s.removed").alias("removed_duplicate_sentences"), (F.size("s.sources") == 0).alias("is_empty"), F.col("s.used").alias("used_chars"))
 
 
 def attach_facts(sources: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -71,14 +74,15 @@ def attach_facts(sources: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def render(sources: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """query_id and the evidence block of sources (query_id, ref, document_name, page_number, text)."""
+    """query_id, the evidence block of sources (query_id, ref, document_name,
+    page_number, text) and its char_count."""
     page = F.when(F.coalesce(F.col("page_number"), F.lit(0)) != 0, F.concat(F.lit(' page="'), F.col("page_number").cast("string"), F.lit('"'))).otherwise("")
     block = F.concat(F.lit('<source id="'), F.col("ref").cast("string"), F.lit('" document="'), T.escape_tags(F.col("document_name")), F.lit('"'), page, F.lit(">\n"), T.escape_tags(F.col("text")), F.lit("\n</source>"))
     join = lambda order, c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, c.alias("x")))), lambda s: s["x"]), by)
     out = sources.groupBy("query_id").agg(join(["ref"], block, "\n\n").alias("context"))
     if facts is None:
-        return out
+        return out.withColumn("char_count", F.length("context"))
     line = F.concat(F.lit("- "), T.escape_tags(F.col("fact")), F.lit(" ["), F.col("source_ref").cast("string"), F.lit("]"))
     lines = facts.groupBy("query_id").agg(join(["source_ref", "fact"], line, "\n").alias("lines"))
     tail = F.concat(F.lit("\n\n<graph_facts>\n"), F.col("lines"), F.lit("\n</graph_facts>"))
-    return out.join(lines, "query_id", "left").select("query_id", F.concat("context", F.coalesce(tail, F.lit(""))).alias("context"))
+    return out.join(lines, "query_id", "left").select("query_id", F.concat("context", F.coalesce(tail, F.lit(""))).alias("context")).withColumn("char_count", F.length("context"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..sources.tables import stash
 
 RRF_K = 60
 RETRIEVERS = ("vector", "bm25", "knowledge_graph")
@@ -50,16 +53,17 @@ def fuse(hits: dict[str, DataFrame], method: str = "rrf", **options) -> DataFram
     return METHODS[method](union_hits(hits), **options)
 
 
-def retrieve_each(retrievers: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
-    """Each retriever's list; one that fails to plan is left out, the others stay."""
-    out = {}
+def retrieve_each(retrievers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(each retriever's list, the errors of those that failed).  Lists are written
+    at once, so that a failure in the run is noticed and stops no other retriever."""
+    out, failed = {}, {}
     for name in RETRIEVERS:
         if name in retrievers:
             try:
-                out[name] = retrievers[name]()
-            except Exception:  # noqa: BLE001 - a retriever that is down must not stop the others
-                continue
-    return out
+                out[name] = stash(retrievers[name](), f"{name}-hits")
+            except Exception as x:  # noqa: BLE001 - told to the caller
+                failed[name] = f"{type(x).__name__}: {x}"[:500]
+    return out, failed
 
 
 def compare(hits: dict[str, DataFrame]) -> DataFrame:
@@ -81,3 +85,31 @@ def rerank(fused: DataFrame, top_k: int = 5, min_score: float = 0.0, candidates:
     scored = few.withColumn("rerank_score", F.round(T.sigmoid(logit(F.col("question"), F.substring("text", 1, max_chars))), 4)).where(F.col("rerank_score") >= min_score)
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "fused_rank")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def keep_order(fused: DataFrame, top_k: int) -> DataFrame:
+    """The first ``top_k`` in the fused order, without a score."""
+    return fused.where(F.col("fused_rank") <= top_k).withColumns({"rerank_score": F.lit(None).cast("double"), "rank": F.col("fused_rank")})
+
+
+def rerank_or_keep(fused: DataFrame, top_k: int = 5, min_score: float = 0.0, candidates: int = 30, logit: Callable[[Column, Column], Column] = overlap_logit, failed: dict[str, str] | None = None) -> DataFrame:
+    """``rerank``, written at once; if the scorer fails, the fused order stays and
+    ``failed`` says why."""
+    try:
+        return stash(rerank(fused, top_k, min_score, candidates, logit=logit), "reranked")
+    except Exception as x:  # noqa: BLE001 - told to the caller
+        if failed is not None:
+            failed["reranker"] = f"{type(x).__name__}: {x}"[:500]
+        return keep_order(fused, top_k)
+
+
+def predicted_logit(predict: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A scorer around a model: ``predict`` gets (question, text) pairs, ``batch``
+    at a time, and gives a logit for each."""
+
+    @F.pandas_udf(DoubleType())
+    def run(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        pairs = list(zip(questions.fillna(""), texts.fillna(""), strict=True))
+        return pd.Series([float(x) for lo in range(0, len(pairs), batch) for x in predict(pairs[lo : lo + batch])], dtype="float64")
+
+    return run

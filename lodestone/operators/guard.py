@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from ..functions import text as T
 
 # ---- fixed values
-HIDDEN = "[​-‏‪-‮⁠-⁤﻿]"
+HIDDEN = "[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 INJECTIONS = (
     (r"\b(ignore|disregard|forget|override|bypass)\b.{0,40}\b(previous|prior|above|earlier|all|your|system|these|the)\b.{0,20}\b(instructions?|rules?|prompts?|guidelines?|directions?)", "asks to ignore instructions"),
@@ -45,6 +45,15 @@ CHIT_CHAT = (
 )
 MAX_CHARS, MIN_LETTERS = 1000, 2
 
+#: What a reader is told of a question that isn't answered.
+MESSAGES = {
+    "invalid": "This isn't a question that can be looked up. Ask about your documents, in a sentence of up to 1,000 characters.",
+    "prompt_injection": "Only questions about your documents are answered; instructions to the assistant are not followed.",
+    "sensitive_data": "The question holds what looks like a secret or a card number. It was not processed; remove it and ask again.",
+    "out_of_scope": "Only questions about your documents are answered; other tasks are not.",
+    "chit_chat": "Hello! Ask a question about your documents, and the answer will name its sources.",
+}
+
 
 @F.pandas_udf(StringType())
 def compatible(texts: pd.Series) -> pd.Series:
@@ -66,7 +75,8 @@ def sanitize(question: Column, normalized: Column | None = None) -> tuple[Column
 
 
 def screen(questions: DataFrame, question_col: str = "question", max_chars: int = MAX_CHARS, min_letters: int = MIN_LETTERS, block_out_of_scope: bool = True) -> DataFrame:
-    """The rows with cleaned, changes, category, reason and allowed.
+    """The rows with cleaned, changes, category, reason, allowed and message (null
+    where allowed).
 
     Category by precedence: invalid, then for the cleaned text and next for the
     raw one sensitive_data and prompt_injection, chit_chat, out_of_scope, ok."""
@@ -86,5 +96,6 @@ def screen(questions: DataFrame, question_col: str = "question", max_chars: int
     verdict = verdict.when(F.col("cleaned").rlike(CHIT_CHAT), say("chit_chat", "greeting or small talk"))
     if block_out_of_scope:
         verdict = verdict.when(F.col("cleaned").rlike(OUT_OF_SCOPE), say("out_of_scope", "task is not a question about the documents"))
+    messages = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
     rows = rows.withColumn("__v", verdict.otherwise(say("ok", "")))
-    return rows.select(*questions.columns, "cleaned", "changes", "__v.category", "__v.reason", (F.col("__v.category") == "ok").alias("allowed"))
+    return rows.select(*questions.columns, "cleaned", "changes", "__v.category", "__v.reason", (F.col("__v.category") == "ok").alias("allowed"), F.try_element_at(messages, F.col("__v.category")).alias("message"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered
+
 EXTENSIONS = (".pdf", ".docx", ".txt", ".md")
 MAX_BYTES = 25 << 20
 
@@ -19,22 +21,23 @@ def register(new: DataFrame, stored: DataFrame | None = None, order_col: str = "
     """Documents of ``new`` with file_hash whose content isn't stored yet; of
     equal ones within ``new`` the first by ``order_col``."""
     hashed = new.withColumn("file_hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    first = hashed.groupBy("file_hash").agg(F.min(order_col).alias(order_col))
+    first = hashed.groupBy("file_hash").agg(F.min(order_col).alias("__first"))
     if stored is not None:
         first = first.join(stored.select("file_hash"), "file_hash", "left_anti")
-    return hashed.join(first, ["file_hash", order_col], "left_semi")
+    # Texts without an id come last: one is kept where no other document has its content.
+    found = hashed.join(first, "file_hash").where(F.col(order_col).eqNullSafe(F.col("__first"))).drop("__first")
+    return found.dropDuplicates(["file_hash"])
 
 
 def all_chunks(registry: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of registered documents, with their place in the corpus by registration."""
-    order = Window.orderBy("uploaded_at", "document_id")
-    places = registry.select("document_id", "uploaded_at").withColumn("document_ord", F.row_number().over(order)).drop("uploaded_at")
+    """Chunks of registered documents, with their document's place in the order of registration."""
+    places = numbered(registry.select("document_id", "uploaded_at"), ["uploaded_at", "document_id"], "document_ord").drop("uploaded_at")
     return chunks.join(places, "document_id")
 
 
 def remove(document_id: str, **tables: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the document's rows."""
-    return {name: t.where(F.col("document_id") != document_id) for name, t in tables.items()}
+    """Every table without the document's rows; rows of no document stay."""
+    return {name: t.where(~F.col("document_id").eqNullSafe(F.lit(document_id))) for name, t in tables.items()}
 
 
 def stats(registry: DataFrame, vectors: DataFrame, postings_lengths: DataFrame) -> DataFrame:

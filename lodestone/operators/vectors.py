@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
+from ..sources.tables import stash
 
-MAX_QUERIES_BYTES = 64 << 20
+MAX_QUERIES_BYTES = 16 << 20  # of question vectors that a task holds at once
+DIM = 64
+Embedder = Callable[[list[str]], np.ndarray]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,14 +32,50 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
 
 
-def hashed_terms(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """(id, bucket, weight): a signed count by bucket of the tokens' MD5, scaled
-    to unit length.  A text without tokens has no rows."""
-    token = rows.select(id_col, F.explode(T.bm25_tokens(F.col(text_col))).alias("t"))
-    code = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long")
-    signed = token.groupBy(id_col, (code % dim).cast("int").alias("bucket")).agg(F.sum(F.when(F.floor(code / dim) % 2 == 0, 1).otherwise(-1)).cast("double").alias("w")).where("w <> 0")
-    size = signed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return signed.join(size, id_col).select(id_col, "bucket", (F.col("w") / F.col("size")).alias("weight"))
+_TOKEN = re.compile(T.BM25_TOKEN)
+
+
+@lru_cache(1 << 18)
+def _code(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+
+
+def hashed_terms(texts: list[str]) -> np.ndarray:
+    """A signed count by bucket of the tokens' MD5, scaled to unit length; zeros
+    for a text without tokens.  It stands in for a sentence encoder."""
+    out = np.zeros((len(texts), DIM))
+    for row, text in zip(out, texts, strict=True):
+        codes = np.array([_code(t.lower()) for t in _TOKEN.findall(text or "")], np.int64)
+        if len(codes):
+            row += np.bincount(codes % DIM, np.where(codes // DIM % 2 == 0, 1.0, -1.0), DIM)
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, size, where=size > 0, out=out)
+
+
+def embed(rows: DataFrame, text_col: str = "text", name: str = "vec", embedder: Embedder = hashed_terms) -> DataFrame:
+    """``rows`` with a vector of each text, by Arrow batches."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(embedder(texts.fillna("").tolist())))
+
+    return rows.withColumn(name, run(F.col(text_col)))
+
+
+def add_chunks(stored: DataFrame | None, chunks: DataFrame, embedder: Embedder = hashed_terms) -> DataFrame:
+    """(chunk_id, document_id, vec) of the stored vectors and of ``chunks`` whose id
+    isn't stored yet."""
+    new = chunks if stored is None else chunks.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+    new = embed(new.select("chunk_id", "document_id", "text"), embedder=embedder).drop("text")
+    return new if stored is None else stored.select("chunk_id", "document_id", "vec").unionByName(new)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Stored vectors; an index that isn't there or can't be read counts as empty."""
+    try:
+        return spark.read.parquet(path).select("chunk_id", "document_id", "vec")
+    except Exception:  # noqa: BLE001 - whatever is wrong with the files, searching must go on
+        return spark.createDataFrame([], "chunk_id string, document_id string, vec array<double>")
 
 
 def _top(scored: DataFrame, top_k: int) -> DataFrame:
@@ -34,22 +83,72 @@ def _top(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "score")
 
 
-def search_hashed(chunks: DataFrame, queries: DataFrame, top_k: int = 10, dim: int = 64) -> DataFrame:
-    """query_id, rank, chunk_id, score by the cosine of hashed terms."""
-    own = hashed_terms(chunks, "chunk_id", "text", dim)
-    asked = hashed_terms(queries, "query_id", "question", dim).withColumnRenamed("weight", "qw")
-    return _top(own.join(asked, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")), top_k)
-
-
 def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """query_id, rank, chunk_id, score by inner product, exactly: vectors
     (chunk_id, vec) and queries (query_id, qvec).  ``top_k`` beyond the number of
-    vectors gives all.  Every vector meets every query of the given set, which is
-    broadcast when its size, once counted, is small, and dealt out otherwise."""
-    size = queries.select(F.sum(F.size("qvec") * 8)).first()[0] or 0
-    side = F.broadcast(queries) if size <= MAX_QUERIES_BYTES else queries
-    return _top(vectors.crossJoin(side).select("query_id", "chunk_id", dot(F.col("vec"), F.col("qvec")).alias("score")), top_k)
+    vectors gives all.  A vector that is zero wherever the question's isn't is no hit.
+
+    Questions are taken in blocks of MAX_QUERIES_BYTES, each with one pass over
+    the vectors; a task keeps the best of each batch, and only these move."""
+    n, size = queries.where("qvec IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum(F.size("qvec") * 8), F.lit(0))).first()
+    blocks = -(-size // MAX_QUERIES_BYTES)
+    if blocks > 1:
+        queries = stash(queries.withColumn("__block", F.floor(F.rand(1) * 2 * blocks)), "questions")
+    query_type, chunk_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    schema = f"query_id {query_type}, chunk_id {chunk_type}, score double"
+    parts = [queries.where(F.col("__block") == k) for k in range(2 * blocks)] if blocks > 1 else [queries] * (n > 0)
+    if not parts:
+        return _top(vectors.sparkSession.createDataFrame([], schema), top_k)
+    scored = None
+    for part in parts:
+        rows = part.where("qvec IS NOT NULL").select("query_id", "qvec").toArrow()
+        found = vectors.select("chunk_id", "vec").where("vec IS NOT NULL").mapInArrow(_best_of(rows, top_k), schema)
+        scored = found if scored is None else scored.unionByName(found)
+    return _top(scored, top_k)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best_of(questions: pa.Table, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ids = questions.column(0).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _matrix(questions.column(1).combine_chunks())
+        for batch in batches:
+            if not batch.num_rows or not len(asked):
+                continue
+            own = _matrix(batch.column(1))
+            place = np.empty(len(own), np.int64)
+            place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(len(own))
+            rows, cols, scores = [], [], []
+            for q in range(len(asked)):
+                if q % 64 == 0:
+                    block = asked[q : q + 64].T
+                    products, shared = own @ block, (own != 0).astype(np.float32) @ (block != 0).astype(np.float32)
+                score = products[:, q % 64]
+                use = np.flatnonzero(shared[:, q % 64] > 0)
+                if len(use) > 4 * top_k:  # whatever rounds to the k-th best may be among them
+                    kth = np.partition(score[use], len(use) - top_k)[len(use) - top_k]
+                    use = use[score[use] >= kth - 2e-9]
+                best = use[np.lexsort((place[use], -np.round(score[use], 9)))[:top_k]]
+                rows.append(best)
+                cols.append(np.full(len(best), q))
+                scores.append(score[best])
+            rows, cols, scores = map(np.concatenate, (rows, cols, scores))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols)), batch.column(0).take(pa.array(rows)), pa.array(scores)], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def search_hashed(chunks: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    """query_id, rank, chunk_id, score by the cosine of hashed terms."""
+    return search(embed(chunks.select("chunk_id", "text")), embed(queries.select("query_id", "question"), "question", "qvec"), top_k)
 
 
-def delete_document(vectors: DataFrame, document_id: str) -> DataFrame:
-    return vectors.where(F.col("document_id") != document_id)
+def delete_document(vectors: DataFrame, document_id: str) -> tuple[DataFrame, DataFrame]:
+    """(the vectors without the document's, one row with the number removed);
+    vectors of no document stay."""
+    own = F.col("document_id").eqNullSafe(F.lit(document_id))
+    return vectors.where(~own), vectors.agg(F.count_if(own).alias("removed"))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, chunking, context, evaluate, fusion, graph, guard, registry, vectors, verify
+from ..operators import bm25, chunking, context, evaluate, fusion, graph, guard, registry, search, vectors, verify
+from ..operators.graph_store import GraphStore
+from ..operators.store import DocumentStore
+from ..sources.tables import numbered, read_spread, read_table, shared_dir, stash
 from .oracles import ORACLES  # noqa: F401 - read by the driver's entry
 
-QUESTION = "Does Customer#000000007 work in NATION_3 or NATION_7, located in AFRICA?"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return (read_spread if name in ("documents", "conversations") else read_table)(spark, sf_dir, name)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +37,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text")
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in overlapping chunks, written once."""
+    return stash(chunking.chunk_pages(_pages(spark, sf_dir)), "chunks")
+
+
 # ---- ingestion
 
 
@@ -93,11 +104,13 @@ def hashed_vector_search(spark, sf_dir):
     return vectors.search_hashed(_chunks(spark, sf_dir), _questions(spark, sf_dir)).withColumn("score", F.round("score", 5))
 
 
+def _hybrid(spark, sf_dir, chunks: DataFrame) -> search.Hybrid:
+    embedded = stash(vectors.embed(chunks.select("chunk_id", "text")).drop("text"), "vectors")
+    return search.Hybrid.of(search.Settings(min_relevance_score=0.3), search.TableVectors(embedded), search.Keywords(bm25.build_index(chunks)))
+
+
 def _hits(spark, sf_dir) -> dict[str, DataFrame]:
-    chunks, asked = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    return fusion.retrieve_each({
-        "vector": lambda: vectors.search_hashed(chunks, asked),
-        "bm25": lambda: bm25.search(bm25.build_index(chunks), asked)})
+    return _hybrid(spark, sf_dir, _chunks(spark, sf_dir)).retrieve_each(_questions(spark, sf_dir))
 
 
 def compare_retrievers(spark, sf_dir):
@@ -118,9 +131,8 @@ def weighted_fusion(spark, sf_dir):
 
 
 def _reranked(spark, sf_dir) -> DataFrame:
-    fused = fusion.fuse(_hits(spark, sf_dir)).select("query_id", "fused_rank", "chunk_id")
-    rows = fused.join(_questions(spark, sf_dir), "query_id").join(_chunks(spark, sf_dir), "chunk_id")
-    return fusion.rerank(rows, min_score=0.3)
+    chunks = _pieces(spark, sf_dir)
+    return _hybrid(spark, sf_dir, chunks).retrieve(_questions(spark, sf_dir), chunks.select("chunk_id", "text"))[0]
 
 
 def rerank_threshold(spark, sf_dir):
@@ -133,6 +145,26 @@ def context_build(spark, sf_dir):
     return built.select("query_id", F.size("sources").alias("n_sources"), F.sha2(F.array_join(F.transform("sources", lambda s: s["text"]), "\n\n"), 256).alias("context_sha256"), "dropped_chunks", "removed_duplicate_sentences", "is_empty")
 
 
+def retrieval_counts(spark, sf_dir):
+    chunks = _pieces(spark, sf_dir)
+    return _hybrid(spark, sf_dir, chunks).retrieve(_questions(spark, sf_dir), chunks.select("chunk_id", "text"))[1]
+
+
+def search_metadata(spark, sf_dir):
+    chunks = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("document_name"), F.lit(1).alias("page_number"), "text")
+    hits = search.with_metadata(bm25.search(bm25.build_index(chunks), _questions(spark, sf_dir)), chunks)
+    return hits.select("query_id", "rank", "chunk_id", "document_id", "document_name", "page_number", F.sha2("text", 256).alias("text_sha256"), F.round("score", 5).alias("score"))
+
+
+def context_render(spark, sf_dir):
+    """Turns of a conversation as sources, with a fact on each that the user said."""
+    talk = _table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    sources = talk.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("ref"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("document_name"), F.col("turn").cast("int").alias("page_number"), "text")
+    told = talk.where("role = 'user'").select(F.col("conv_id").alias("query_id"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.lit("the user").alias("source"), F.lit("PART_OF").alias("type"), F.concat(F.lit("talk <source "), F.col("conv_id").cast("string")).alias("target"), F.col("text").alias("evidence"))
+    facts = context.attach_facts(sources, told)
+    return context.render(sources, facts).select("query_id", F.sha2("context", 256).alias("context_sha256"), "char_count")
+
+
 def sentence_split(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -162,8 +194,24 @@ def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"entities": nodes.select("entity_id", "name", "type", "description"), "edges": edges.select("relationship_id", "source_id", "target_id", "type"), "evidence": evidence, "mentions": mentions}
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUESTION).alias("question"))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question on every 50th customer."""
+    customer, nation, region = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = customer.where("c_custkey % 50 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Does "), "c_name", F.lit(" work in "), "n_name", F.lit(", located in "), "r_name", F.lit("?")).alias("question"))
+
+
+def _order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat_ws(" ", F.lit("Order"), "o_orderkey", F.lit("of"), "c_name", F.lit("in"), "n_name", F.lit("priority"), "o_orderpriority")
+    return rows.select(F.col("o_orderkey").alias("chunk_id"), F.year("o_orderdate").alias("document_id"), F.concat(F.lit("orders of "), F.year("o_orderdate").cast("string")).alias("document_name"), F.lit(1).alias("page_number"), text.alias("text"))
+
+
+def _graph_found(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    g, asked = _graph(spark, sf_dir), _asked(spark, sf_dir)
+    seeds = stash(graph.seed_entities(g["entities"], asked), "seeds")
+    return g, seeds, graph.graph_search(g["edges"], g["evidence"], g["mentions"], seeds, asked)
 
 
 def entity_ids(spark, sf_dir):
@@ -171,18 +219,34 @@ def entity_ids(spark, sf_dir):
 
 
 def graph_seed_entities(spark, sf_dir):
-    return graph.seed_entities(_graph(spark, sf_dir)["entities"], _asked(spark))
+    return graph.seed_entities(_graph(spark, sf_dir)["entities"], _asked(spark, sf_dir))
 
 
 def graph_one_hop(spark, sf_dir):
     g = _graph(spark, sf_dir)
-    return graph.one_hop(g["edges"], graph.seed_entities(g["entities"], _asked(spark))).select("relationship_id", "source_id", "target_id", "type")
+    return graph.one_hop(g["edges"], graph.seed_entities(g["entities"], _asked(spark, sf_dir))).select("query_id", "relationship_id", "source_id", "target_id", "type")
 
 
 def graph_search(spark, sf_dir):
-    g, asked = _graph(spark, sf_dir), _asked(spark)
-    found = graph.graph_search(g["edges"], g["evidence"], g["mentions"], graph.seed_entities(g["entities"], asked), asked)
-    return found.select("rank", "chunk_id", "score", F.array_join("entities", "|").alias("entities"))
+    found = _graph_found(spark, sf_dir)[2]
+    return found.select("query_id", "rank", "chunk_id", "score", F.array_join("entities", "|").alias("entities"))
+
+
+def graph_hits(spark, sf_dir):
+    """Graph hits with their chunks, and how many facts each tells."""
+    g, seeds, found = _graph_found(spark, sf_dir)
+    found = stash(found, "graph-hits")
+    facts = graph.hit_facts(g["edges"], g["evidence"], g["entities"], seeds, found).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n_facts"), F.round(F.max("confidence"), 6).alias("confidence"))
+    hits = graph.evidence_hits(found, _order_chunks(spark, sf_dir)).drop("entities")
+    return hits.join(facts, ["query_id", "chunk_id"], "left").select(*hits.columns, F.coalesce("n_facts", F.lit(0).cast("long")).alias("n_facts"), "confidence")
+
+
+def graph_fusion(spark, sf_dir):
+    """Orders found by keywords and through the graph, fused."""
+    g, asked = _graph(spark, sf_dir), _asked(spark, sf_dir)
+    retrievers = search.Hybrid.of(search.Settings(), None, search.Keywords(bm25.build_index(_order_chunks(spark, sf_dir))), search.GraphRetriever(g["entities"], g["edges"], g["evidence"], g["mentions"]))
+    fused = fusion.fuse(retrievers.retrieve_each(asked))
+    return fused.select("query_id", "fused_rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("retrievers", ",").alias("retrievers"))
 
 
 def graph_delete_document(spark, sf_dir):
@@ -202,31 +266,132 @@ def graph_upsert_evidence(spark, sf_dir):
     return graph.upsert_evidence(old, new).groupBy("relationship_id").agg(F.round(F.max("confidence"), 6).alias("confidence"), F.count("*").alias("n_chunks"))
 
 
-def _raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model might return for each document: its first words, some wrong."""
-    kinds = F.array(*map(F.lit, ["Person", "organization", "Animal", "Concept"]))
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.posexplode(F.slice(F.concat(words, F.array(F.lit("zzzz"))), 1, 4)).alias("pos", "name"))
-    return rows.select("chunk_id", "pos", "name", F.element_at(kinds, ((F.col("chunk_id") + F.col("pos")) % 4 + 1).cast("int")).alias("type"), F.lit("").alias("description"), "text")
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their words and the key of their text; every fifth word stands in
+    for what a model would name."""
+    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != "")
+    rows = _pieces(spark, sf_dir).select("chunk_id", "document_id", (F.col("document_id") + F.col("chunk_ord")).alias("n"), words.alias("words"), T.canonical_key(F.col("text")).alias("text_key"))
+    fifth = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 5).cast("int")), lambda k: F.element_at("words", k * 5 + 1))
+    return rows.where(F.size("words") > 0).withColumn("named", F.concat(fifth, F.array(F.lit("zzzz"))))
+
+
+def _kind(kinds: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, kinds)), (k % len(kinds) + 1).cast("int"))
+
+
+def _raw_entities(told: DataFrame) -> DataFrame:
+    """What a model might return for each chunk: some of its words, some wrong."""
+    rows = told.select("chunk_id", "n", "text_key", F.posexplode("named").alias("pos", "name"))
+    return rows.select("chunk_id", "pos", "name", _kind(["Person", "organization", "Animal", "Concept"], F.col("n") + F.col("pos")).alias("type"), F.lit("").alias("description"), "text_key")
+
+
+def _raw_relationships(told: DataFrame) -> DataFrame:
+    """A relationship from each named word to the next, with the words between as evidence."""
+    rows = told.select("chunk_id", "n", "text_key", "words", "named", F.posexplode(F.slice("named", 1, F.size("named") - 1)).alias("pos", "source"))
+    number = F.col("n") + F.col("pos")
+    return rows.select("chunk_id", "pos", "source", F.element_at("named", F.col("pos") + 2).alias("target"), _kind(["related to", "Works-For", "likes", "RELATED_TO"], number).alias("type"),
+                       F.array_join(F.slice("words", F.col("pos") * 5 + 1, F.lit(6)), " ").alias("evidence"), (0.65 + (number % 10) / 20).alias("confidence"), "text_key")
 
 
 def entity_validation(spark, sf_dir):
-    return graph.validate_entities(_raw_entities(spark, sf_dir)).select("chunk_id", "pos", "name_key", "entity_type", "reason")
+    return graph.validate_entities(_raw_entities(_told(spark, sf_dir))).select("chunk_id", "pos", "name_key", "entity_type", "reason")
 
 
 def graph_merge(spark, sf_dir):
-    merged = graph.merge_entities(graph.accepted_entities(graph.validate_entities(_raw_entities(spark, sf_dir))))
+    merged = graph.merge_entities(graph.accepted_entities(graph.validate_entities(_raw_entities(_told(spark, sf_dir)))))
     return merged.select("entity_id", "type", "n_chunks")
 
 
+def _relationships(spark, sf_dir) -> DataFrame:
+    told = _told(spark, sf_dir)
+    entities = stash(graph.accepted_entities(graph.validate_entities(_raw_entities(told))), "entities")
+    return graph.validate_relationships(_raw_relationships(told), entities)
+
+
 def relationship_validation(spark, sf_dir):
-    entities = graph.accepted_entities(graph.validate_entities(_raw_entities(spark, sf_dir)))
-    kinds = F.array(*map(F.lit, ["related to", "Works-For", "likes", "RELATED_TO"]))
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    raw = _table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.lit(0).alias("pos"), words[0].alias("source"), F.coalesce(F.get(words, 1), F.lit("")).alias("target"), F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("type"),
-        F.array_join(F.slice(words, 1, 6), " ").alias("evidence"), (0.65 + (F.col("doc_id") % 10) / 20).alias("confidence"), "text")
-    return graph.validate_relationships(raw, entities).select("chunk_id", "relation", "reason")
+    return _relationships(spark, sf_dir).select("chunk_id", "pos", "relation", "reason")
+
+
+def relationship_merge(spark, sf_dir):
+    merged = graph.merge_relationships(graph.accepted_relationships(_relationships(spark, sf_dir)))
+    return merged.select("relationship_id", "type", F.round("confidence", 6).alias("confidence"), "n_evidence", "n_chunks", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+# ---- what is stored
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of folders 1 to 6, or of none."""
+    return _table(spark, sf_dir, "documents").select(F.nullif(F.col("doc_id") % 7, F.lit(0)).alias("document_id"), "doc_id", "text")
+
+
+def remove_document(spark, sf_dir):
+    left = registry.remove(3, rows=_filed(spark, sf_dir))["rows"]
+    return left.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+def register_unnamed(spark, sf_dir):
+    """Rows of no document, registered by their content all the same."""
+    return registry.register(_filed(spark, sf_dir), order_col="document_id").select("document_id", "file_hash")
+
+
+def vector_delete(spark, sf_dir):
+    own = _table(spark, sf_dir, "embeddings").select("vec_id", F.nullif(F.col("vec_id") % 7, F.lit(0)).alias("document_id"))
+    left, removed = vectors.delete_document(own, 3)
+    return left.agg(F.count("*").alias("n_left")).crossJoin(removed)
+
+
+def registry_order(spark, sf_dir):
+    return numbered(_table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"], "document_ord")
+
+
+def split_quality(spark, sf_dir):
+    good, bad = chunking.split_by_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return good.select("doc_id", F.lit("").alias("reason")).unionByName(bad.select("doc_id", "reason"))
+
+
+def _ingested(spark, sf_dir) -> tuple[DocumentStore, DataFrame]:
+    pages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("document_name"), F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text")
+    store = DocumentStore(spark, _folder(spark, "store"))
+    return store, store.ingest(pages)
+
+
+def ingest_documents(spark, sf_dir):
+    return _ingested(spark, sf_dir)[1]
+
+
+def ingest_stats(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0].stats()
+
+
+def graph_replace(spark, sf_dir):
+    """Each year's orders as a document of the graph; then 1995 is replaced by its
+    orders of even keys, and 1996 removed."""
+    g, chunks = _graph(spark, sf_dir), _order_chunks(spark, sf_dir)
+    names = g["entities"].select("entity_id", F.col("name").alias("entity_name"), F.col("type").alias("entity_type"), "description")
+    entities = g["mentions"].select("chunk_id", "entity_id").join(names, "entity_id")
+    facts = g["evidence"].select("chunk_id", "relationship_id", "confidence").join(g["edges"], "relationship_id").withColumn("evidence", F.lit("order"))
+    text = lambda df: df.withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    of = lambda df, own: df.join(own.select("chunk_id"), "chunk_id", "left_semi")
+    store = GraphStore(spark, _folder(spark, "graph"))
+    for own in (chunks, chunks.where("document_id = 1995 AND chunk_id % 2 = 0")):
+        store.replace(text(own), text(of(entities, own)), text(of(facts, own)))
+    store.remove(spark.createDataFrame([("1996",)], "document_id string"))
+    return store.read("documents").select("document_id", "kg_status", "kg_chunks", "kg_entities", "kg_relationships")
+
+
+def graph_document_status(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return graph.document_status(g["mentions"].select("document_id").distinct(), g["mentions"], g["evidence"])
+
+
+def graph_upsert_entities(spark, sf_dir):
+    """Customers are stored with their segment as description; those of even keys
+    come again with a longer one, those of the others with a shorter one."""
+    customer = _table(spark, sf_dir, "customer")
+    entity = customer.select(T.entity_id(F.lit("Organization"), F.col("c_name")).alias("entity_id"), F.col("c_name").alias("name"), F.lit("Organization").alias("type"), F.col("c_mktsegment").alias("description"), "c_custkey")
+    new = entity.withColumn("description", F.when(F.col("c_custkey") % 2 == 0, F.concat("description", F.lit(" segment"))).otherwise("x"))
+    return graph.upsert_entities(entity.where("c_custkey % 3 <> 0").drop("c_custkey"), new.drop("c_custkey"))
 
 
 # ---- guarding, verifying, evaluating
@@ -253,7 +418,7 @@ def answer_check(spark, sf_dir):
     talk = _table(spark, sf_dir, "conversations")
     answers = talk.where("role = 'assistant'").groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by(F.concat("text", F.lit(" It has 12 parts [1].")), "turn").alias("answer"))
     sources = talk.where("role = 'user'").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("ref"), "text")
-    return verify.assemble(answers, verify.check_sentences(answers, sources)).drop("cleaned_answer")
+    return verify.assemble(answers, verify.check_sentences(answers, sources)).select("query_id", "supported", "corrected", "unsupported", "meta", "passed", "has_supported_facts")
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,12 +455,32 @@ def relevance_buckets(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", evaluate.relevance_label(score).alias("relevance"))
 
 
+def observed_behavior(spark, sf_dir):
+    seen = evaluate.observed_behavior(F.col("toxic") == 0, F.when(F.col("quality") == 0, None).otherwise(F.col("doc_id") % 3 == 0), F.when(F.col("doc_id") % 5 == 0, "mentioned_only").otherwise("full"))
+    return _table(spark, sf_dir, "labels").select("doc_id", seen.alias("observed"))
+
+
+def eval_run(spark, sf_dir):
+    """A whole run: what was observed is looked up; every tenth case fails."""
+    cases = _cases(spark, sf_dir).withColumn("id", F.col("doc_id"))
+    seen = cases.where("doc_id % 10 <> 9").select("id", "observed_behavior", "answer", "cited", (F.col("doc_id") % 8 / 4).alias("seconds"), F.lit(None).cast("string").alias("error"))
+    record, _ = evaluate.run_cases(cases.drop("observed_behavior", "answer", "cited").withColumn("question", F.lit("")), lambda asked: asked.select("id").join(seen, "id"), METRICS, "run", "2024-01-01T00:00:00", search.Settings().snapshot())
+    mean = lambda m: F.try_element_at("summary.metrics", F.lit(m))["mean"].alias(m)
+    return record.select("label", "summary.cases", "summary.errors", "summary.avg_seconds", *map(mean, METRICS), F.try_element_at("settings", F.lit("chunk_size")).alias("chunk_size"))
+
+
+def presentation(spark, sf_dir):
+    """How an answer's retrievers and sources are shown."""
+    docs = _table(spark, sf_dir, "documents")
+    method = evaluate.retrieval_method({"vector": F.col("doc_id") % 2, "bm25": F.col("doc_id") % 3, "knowledge_graph": F.col("doc_id") % 5})
+    badges = evaluate.retriever_badges(F.array(F.lit("bm25"), F.when(F.col("doc_id") % 2 == 0, "vector").otherwise("other")))
+    heading = evaluate.source_heading((F.col("doc_id") % 9).cast("int"), F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.col("lang")), F.col("source"))
+    return docs.select("doc_id", method.alias("method"), badges.alias("badges"), heading.alias("heading"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over overlapping chunks: BM25 and vector lists, fused."""
-    chunks = chunking.chunk_pages(_pages(spark, sf_dir))
-    asked = _questions(spark, sf_dir)
-    fused = fusion.fuse({"vector": vectors.search_hashed(chunks, asked), "bm25": bm25.search(bm25.build_index(chunks), asked)})
-    return _flat(fused)
+    return _flat(fusion.fuse(_hybrid(spark, sf_dir, _pieces(spark, sf_dir)).retrieve_each(_questions(spark, sf_dir))))
 
 
 def hybrid_search(spark, sf_dir):
@@ -303,8 +488,13 @@ def hybrid_search(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    clean_documents, chunk_documents, fixed_chunks, document_hash_dedup, quality_filter, upload_validation, index_stats,
-    bm25_term_stats, bm25_search_batch, vector_search_batch, vector_normalize, hashed_vector_search, compare_retrievers, rrf_fusion, weighted_fusion,
-    rerank_threshold, context_build, sentence_split, context_dedup, hybrid_search,
-    entity_ids, graph_seed_entities, graph_one_hop, graph_search, graph_delete_document, graph_counts, graph_upsert_evidence, entity_validation, graph_merge, relationship_validation,
-    input_guardrail, answer_numbers, answer_citations, answer_check, eval_scores, eval_summary, eval_by_behavior, eval_compare, relevance_buckets)}
+    clean_documents, chunk_documents, fixed_chunks, document_hash_dedup, quality_filter, split_quality, upload_validation, index_stats,
+    ingest_documents, ingest_stats, remove_document, register_unnamed, registry_order, vector_delete,
+    bm25_term_stats, bm25_search_batch, search_metadata, vector_search_batch, vector_normalize, hashed_vector_search,
+    compare_retrievers, rrf_fusion, weighted_fusion, rerank_threshold, retrieval_counts,
+    context_build, context_render, sentence_split, context_dedup, hybrid_search,
+    entity_ids, graph_seed_entities, graph_one_hop, graph_search, graph_hits, graph_fusion, graph_delete_document, graph_counts,
+    graph_upsert_evidence, graph_upsert_entities, graph_document_status, graph_replace,
+    entity_validation, graph_merge, relationship_validation, relationship_merge,
+    input_guardrail, answer_numbers, answer_citations, answer_check,
+    observed_behavior, eval_scores, eval_summary, eval_by_behavior, eval_compare, eval_run, relevance_buckets, presentation)}

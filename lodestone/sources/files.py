@@ -89,3 +89,18 @@ def list_runs(spark: SparkSession, folder: str, schema: str, limit: int = 20) ->
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{folder}/*/json")
     name = F.regexp_extract(F.input_file_name(), r"/([^/]+)/json/", 1)
     return rows.groupBy(name.alias("run")).agg(F.count("*").alias("n")).orderBy(F.desc("run")).limit(max(1, min(100, limit)))
+
+
+def read_run(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The scored cases of one run; its name can't lead out of the folder."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
+        raise ValueError(f"not the name of a run: {name!r}")
+    return spark.read.schema(schema).json(f"{folder}/{name}/json")
+
+
+def save_upload(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Keeps raw files (document_id, name, content) as rows of ``folder``, under their
+    document's id, and returns document_id and n_bytes."""
+    kept = files.select("document_id", "name", "content", F.octet_length("content").alias("n_bytes"))
+    kept.write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).select("document_id", "n_bytes")

@@ -27,7 +27,9 @@ def test_answer(spark):
     chunks = spark.createDataFrame(CHUNKS, "chunk_id string, text string")
     asked = spark.createDataFrame([(0, "What pension does PM-KMY pay to farmers?"), (1, "hello"), (2, "zzzz qqqq xxxx"), (3, "broken PM-KMY scheme pension?")], "query_id long, question string")
     got = {r.query_id: r for r in answer.answer(chunks, asked, Scripted, "answer").collect()}
-    assert got[0].answer == "It pays Rs.3,000 per month [1]." and not got[0].grounded and got[0].supported == 1 and got[0].unsupported == 1
+    assert got[0].answer == "It pays Rs.3,000 per month [1]." and got[0].grounded and got[0].supported == 1 and got[0].unsupported == 1
+    assert got[0].refs == [1] and got[0].regenerated and got[0].counters["context_sources"] == 2 and any("removed" in n for n in got[0].notes)
+    assert got[1].message.startswith("Hello") and got[2].insufficient_evidence and got[2].refs == [] and "relevant" in got[2].notes[0]
     assert got[1].category == "chit_chat" and got[1].answer is None
     assert got[2].answer.startswith("I don't have enough") and got[3].answer.startswith("I don't have enough")
 
@@ -49,11 +51,11 @@ def banners(spark, **given):
 
 
 def test_banners(spark):
-    assert banners(spark) == [("success", "Grounded in 2 source(s).")]
+    assert banners(spark) == [("success", "Based on 2 source(s).")]
     assert [k for k, _ in banners(spark, corrected=1, verified=True)] == ["info", "success"]
     assert [k for k, _ in banners(spark, removed=1, regenerated=True)] == ["warning", "info"]
     assert banners(spark, insufficient=True) == [("warning", "The uploaded documents don't contain enough information to answer this.")]
-    assert banners(spark, allowed=False, category="prompt_injection") == [("error", "Question not processed (prompt injection).")] and banners(spark, allowed=False, category="chit_chat") == []
+    assert banners(spark, allowed=False, category="prompt_injection") == [("error", "Not processed: prompt injection.")] and banners(spark, allowed=False, category="chit_chat") == []
     assert [k for k, _ in banners(spark, coverage="mentioned_only", answer="Note: the uploaded documents are")] == ["success"]
 
 
