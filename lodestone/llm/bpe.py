@@ -7,15 +7,14 @@ the word (from the left, without overlap).  That equals merging one pair at a
 time where a merge's product only takes part in later merges, which is checked
 when a vocabulary is loaded; otherwise a round merges the leftmost pair alone.
 
-Texts are cut at ASCII white space, which no token of this kind of vocabulary
-crosses, and each distinct part is encoded once in a worker's memory.
+Each distinct word of the vocabulary's own splitting is encoded once in a
+worker's memory, which is emptied when it has grown to about _MEMORY bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +28,7 @@ from .bytewords import pieces
 
 #: What the engine of the vocabulary's patterns takes as white space.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_MEMORY = 120_000
+_MEMORY = 160_000_000  # bytes, about
 _NONE = np.iinfo(np.int32).max
 
 
@@ -74,6 +73,7 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], rank[order].astype(np.int32), c[order]
         self.memory: dict[str, tuple[str, int, str]] = {}
+        self.size = 0
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, offsets by word)."""
@@ -118,40 +118,46 @@ class WordBpe:
         return ids[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word.astype(np.int64), minlength=len(words)))])
 
     def words_of(self, text: str) -> list[str]:
-        """Normalised words, without special tokens' strings."""
+        """Normalised words of a text without special tokens' strings."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         return self.split.findall(text)
 
-    def _parts(self, text: str) -> Iterable[tuple[str, bool]]:
+    def _parts(self, text: str) -> list[str]:
+        """Words of a text; a special token is itself behind a line break, which no word has."""
         if self.cut is None or "<" not in text:
-            return [(text, False)]
-        return [(x, x in self.special) for x in self.cut.split(text) if x]
+            return self.words_of(text)
+        return [w for x in self.cut.split(text) if x for w in (["\n" + x] if x in self.special else self.words_of(x))]
 
     def learn(self, parts: Iterable[str]) -> None:
         """Put what isn't there yet into the memory: (ids as text, count, decoded)."""
-        new = [p for p in parts if p not in self.memory]
-        split = [[(x, special) if special else (w, False) for x, special in self._parts(p) for w in ([x] if special else self.words_of(x))] for p in new]
-        words = list({w for part in split for w, special in part if not special})
+        words = []
+        for p in parts:
+            if p in self.memory:
+                continue
+            if p[0] == "\n":
+                self.memory[p] = (str(self.special[p[1:]]), 1, p[1:])
+            else:
+                words.append(p)
         ids, offs = self.merge([w.encode() for w in words])
-        number = {w: k for k, w in enumerate(words)}
-        flat, at = ids.tolist(), offs.tolist()
-        for p, part in zip(new, split, strict=True):
-            own: list[int] = []
-            for w, special in part:
-                own += [self.special[w]] if special else flat[at[number[w]] : at[number[w] + 1]]
-            self.memory[p] = (" ".join(map(str, own)), len(own), self.decode(own))
+        flat, at, tokens = ids.tolist(), offs.tolist(), self.tokens
+        for w, lo, hi in zip(words, at[:-1], at[1:], strict=True):
+            own = flat[lo:hi]
+            got = (" ".join(map(str, own)), hi - lo, " ".join([tokens[i] for i in own]))
+            self.memory[w] = got
+            self.size += len(w) + len(got[0]) + len(got[2]) + 300  # and what Python needs besides
 
     def encode_decode(self, texts: list[str]) -> list[tuple[str, int, str]]:
         """(ids joined by a space, their number, decoded text) of each text."""
-        if len(self.memory) > _MEMORY:
+        if self.size > _MEMORY:
             self.memory.clear()
-        parts = [cut_at_ascii_space(t) for t in texts]
+            self.size = 0
+        parts = [self._parts(t) for t in texts]
         self.learn({p for own in parts for p in own})
         out = []
         for own in parts:
-            got = [x for x in map(self.memory.__getitem__, own) if x[1]]
+            got = [self.memory[p] for p in own]
             out.append((" ".join([x[0] for x in got]), sum([x[1] for x in got]), " ".join([x[2] for x in got])))
         return out
 
@@ -163,13 +169,6 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-_PART = re.compile("[^ \t\n\x0b\x0c\r]+")
-
-
-def cut_at_ascii_space(text: str) -> list[str]:
-    return _PART.findall(text)
-
-
 _loaded: dict[int, WordBpe] = {}
 
 
@@ -187,7 +186,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
 
     The vocabulary is read once, by the driver, and broadcast (a file of a few
     MB).  A null text counts as empty and has no tokens.  Strings of special
-    tokens become those tokens.  Repeated rows and null ids give a row each.
+    tokens become those tokens.  Repeated rows and null ids give a row each, an empty
+    table none; texts of any length are encoded whole, and other columns aren't read,
+    whatever their names.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
