@@ -7,14 +7,16 @@ transitions.  Forward-backward gives each word's posterior, also in text that
 switches languages.  A document's language is the one with the largest mean
 posterior over the words that have a letter; the score is that mean.
 
-Words are labelled for training with their document's language.  Sequences run
-side by side: step t of forward-backward treats word t of all texts of a piece.
+Words are labelled for training with their document's language; every fourth
+sequence is two spans of different texts, so that switches are learned.  Sequences
+run side by side: step t of forward-backward treats word t of all texts of a piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,26 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 
+@lru_cache(1)
+def _alphabetic() -> np.ndarray:
+    """By code point, whether it's a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def begins_letter(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8, whether a letter begins there."""
+    out = _LETTER[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        more = 1 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x3F >> more)
+        for k in (1, 2, 3):
+            code = np.where(k <= more, code << 6 | data[np.minimum(lead + k, len(data) - 1)] & 0x3F, code)
+        out[lead] = _alphabetic()[np.minimum(code, 0x10FFFF)]
+    return out
+
+
 def _hash32(code: np.ndarray, salt: int) -> np.ndarray:
     return ((code ^ np.uint32(salt * 0x01000193 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
 
@@ -120,17 +142,14 @@ class LanguageModel:
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         post = self.label_words(w)
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data] | (data >= 0xC0))])
+        letters = np.concatenate([[0], np.cumsum(begins_letter(data))])
         lettered = letters[w.end] > letters[w.start]
         weight = post * lettered[:, None]
         sums = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(weight, axis=0)])
         total = sums[w.of[1:]] - sums[w.of[:-1]]
         share = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
         best = share.argmax(axis=1)
-        ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        has = ascii_letters[offs[1:]] > ascii_letters[offs[:-1]]
-        for d in np.flatnonzero(~has):  # a text without an ASCII letter: look at its characters
-            has[d] = any(map(str.isalpha, data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")))
+        has = letters[offs[1:]] > letters[offs[:-1]]
         names = [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
         sure = np.concatenate([[0.0], np.cumsum(weight.max(axis=1))])
         sure = (sure[w.of[1:]] - sure[w.of[:-1]]) / np.maximum(total.sum(axis=1), 1e-12)
@@ -161,6 +180,7 @@ def fit(sample: list[tuple[str, object]], epochs: int = 2, rate: float = 0.3, sp
             own = spans[order[lo : lo + batch]]
             at = np.concatenate([np.arange(a, b) for a, b in own])
             of = np.concatenate([[0], np.cumsum(own[:, 1] - own[:, 0])])
+            of = np.delete(of, np.arange(2, len(of) - 1, 4))
             gram_at = np.concatenate([np.arange(gram_offs[a], gram_offs[b]) for a, b in own])
             gram_of = np.repeat(np.arange(len(at)), (gram_offs[1:] - gram_offs[:-1])[at])
             scores = weights[single[:, at]].sum(axis=0)
@@ -185,17 +205,19 @@ def fit(sample: list[tuple[str, object]], epochs: int = 2, rate: float = 0.3, sp
     return LanguageModel(languages, weights.astype(np.float32), moves)
 
 
-def identify_language(docs: DataFrame, per_language: int = 150, max_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False) -> DataFrame:
+def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of each row of ``docs``; with
     ``certainty`` also certainty, the mean of each word's own largest posterior:
     score is the language's share, which is small in a clean text of several.
 
-    The field is fitted on at most ``per_language`` whole texts of each language
-    in ``lang_col`` (nulls teach nothing); every whole text is labelled.  A text
-    that is null, empty or without a letter is ``und`` with score 0; so is every
-    text where nothing could be learned.  Repeated rows and null ids give a row each.
+    The field is fitted on at most ``per_language`` texts of each language in
+    ``lang_col`` (nulls teach nothing), of texts of more than ``max_chars``
+    characters on so many of them; every whole text is labelled.  A text that is
+    null, empty or without a letter is ``und`` with score 0; so is every text where
+    nothing could be learned.  Repeated rows and null ids give a row each, an empty
+    table none; other columns aren't read, whatever their names.
     """
-    model = fit(labelled_sample(docs, docs.select(id_col, lang_col), lang_col, per_language, max_bytes, id_col, text_col))
+    model = fit(labelled_sample(docs, docs.select(id_col, lang_col), lang_col, per_language, max_chars, id_col, text_col))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 

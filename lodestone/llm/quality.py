@@ -140,18 +140,20 @@ def fit(sample: list[tuple[str, object]], dim: int = 8, epochs: int = 4, rate: f
     return QualityModel((vectors @ direction).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1000, max_bytes: int = 1 << 16, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1000, max_chars: int = 1 << 16, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted
     (1 from ``threshold`` on) of each row of ``docs``.
 
     ``labels`` has the id and a column ``quality`` of 0 and 1 (other values and
     nulls teach nothing).  The model is fitted on at most ``per_label`` texts of
-    each label; every whole text is scored.  A null text counts as empty; an
-    empty one gets the bias alone.  Without labelled rows all scores are 0.5.
-    Repeated rows and null ids give a row each.
+    each label, of texts of more than ``max_chars`` characters on so many of them;
+    every whole text is scored.  A null text counts as empty; an empty one gets the
+    bias alone.  Without labelled rows all scores are 0.5.  Repeated rows and null
+    ids give a row each, an empty table none; other columns aren't read, whatever
+    their names.
     """
     known = labels.where(F.col("quality").isin(0, 1)).select(id_col, "quality")
-    model = fit(labelled_sample(docs, known, "quality", per_label, max_bytes, id_col, text_col))
+    model = fit(labelled_sample(docs, known, "quality", per_label, max_chars, id_col, text_col))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-MAX_LABELS = 500
 _RANGE = 1 << 20
 
 
@@ -18,28 +17,28 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 1000) -> list[tuple[str, object]]:
     """At most ``per_label`` (text, label) pairs of each label, from rows that
-    aren't held out, with whole texts of at most ``max_bytes`` bytes: the first
-    in the order of a hash of the id.
-
-    ``labels`` has the id and the label column, with at most MAX_LABELS labels.
-    The ids are chosen before any text moves, and by a share of the hash's range
-    that each label's count gives, so that a label which nearly all rows have
-    doesn't come together in one task."""
+    aren't held out: the first in the order of a hash of the id.  A text of more
+    than ``max_chars`` characters is one of the sample like any other, with that
+    many characters from a place that the hash chooses.
+
+    ``labels`` has the id and the label column; of more than ``max_labels`` labels
+    the most frequent ones are learned.  The ids are chosen before any text moves,
+    and by a share of the hash's range that each label's count gives, so that a
+    label which nearly all rows have doesn't come together in one task."""
     pick = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label).alias("__label"))
-    # Long texts are left out before choosing, so that the sample is full.
-    short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= max_bytes).select(F.col(id_col).alias("__id"))
-    pick = pick.join(short, "__id", "left_semi")
-    counts = pick.groupBy("__label").count().limit(MAX_LABELS + 1).collect()
+    pick = pick.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi")
+    counts = pick.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_labels).collect()
     if not counts:
         return []
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    share = F.pmod(F.xxhash64("__id"), F.lit(_RANGE)) / _RANGE
+    hashed = F.pmod(F.xxhash64("__id"), F.lit(_RANGE))
+    share = hashed / _RANGE
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["__label"], (2 * per_label + 20) / r["count"])])
     by = Window.partitionBy("__label").orderBy(share, "__id")
-    ids = pick.where(share <= F.element_at(most, F.col("__label"))).withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= per_label).drop("__rank")
+    ids = pick.where(share <= F.try_element_at(most, F.col("__label"))).withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= per_label).drop("__rank")
     text = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = text.join(F.broadcast(ids), "__id").select("__text", "__label", "__id").collect()
+    size = F.length("__text")
+    begin = F.when(size > max_chars, F.pmod(F.xxhash64("__id", F.lit(1)), size - max_chars)).otherwise(0).cast("int")
+    rows = text.join(F.broadcast(ids), "__id").select(F.substring("__text", begin + 1, F.lit(max_chars)).alias("__text"), "__label", "__id").collect()
     return [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[2], r[0]))]

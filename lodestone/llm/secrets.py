@@ -7,9 +7,11 @@ a transition array; every byte of every text is read once, for all rules.
 
 Texts are cut for the pass at bytes after which the automaton is in its start
 state whatever it was in before (they come from the array itself), so the parts
-run side by side as lanes of numpy arrays.  The parts in which a rule accepts,
-which are few, are read again with each rule's own automaton, anchored, for the
-leftmost spans.
+run side by side as lanes of numpy arrays.  In the parts in which a rule accepts,
+which are few, the spans come from a second combined automaton, anchored at each
+byte where a rule that is free there may begin: its array has, for every state,
+the rules that have matched and those that still can, so that one walk gives the
+longest match of each rule at once.
 """
 
 from __future__ import annotations
@@ -237,24 +239,57 @@ def compile_rules(patterns: list[tuple[str, bool]], anchored: bool = False) -> A
 # ---- scanning
 
 
-class _Anchored:
-    """One pattern's own automaton, from a given byte on."""
+class _Spans:
+    """All rules' whole patterns and heads in one anchored automaton."""
 
-    def __init__(self, pattern: str, fold: bool):
-        a = compile_rules([(pattern, fold)], anchored=True)
-        rows = a.table.reshape(-1, a.n_classes)[:, a.classes]
-        self.rows, self.accepts, self.dead = rows.tolist(), (a.accepts != 0).tolist(), a.dead
-
-    def longest(self, part: bytes, i: int) -> int:
-        """The end of the longest match that begins at i, or -1."""
-        s, last = 0, -1
-        for j in range(i, len(part)):
-            s = self.rows[s][part[j]]
-            if s == self.dead:
+    def __init__(self, rules: tuple[SecretRule, ...]):
+        self.rules, n = rules, len(rules)
+        headed = [k for k, r in enumerate(rules) if r.pattern]
+        a = compile_rules([(f"{r.pattern}{r.tail}+", r.fold) for r in rules] + [(rules[k].pattern, rules[k].fold) for k in headed], anchored=True)
+        table = a.table.reshape(-1, a.n_classes)
+        alive = a.accepts & ((1 << n) - 1)  # rules that match here or further on
+        while True:
+            more = alive | np.bitwise_or.reduce(alive[table], axis=1)
+            if (more == alive).all():
                 break
-            if self.accepts[s]:
-                last = j + 1
-        return last
+            alive = more
+        self.rows, self.accepts, self.alive = table[:, a.classes].tolist(), a.accepts.tolist(), alive.tolist()
+        self.first = [self.alive[s] for s in self.rows[0]]  # rules that may begin with a byte
+        self.head_of = {n + i: k for i, k in enumerate(headed)}
+
+    def of(self, part: bytes) -> list[tuple[int, int, int]]:
+        """(begin, end, rule) of the leftmost non-overlapping matches of each rule."""
+        out, n = [], len(self.rules)
+        free, ends = [0] * n, [0] * n  # where each rule may begin again
+        for i, byte in enumerate(part):
+            wanted = self.first[byte]
+            if not wanted:
+                continue
+            for k in range(n):
+                if wanted >> k & 1 and free[k] > i:
+                    wanted &= ~(1 << k)
+            if not wanted:
+                continue
+            s, heads, matched = 0, {}, 0
+            for j in range(i, len(part)):
+                s = self.rows[s][part[j]]
+                if not self.alive[s] & wanted:
+                    break
+                accepted = self.accepts[s]
+                if accepted:
+                    for k in range(n):
+                        if accepted >> k & 1:
+                            ends[k] = j + 1
+                    matched |= accepted
+                    for bit, k in self.head_of.items():
+                        if accepted >> bit & 1:
+                            heads[k] = j + 1
+            for k in range(n):
+                if matched & wanted & 1 << k:
+                    if ends[k] - heads.get(k, i) >= self.rules[k].least:
+                        out.append((i, ends[k], k))
+                    free[k] = ends[k]
+        return out
 
 
 class Scanner:
@@ -263,8 +298,7 @@ class Scanner:
         # The combined automaton accepts at the first byte after a rule's head; a rule without a head must have become
         # long enough.  Counting behind several heads at once would multiply the states.
         self.all = compile_rules([(r.pattern + r.tail + ("" if r.pattern else "{%d}" % r.least), r.fold) for r in rules])
-        self.each = [_Anchored(f"{r.pattern}{r.tail}+", r.fold) for r in rules]
-        self.heads = [_Anchored(r.pattern, r.fold) if r.pattern else None for r in rules]
+        self.whole = _Spans(rules)
         a = self.all
         table = a.table.reshape(-1, a.n_classes)
         resets = (table == 0).all(axis=0)
@@ -317,28 +351,13 @@ class Scanner:
                     break
         return at[found], at[found] + length[found]
 
-    def spans(self, part: bytes) -> list[tuple[int, int, int]]:
-        """(begin, end, rule) of the leftmost non-overlapping matches of each rule."""
-        out = []
-        for k, (rule, whole, head) in enumerate(zip(self.rules, self.each, self.heads, strict=True)):
-            i = 0
-            while i < len(part):
-                end = whole.longest(part, i)
-                if end < 0:
-                    i += 1
-                    continue
-                if end - (head.longest(part, i) if head else i) >= rule.least:
-                    out.append((i, end, k))
-                i = end
-        return out
-
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """For each text, (begin, end, rule) in code points, by begin, then rule."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offs) - 1)]
         begins, ends = self.flagged(data, offs)
         for b, e in sorted(zip(begins.tolist(), ends.tolist(), strict=True)):
             d = int(np.searchsorted(offs, b, "right")) - 1
-            out[d] += [(b + i, b + j, k) for i, j, k in self.spans(data[b:e].tobytes())]
+            out[d] += [(b + i, b + j, k) for i, j, k in self.whole.of(data[b:e].tobytes())]
         for d, found in enumerate(out):
             if found:
                 at = int(offs[d])
@@ -357,7 +376,8 @@ def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = BASE_RULES + M
     all rules, by start and then in the rules' order) and n_spans for each row.
 
     A null or empty text has no spans.  Repeated rows and null ids give a row
-    each; other columns aren't read.  Texts of any length are scanned whole.
+    each, an empty table none; other columns aren't read, whatever their names.
+    Texts of any length are scanned whole.
     """
     kinds = [r.kind for r in rules]
     base_at = [kinds.index(b) for b in base]

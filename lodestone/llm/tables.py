@@ -1,35 +1,8 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""The tables of a folder, and intermediate ones in the folder that a cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..sources.tables import read_table as table
+from ..sources.tables import shared_dir, stash
 
-from pyspark.sql import DataFrame, SparkSession
-
-_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one is made and set
-    only where the session names none, as in local tests."""
-    path = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set(_CONF, path)
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    It cuts the lineage and survives the loss of executors, as the files are
-    in shared storage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["shared_dir", "stash", "table"]

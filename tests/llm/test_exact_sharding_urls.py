@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from lodestone.llm.exact_dedup import exact_dedup
+from lodestone.llm import url_filters
 from lodestone.llm.sharding import extendible_shards
 from lodestone.llm.url_filters import PATTERN_RULES, SITE_RULES, Rule, filter_urls
 
@@ -12,7 +13,7 @@ DOCS = "doc_id long, text string, lang string"
 
 def test_exact_dedup_keeps_the_largest_id(spark):
     rows = [(k, f"text {k % 7}", "en") for k in range(50)] + [(100, None, None), (101, "", "x"), (102, "Text 1", None)]
-    got = {r.doc_id: r for r in exact_dedup(spark.createDataFrame(rows, DOCS), runs=16, fan_in=2).collect()}
+    got = {r.doc_id: r for r in exact_dedup(spark.createDataFrame(rows, DOCS), runs=16).collect()}
     groups = defaultdict(list)
     for i, t, _ in rows:
         groups[t or ""].append(i)
@@ -29,8 +30,10 @@ def test_exact_dedup_edges(spark):
     twice = exact_dedup(spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, "a", "y"), (None, "b", "z")], DOCS)).collect()
     assert sorted([(r.doc_id, r.text, r.keep_id, r.group_size, r.kept) for r in twice], key=str) == sorted(
         [(1, "a", 1, 3, True), (1, "a", 1, 3, True), (None, "a", 1, 3, False), (None, "b", None, 1, True)], key=str)
-    clash = spark.createDataFrame([(1, "a", "old"), (2, "a", "old")], "doc_id long, text string, kept string")
-    assert {r.doc_id: r.kept for r in exact_dedup(clash).collect()} == {1: False, 2: True}
+    names = "doc_id long, text string, kept string, row string, id string, n_bytes string, `check` string, best string, `group` string, run string, n string"
+    clash = spark.createDataFrame([(1, "a", *["old"] * 9), (2, "a", *["old"] * 9)], names)
+    got = exact_dedup(clash).collect()
+    assert {r.doc_id: r.kept for r in got} == {1: False, 2: True} and all((r.row, r.id, r.n_bytes, r.check, r.best, r.group, r.run, r.n) == ("old",) * 8 for r in got)
 
 
 def test_exact_dedup_plan_has_no_python_and_combines_before_each_exchange(spark):
@@ -77,9 +80,12 @@ def test_url_rules(spark):
     assert {r.verdict for r in filter_urls(df, [], default="block").collect()} == {"block"}
 
 
-def test_url_rules_agree_with_trying_every_rule(spark):
+@pytest.mark.parametrize("in_plan", [20_000, 10])
+def test_url_rules_agree_with_trying_every_rule(spark, in_plan, monkeypatch):
     import re
 
+    monkeypatch.setattr(url_filters, "IN_PLAN", in_plan)
+
     rules = [Rule("block", f"h{k}.com/p{k % 3}/", True) for k in range(60)] + [Rule("allow", f"*/q{k}/*", False) for k in range(20)] + [Rule("block", "*zz*")]
     urls = [f"http://s.h{k % 70}.com/p{k % 4}/q{k % 25}/{'zz' * (k % 2)}" for k in range(300)]
     got = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
@@ -93,5 +99,11 @@ def test_url_rules_agree_with_trying_every_rule(spark):
 
 def test_rarest_tokens():
     assert Rule("block", "example.com/en/", True).tokens() == ["com", "en", "example"] and Rule("block", "*ads").tokens() == [] and Rule("block", "/print/").tokens() == ["print"]
-    with pytest.raises(ValueError):
-        filter_urls(None, [Rule("block", "x")] * 20_001)
+
+
+def test_url_filter_passes_clashing_columns(spark):
+    names = "page_id long, url string, row string, at string, tokens string, fits string, best string, host string"
+    df = spark.createDataFrame([(1, "http://x.net/es/", *["old"] * 6)] * 2 + [(2, None, *["old"] * 6)], names)
+    got = filter_urls(df, SITE_RULES).collect()
+    assert sorted((r.page_id, r.host, r.verdict) for r in got) == [(1, "x.net", "block")] * 2 + [(2, "", "allow")]
+    assert all((r.row, r.at, r.tokens, r.fits, r.best) == ("old",) * 5 for r in got)
