@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stash
-
-SALTS = 1024
-
+from .tables import discard, stash
 
-def beside_group(rows: DataFrame, by: list[str], value: str, **aggregates: Callable[[str], Column]) -> DataFrame:
-    """``rows`` with minima or maxima of ``value`` over their group.
 
-    A group is dealt over SALTS tasks by its values; only a row for each of
-    these comes together.  So the rows of a hub are never in one task."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    some = salted.groupBy(*by, "__salt").agg(*[f(value).alias(name) for name, f in aggregates.items()])
-    whole = some.groupBy(*by).agg(*[f(name).alias(name) for name, f in aggregates.items()])
-    return salted.join(some.select(*by, "__salt").join(whole, by), [*by, "__salt"]).drop("__salt")
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest b of each a; a table of its own, so that Spark can split the
+    rows of a hub where edges are joined to it."""
+    return stash(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -34,15 +27,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbour, until each component is a star around its smallest id.  Only
     minima are aggregated, so a hub's links are never gathered."""
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = _print(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = beside_group(both, ["a"], "b", m=F.min).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+        least = _least(both)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
         large = stash(large, "large-star")
-        small = beside_group(large, ["a"], "b", m=F.min).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
+        lower = _least(large)
+        small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
+        spent = [edges, least, large, lower]
         edges = stash(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
-        after = _print(edges)
-        if after == before:
-            break
-        before = after
+        discard(spent)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -9,12 +9,12 @@ every way to leave out ERRORS of its symbols, and every pair under that distance
 shares a key.  (At a similarity of 0.75, a pair above that distance still shares
 one but for a chance of about 1e-6.)
 
-Documents with equal sets are one class from the start; classes, not ids, are
-what is linked: sets are equal if 128 bits of independent hashes and the size
-agree.  Within a key's group, pairs are first formed with two members only, the
-smallest and the largest, ROUNDS times, each with the next two of members that
-confirmed links haven't yet joined: a group of copies costs pairs in proportion
-to its size.  Pairs whose signatures differ too much (LOOSE) end there; only the
+Documents with equal sets are one class from the start; classes, numbered when
+they are written, and not ids are what is linked: sets are equal if 128 bits of
+independent hashes and the size agree.  At first each class is paired with one other only, the smallest that it
+shares a key with; then, in groups that the links so found haven't joined, with
+the smallest and the largest of its key's members, ROUNDS times in all: a group of
+copies costs pairs in proportion to its size.  Pairs whose signatures differ too much (LOOSE) end there; only the
 others meet with their sets.  Where members are in different components after
 that, blocks of at most BLOCK of them meet in one task with the lower half of
 their shingles' bits: pairs of different components under LOOSE compare these
@@ -33,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, mix64, pieces
-from .components import beside_group, connected_components
-from .tables import stash
+from .components import connected_components
+from .tables import batch_bytes, discard, stash
 
 SHINGLE = 5
-CHUNKS, WIDTH, ERRORS, BITS = 14, 5, 1, 16
+CHUNKS, WIDTH, ERRORS, BITS = 14, 5, 1, 14
 LOOSE = 40  # of 70 symbols; a similarity of 0.75 exceeds it with a chance of about 1e-8
 PERCENT = 75
 ROUNDS, BLOCK, SLACK = 2, 1024, 2
-GROUP = ["slot", "key", "i", "j"]
+SET_BYTES = 8 << 20
+GROUP = ["key", "i", "j"]
+_PAIR, _SETS = "a long, b long", "node long, symbols binary, hashes binary"
 _U = np.uint64
 _FACTORS = mix64(np.arange(1, CHUNKS * WIDTH + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
 
@@ -85,11 +87,11 @@ def signatures(h: np.ndarray, h2: np.ndarray, of: np.ndarray) -> tuple[np.ndarra
 
 
 def keys_of(symbols: np.ndarray) -> np.ndarray:
-    """For each symbol, its chunk without it, in one number."""
+    """For each symbol, its place and its chunk without it, in one number."""
     keys = np.empty(symbols.shape, _U)
     for j in range(CHUNKS * WIDTH):
         chunk = j - j % WIDTH
-        packed = np.zeros(len(symbols), _U)
+        packed = np.full(len(symbols), j, _U)
         for k in range(chunk, chunk + WIDTH):
             if k != j:
                 packed = (packed << _U(BITS)) | symbols[:, k].astype(_U)
@@ -121,14 +123,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Symbols and shingles, sorted, of (node, text) whose text has the node's set."""
+    """Symbols and shingles, sorted, of (node, s1, s2, text) whose text has the node's set."""
     for batch, data, offs in pieces(batches, "text"):
         h, h2, of = shingle_sets(data, offs)
         rows, identity, symbols = signatures(h, h2, of)
-        node = batch.column(0).take(pa.array(rows))
-        own = [k for k in range(len(rows)) if (node.field(1)[k].as_py(), node.field(2)[k].as_py()) == tuple(identity[k].tolist())]
-        raw = [h[of[rows[k]] : of[rows[k] + 1]].tobytes() for k in own]
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(own, pa.int64())), pa.array([symbols[k].tobytes() for k in own], pa.binary()), pa.array(raw, pa.binary())], ["node", "symbols", "hashes"])
+        wanted = np.column_stack([batch.column(k).to_numpy()[rows] for k in (1, 2)])
+        own = np.flatnonzero((identity == wanted).all(axis=1))
+        raw = [h[of[k] : of[k + 1]].tobytes() for k in rows[own].tolist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[own])), pa.array([x.tobytes() for x in symbols[own]], pa.binary()), pa.array(raw, pa.binary())], ["node", "symbols", "hashes"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +186,9 @@ def _compare():
         return 100 * both >= PERCENT * (len(own) + sizes - both)
 
     def group(part: pa.Table) -> tuple[list[int], list[int]]:
-        c1, c2, side = (part[c].to_numpy() for c in ("c1", "c2", "side"))
+        c, side = part["c"].to_numpy(), part["side"].to_numpy()
         sets = [np.frombuffer(h, np.uint32) for h in part["hashes"].to_pylist()]
-        slot = part["slot"][0].as_py()
+        slot = part["key"][0].as_py() >> BITS * (WIDTH - 1)
         symbols = np.frombuffer(b"".join(part["symbols"].to_pylist()), np.uint16).reshape(len(side), -1)
         diagonal = side[0] == 2
         left = np.flatnonzero(side != 1)
@@ -197,8 +199,7 @@ def _compare():
             same = np.zeros((len(rows), len(right)), np.uint8)
             for k in range(symbols.shape[1]):
                 same += symbols[rows, k][:, None] == symbols[right, k][None]
-            apart = (c1[rows][:, None] != c1[right][None]) | (c2[rows][:, None] != c2[right][None])
-            x, y = np.nonzero((same >= symbols.shape[1] - LOOSE) & apart)
+            x, y = np.nonzero((same >= symbols.shape[1] - LOOSE) & (c[rows][:, None] != c[right][None]))
             if diagonal:
                 up = rows[x] < right[y]
                 x, y = x[up], y[up]
@@ -252,26 +253,39 @@ def _joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, node: str) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
-    return _joined(pairs, sets, "hashes").mapInArrow(_confirm, f"a {node}, b {node}")
+    return _joined(pairs, sets, "hashes").mapInArrow(_confirm, _PAIR)
 
 
-def _rest_pairs(rest: DataFrame, sets: DataFrame, node: str) -> DataFrame:
-    """Pairs (a, b) of different components among each key's members."""
-    size = rest.groupBy("slot", "key").agg(F.count("*").alias("m"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
-    blocks = stash(size.where("c_lo <> c_hi").select("slot", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-keys")
-    dealt = rest.join(blocks, ["slot", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _stash_pairs(df: DataFrame, name: str) -> DataFrame:
+    """Stash rows that Python makes of whole sets, few of which it gets at a time."""
+    with batch_bytes(df.sparkSession, SET_BYTES):
+        return stash(df, name)
+
+
+def _rest_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among each key's members (key, node, c)."""
+    size = rest.groupBy("key").agg(F.count("*").alias("m"))
+    blocks = stash(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open-keys")
+    dealt = rest.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Blocks i and j meet once: rows of the lower one are side 0, of the higher one side 1; 2 is a block with itself.
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") > F.col("other"), 1).otherwise(0)
-    dealt = dealt.select("slot", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2"), side.alias("side"))
-    halves = sets.mapInArrow(_halves, f"node {node}, symbols binary, hashes binary")
-    rows = dealt.join(halves, "node").select(*GROUP, "node", "c1", "c2", "side", "symbols", "hashes")
-    found = rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_compare(), f"x {node}, y {node}")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "c", side.alias("side"))
+    halves = sets.mapInArrow(_halves, _SETS)
+    rows = dealt.join(halves, "node").select(*GROUP, "node", "c", "side", "symbols", "hashes")
+    found = rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_compare(), "x long, y long")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _with_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, symbols, hashes) of the wanted nodes.  A class's id may have several
+    rows: those whose text has the class's set are told by it, and one is enough."""
+    own = texts.join(classes.join(wanted, "node", "left_semi").select("node", "s1", "s2", "id"), "id").select("node", "s1", "s2", "text")
+    return _stash_pairs(own.mapInArrow(_sets, _SETS).groupBy("node").agg(F.max("symbols").alias("symbols"), F.max("hashes").alias("hashes")), "open-sets")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs``.
 
@@ -285,49 +299,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    node = f"struct<id:{id_type},s1:bigint,s2:bigint>"
     signed = stash(texts.mapInArrow(_sign, f"id {id_type}, n long, s1 long, s2 long, symbols binary"), "signatures")
     named = signed.where("id IS NOT NULL AND n > 0")
     classes = named.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("symbols").alias("symbols"))
-    classes = stash(classes.select(F.struct("id", "s1", "s2").alias("node"), "symbols"), "classes")
-    keyed = classes.mapInArrow(_keys, f"node {node}, keys array<bigint>").select("node", F.posexplode("keys").alias("slot", "key"))
-    shared = stash(keyed.groupBy("slot", "key").count().where("count > 1").drop("count"), "shared-keys")
-    rest = stash(keyed.join(shared, ["slot", "key"]), "key-groups")
-    signs = stash(classes.join(rest.select("node").distinct(), "node", "left_semi"), "open-signatures")
-    sets, links, checked, components = None, None, None, None
+    # Numbered by id, as the smallest, which leads, is mostly what the others were copied from.  The numbers are
+    # those of the written table; nothing computes them again.
+    classes = stash(classes.orderBy("id").withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("node", "symbols").mapInArrow(_keys, "node long, keys array<bigint>").select("node", F.explode("keys").alias("key"))
+    shared = stash(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "shared-keys")
+    rest = stash(keyed.join(shared, "key").select("key", "node", F.col("node").alias("c"), "lo", "hi"), "key-groups")
+    links, checked, components = None, None, None
+    spent = [shared, rest]  # tables that the result doesn't read
     for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:  # every member with the two that lead
-            rest = stash(beside_group(rest, ["slot", "key"], "node", lo=F.min, hi=F.max), "led-groups")
-            pairs = rest.select("node", F.explode(F.array("lo", "hi")).alias("lead")).where("node <> lead")
+        if turn < ROUNDS:
+            if turn == 0:  # every member with one other: the smallest of all its groups
+                pairs = rest.groupBy("node").agg(F.min("lo").alias("lead")).where("node <> lead")
+            else:  # every member with the two that lead each group, if links haven't joined them
+                pairs = rest.select("node", "c", F.explode(F.array("lo", "hi")).alias("lead")).where("c <> lead.c")
+                pairs = pairs.select("node", F.col("lead.node").alias("lead"))
             pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-            pairs = _joined(pairs, signs, "symbols").mapInArrow(_near, f"a {node}, b {node}")
+            pairs = _joined(pairs, classes, "symbols").mapInArrow(_near, _PAIR)
         else:
-            wanted = rest.select("node").distinct()
-            sets = _with_sets(texts, wanted, node)
-            pairs = _rest_pairs(rest.select("slot", "key", "node", "c"), sets, node)
-        pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
+            sets = _with_sets(texts, classes, rest.select("node").distinct())
+            pairs = _rest_pairs(rest.select("key", "node", "c"), sets)
+        pairs = _stash_pairs(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         if turn < ROUNDS:
-            sets = _with_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), node)
-        found = stash(_links(pairs, sets, node), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        components = stash(connected_components(links), "components")
+            sets = _with_sets(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        found = _stash_pairs(_links(pairs, sets), "confirmed")
+        spent += [pairs, sets, found]
+        if turn and found.isEmpty():
+            if turn == ROUNDS:
+                break
+        else:
+            links = found if links is None else links.unionByName(found)
+            components = stash(connected_components(links), "components")
+            links = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         if turn == ROUNDS:
             break
-        # Members that led are through; a group is, once the rest are in one component.
-        left = rest.where("node <> lo AND node <> hi").select("slot", "key", "node")
-        left = left.join(components.withColumnRenamed("id", "node"), "node", "left").select("slot", "key", "node", F.coalesce("component", "node").alias("c"))
-        rest = beside_group(left, ["slot", "key"], "c", c_lo=F.min, c_hi=F.max).where("c_lo <> c_hi").drop("c_lo", "c_hi")
-        links = components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    of_class = components.select(F.col("id.s1").alias("s1"), F.col("id.s2").alias("s2"), F.col("component.id").alias("component"))
-    single = classes.join(components.select(F.col("id").alias("node")), "node", "left_anti").select("node.s1", "node.s2", F.col("node.id").alias("component"))
+        # Members that all others have met are through; a group is, once the rest are in one component.
+        left = (rest.where("node <> lo.node AND node <> hi.node") if turn else rest).select("key", "node").join(components.withColumnRenamed("id", "node"), "node", "left")
+        left = stash(left.select("key", "node", F.coalesce("component", "node").alias("c")), "rest")
+        leads = stash(left.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.min(F.struct("node", "c")).alias("lo"), F.max(F.struct("node", "c")).alias("hi")).where("c_lo <> c_hi").drop("c_lo", "c_hi"), "leads")
+        rest = stash(left.join(leads, "key"), "open-groups")
+        spent += [left, leads, rest]
+        if rest.isEmpty():
+            break
+    discard(spent)
+    # The smallest id of each component's classes; a class that is linked with none is its own.
+    linked = components.join(classes.select(F.col("node").alias("id"), "s1", "s2", F.col("id").alias("least")), "id")
+    least = stash(linked.groupBy("component").agg(F.min("least").alias("component_id")), "smallest-ids")
+    linked = linked.join(least, "component").select("s1", "s2", "component_id")
+    single = classes.join(components.select(F.col("id").alias("node")), "node", "left_anti").select("s1", "s2", F.col("id").alias("component_id"))
     columns = lambda rows, component: rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-    own = columns(named.drop("symbols").join(of_class.unionByName(single), ["s1", "s2"], "left"), F.col("component"))
+    own = columns(named.drop("symbols").join(linked.unionByName(single), ["s1", "s2"], "left"), F.col("component_id"))
     return own.unionByName(columns(signed.where("id IS NULL OR n = 0"), F.col("id")))
-
-
-def _with_sets(texts: DataFrame, wanted: DataFrame, node: str) -> DataFrame:
-    """(node, symbols, hashes) of the wanted nodes."""
-    own = texts.join(wanted.select(F.col("node.id").alias("id"), "node"), "id").select("node", "text")
-    sets = own.mapInArrow(_sets, f"node {node}, symbols binary, hashes binary")
-    return stash(sets.groupBy("node").agg(F.max("symbols").alias("symbols"), F.max("hashes").alias("hashes")), "open-sets")

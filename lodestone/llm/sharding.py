@@ -40,9 +40,10 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, key_col: str = "doc_id"
     come from the text.  A single text over the limit, or rows that agree in key
     and text, can't be split: they get a shard of their own at the first depth
     where nothing else is in it.  An empty table has no shards.  Columns with
-    the names of the results are replaced.
+    the names of the results are replaced; others pass through, whatever their names.
     """
     docs = docs.drop(*OUTPUT)
+    cell, leaf_of = (next(x for k in range(len(docs.columns) + 1) if (x := f"{name}_{k}_") and not any(c.startswith(x) for c in docs.columns)) for name in ("cell", "leaf"))
     n_bytes = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
     rows = docs.withColumn("n_bytes", n_bytes)
     whole = F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
@@ -59,12 +60,12 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, key_col: str = "doc_id"
         if last:
             fits |= F.col("d") == (r + 1) * STEP
         leaf = buckets.where(fits).select(F.explode("cells").alias("cell"), F.struct("d", "b", "n").alias("leaf")).groupBy("cell").agg(F.min("leaf").alias("leaf"))
-        found = stash(cells.select("cell").join(leaf, "cell", "left").select(F.col("cell").alias(f"__cell{r}"), F.col("leaf").alias(f"__leaf{r}")), "shard-directory")
-        on = _prefix(key_col, text_col, r + 1) == F.col(f"__cell{r}")
-        rows = rows.join(found, on, "left").drop(f"__cell{r}")
-        open_cells = found.where(F.col(f"__leaf{r}").isNull())
-        depth = F.coalesce(depth, F.col(f"__leaf{r}.d"))
-        shard_bytes, shard_docs = F.coalesce(shard_bytes, F.col(f"__leaf{r}.b")), F.coalesce(shard_docs, F.col(f"__leaf{r}.n"))
+        found = stash(cells.select("cell").join(leaf, "cell", "left").select(F.col("cell").alias(f"{cell}{r}"), F.col("leaf").alias(f"{leaf_of}{r}")), "shard-directory")
+        on = _prefix(key_col, text_col, r + 1) == F.col(f"{cell}{r}")
+        rows = rows.join(found, on, "left").drop(f"{cell}{r}")
+        open_cells = found.where(F.col(f"{leaf_of}{r}").isNull())
+        depth = F.coalesce(depth, F.col(f"{leaf_of}{r}.d"))
+        shard_bytes, shard_docs = F.coalesce(shard_bytes, F.col(f"{leaf_of}{r}.b")), F.coalesce(shard_docs, F.col(f"{leaf_of}{r}.n"))
         r += 1
         if open_cells.isEmpty():
             break

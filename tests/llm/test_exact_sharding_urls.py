@@ -65,6 +65,12 @@ def test_shard_edges(spark):
     assert max(r.shard_bytes for r in got) <= 64 and max(r.depth for r in got) > 120
 
 
+def test_shards_pass_clashing_columns(spark):
+    names = "doc_id long, text string, cell_0_0 string, leaf_0_0 string, cells string, d string, depth string"
+    got = extendible_shards(spark.createDataFrame([(k, "x" * k, *["old"] * 5) for k in range(40)], names), 200).collect()
+    assert len(got) == 40 and all((r.cell_0_0, r.leaf_0_0, r.cells, r.d) == ("old",) * 4 and r.depth == len(r.shard) for r in got)
+
+
 URLS = [
     ("http://a.example.com/en/1", "a.example.com", "/en/1", "example.com/en/", "block"), ("http://WWW.Example.com/en/1?x=1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
     ("https://notexample.com/en/1", "notexample.com", "/en/1", "com/", "allow"), ("http://x.net/es/#t", "x.net", "/es/", "net/es/", "block"), ("http://x.net/ES/", "x.net", "/ES/", None, "allow"),

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontamination, langid, near_dedup, quality, substring_dedup
 from lodestone.llm import secrets as secret_scan
@@ -94,6 +95,36 @@ def brute_components(docs):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def test_repeated_rows_and_null_ids_give_a_row_each(spark):
+    docs = [(1, "token = abcdef0123456789", "xx"), (1, "token = abcdef0123456789", "xx"), (None, "token = abcdef0123456789", None), (2, None, "yy"), (3, "", None)]
+    names = DOCS + ", __id string, __text string, __held string, id string, hashes string"
+    df = spark.createDataFrame([(*d, *["old"] * 5) for d in docs], names)
+    found = secret_scan.find_secrets(df).collect()
+    assert sorted((r.doc_id or 0, r.n_assign) for r in found) == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0)]
+    assert secret_scan.find_secrets(df.limit(0)).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality.score_quality(df, labels).collect()) == len(langid.identify_language(df).collect()) == len(bpe.bpe_round_trip(df, VOCABULARY).collect()) == 5
+    bench = spark.createDataFrame([(1, "token = abcdef0123456789 and more of it than one line")], "item_id long, text string")
+    leaks = decontamination.find_leaks(df.withColumn("text", F.concat("text", F.lit(" and more of it than one line"))), bench).collect()
+    assert sorted(r.doc_id or 0 for r in leaks) == [0, 1, 1]
+
+
+def test_letters_of_any_script():
+    text = "aZ5—é日😀ß!１Ωَ𝒳"
+    data = np.frombuffer(text.encode(), np.uint8)
+    at, got = 0, langid.begins_letter(data)
+    for c in text:
+        assert got[at] == c.isalpha(), c
+        at += len(c.encode())
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rng = random.Random(31)
+    docs = [(i, prose(rng, "ae", 40), "xx") for i in range(40)] + [(100 + i, prose(rng, "ou", 16_000), "yy") for i in range(8)] + [(200, prose(rng, "ou", 30), None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify_language(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[200] == "yy"
+
+
 def near_corpus(rng, n=240):
     words = [f"w{k}" for k in range(400)]
     base = [rng.choices(words, k=60) for _ in range(6)]
