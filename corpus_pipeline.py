@@ -1,8 +1,13 @@
 """Corpus preparation as a chain of stages.
 
 Each stage takes every document that the one before kept, calls one operator,
-and returns the documents that it keeps, with the columns of ``documents``; the
-last returns what encoding made of them.
+and returns the documents that it keeps, with the columns of ``documents`` and any
+others that the rows have; the last returns what encoding made of them.
+
+For all stages: an empty table gives no rows, texts of any length are taken whole,
+rows that repeat each other are decided alike, a row without a doc_id is dropped
+as a copy of another text alone, and other columns pass through, whatever their
+names.  A null text counts as empty: it has no language.
 """
 
 from __future__ import annotations
@@ -28,28 +33,32 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letters, or nothing that resembles one."""
+    """Drops documents without a language: no letters (a null or empty text has
+    none), or nothing that resembles one; rows without a doc_id are all kept."""
     found = identify_language(docs, certainty=True)
     return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("certainty") < LEAST_SCORE)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keeps the document with the largest id."""
+    """Of equal texts, keeps the document with the largest id; rows that repeat it
+    stay together.  A row without one loses against any other."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, keeps the document with the smallest id."""
+    """Of each component of near duplicates, keeps the document with the smallest
+    id.  Texts without words are linked with nothing, and rows without a doc_id stay."""
     return _without(docs, near_duplicates(docs).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of ``benchmark``."""
+    """Drops documents that hold an item of ``benchmark``; an empty benchmark drops
+    none, and rows without a doc_id stay."""
     return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left, a row each."""
     import public_tokenizers
 
     return bpe_round_trip(docs, public_tokenizers.path(VOCABULARY))
