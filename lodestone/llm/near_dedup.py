@@ -194,14 +194,19 @@ def _compare():
         left = np.flatnonzero(side != 1)
         right = left if diagonal else np.flatnonzero(side == 1)
         out_a, out_b = [], []
-        for lo in range(0, len(left), 256):
-            rows = left[lo : lo + 256]
+        # Members of the largest component only meet those of others.
+        parts, sizes = np.unique(c, return_counts=True)
+        largest = parts[sizes.argmax()]
+        meetings = [(left[c[left] == largest], right[c[right] != largest]), (left[c[left] != largest], right)]
+        if diagonal:
+            meetings = meetings[1:]
+        for rows, right in ((own[lo : lo + 256], others) for own, others in meetings for lo in range(0, len(own), 256)):
             same = np.zeros((len(rows), len(right)), np.uint8)
             for k in range(symbols.shape[1]):
                 same += symbols[rows, k][:, None] == symbols[right, k][None]
             x, y = np.nonzero((same >= symbols.shape[1] - LOOSE) & (c[rows][:, None] != c[right][None]))
-            if diagonal:
-                up = rows[x] < right[y]
+            if diagonal:  # each pair once: those with the largest component come from the other side alone
+                up = (rows[x] < right[y]) | (c[right[y]] == largest)
                 x, y = x[up], y[up]
             first = _first_slot(symbols[rows[x]] == symbols[right[y]]) == slot
             x, y = rows[x][first], right[y][first]
@@ -308,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = classes.select("node", "symbols").mapInArrow(_keys, "node long, keys array<bigint>").select("node", F.explode("keys").alias("key"))
     shared = stash(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "shared-keys")
     rest = stash(keyed.join(shared, "key").select("key", "node", F.col("node").alias("c"), "lo", "hi"), "key-groups")
-    links, checked, components = None, None, None
+    links, components = None, None
     spent = [shared, rest]  # tables that the result doesn't read
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
@@ -322,10 +327,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             sets = _with_sets(texts, classes, rest.select("node").distinct())
             pairs = _rest_pairs(rest.select("key", "node", "c"), sets)
-        pairs = _stash_pairs(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        pairs = _stash_pairs(pairs, "pairs")
         if turn < ROUNDS:
             sets = _with_sets(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        checked = pairs if checked is None else checked.unionByName(pairs)
         found = _stash_pairs(_links(pairs, sets), "confirmed")
         spent += [pairs, sets, found]
         if turn and found.isEmpty():
