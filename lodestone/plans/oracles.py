@@ -212,6 +212,11 @@ def _sentences(text: str) -> str:
 _EVIDENCE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{F0A7}\x{F0B7}\x{F076}\x{F0D8}\x{F0FC}▪●]', '•', 'g'),
   '[ \t]+', ' ', 'g'), '([^.!?:।\n])\n([^\n•])', '\1 \2', 'g'), '\s*•\s*', chr(10) || '• ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
 
+def _mean(c: str, where: str = "true") -> str:
+    """To three decimals, exactly: values have no more than that."""
+    return f"((2 * sum(CAST(round({c} * 1000) AS BIGINT)) FILTER ({where}) + count({c}) FILTER ({where})) // (2 * count({c}) FILTER ({where}))) / 1000"
+
+
 _CASES = """
 cases AS (
   SELECT doc_id, source AS run, CASE WHEN quality = 1 THEN 'answer' ELSE 'refuse' END AS expected_behavior,
@@ -375,9 +380,9 @@ SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(CASE WHEN r > 2
        CASE WHEN r <= 2 THEN r::VARCHAR ELSE '' END AS used, CASE WHEN r > 2 THEN r::VARCHAR ELSE '' END AS invalid
 FROM (SELECT conv_id, turn, turn % 5 + 1 AS r, text || ' [' || (turn % 5 + 1) || '] .' AS a FROM conversations WHERE role = 'assistant')""",
     "eval_scores": f"WITH {_CASES} SELECT doc_id, behavior_correct, source_hit, key_facts FROM scored",
-    "eval_summary": f"WITH {_CASES}, l AS (UNPIVOT (SELECT behavior_correct, source_hit, key_facts FROM scored) ON COLUMNS(*) INTO NAME metric VALUE value) SELECT metric, round(avg(value), 3) AS mean, count(*) AS n FROM l GROUP BY metric",
+    "eval_summary": f"WITH {_CASES}, l AS (UNPIVOT (SELECT behavior_correct, source_hit, key_facts FROM scored) ON COLUMNS(*) INTO NAME metric VALUE value) SELECT metric, {_mean('value')} AS mean, count(*) AS n FROM l GROUP BY metric",
     "eval_by_behavior": f"WITH {_CASES} SELECT expected_behavior, count(*) AS total, sum(behavior_correct)::BIGINT AS correct FROM scored GROUP BY 1",
-    "eval_compare": f"WITH {_CASES} SELECT run, round(avg(behavior_correct), 3) AS behavior_correct, round(avg(source_hit), 3) AS source_hit, round(avg(key_facts), 3) AS key_facts FROM scored GROUP BY run",
+    "eval_compare": f"WITH {_CASES} SELECT run, {_mean('behavior_correct')} AS behavior_correct, {_mean('source_hit')} AS source_hit, {_mean('key_facts')} AS key_facts FROM scored GROUP BY run",
     "relevance_buckets": """
 SELECT doc_id, CASE WHEN n_chars > 9000 THEN 'not re-ranked' ELSE CASE WHEN s >= 0.9 THEN 'very high' WHEN s >= 0.6 THEN 'high' WHEN s >= 0.3 THEN 'medium' ELSE 'low' END || ' (' || printf('%.2f', s) || ')' END AS relevance
 FROM (SELECT doc_id, n_chars, (n_chars * 200 + 9000) // 18000 / 100 AS s FROM documents)""",
@@ -439,8 +444,8 @@ SELECT doc_id, CASE WHEN toxic <> 0 THEN 'blocked' WHEN quality = 0 OR doc_id %
     "eval_run": f"""
 WITH {_CASES}, c AS (SELECT s.*, s.doc_id % 10 = 9 AS lost FROM scored s)
 SELECT 'run' AS label, count(*) AS cases, count(*) FILTER (lost) AS errors, round(avg(doc_id % 8 / 4) FILTER (NOT lost), 2) AS avg_seconds,
-       round(avg(behavior_correct) FILTER (NOT lost), 3) AS behavior_correct, round(avg(source_hit) FILTER (NOT lost), 3) AS source_hit,
-       round(avg(key_facts) FILTER (NOT lost), 3) AS key_facts, '800' AS chunk_size FROM c""",
+       {_mean('behavior_correct', 'NOT lost')} AS behavior_correct, {_mean('source_hit', 'NOT lost')} AS source_hit,
+       {_mean('key_facts', 'NOT lost')} AS key_facts, '800' AS chunk_size FROM c""",
     "presentation": """
 WITH d AS (SELECT *, list_filter([CASE WHEN doc_id % 2 > 0 THEN 'Vector' END, CASE WHEN doc_id % 3 > 0 THEN 'BM25' END, CASE WHEN doc_id % 5 > 0 THEN 'Knowledge Graph' END], lambda x: x IS NOT NULL) AS u FROM documents)
 SELECT doc_id, CASE len(u) WHEN 0 THEN 'None' WHEN 1 THEN u[1] ELSE 'Hybrid (' || array_to_string(u, ' + ') || ')' END AS method,
