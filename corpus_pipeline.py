@@ -42,7 +42,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keeps the document with the largest id; rows that repeat it
     stay together.  A row without one loses against any other."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    name = dict(zip(docs.columns, plain, strict=True))
+    found = exact_dedup(docs.toDF(*plain), id_col=name["doc_id"], text_col=name["text"])
+    return found.where("kept").select(*plain).toDF(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
