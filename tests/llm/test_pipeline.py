@@ -41,3 +41,21 @@ def test_each_stage_on_its_input(spark, tmp_path):
     assert after[3] == after[2] - {i for i, _ in leaks}
     assert after[4] == after[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == after[4]
+
+
+def test_each_stage_on_odd_rows(spark, tmp_path):
+    rng = random.Random(13)
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept string, keep_id string, id string, node string, text_sha256 string, marks string"
+    more = ["old"] * 6
+    texts = [prose(rng, "ae", 60) for _ in range(40)]
+    docs = [(i, t, "xx", "src", 1, *more) for i, t in enumerate(texts)] + [(3, texts[3], "xx", "src", 1, *more), (None, prose(rng, "ae", 60), None, None, None, *more), (50, None, None, None, None, *more)]
+    spark.createDataFrame([(1, "ka be ga " * 9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full, empty = spark.createDataFrame(docs, names), spark.createDataFrame([], names)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, full, str(tmp_path)).collect()
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        ids = [r.doc_id for r in got]
+        assert ids.count(3) == 2 and ids.count(None) == 1, name  # rows given twice stay together; one without an id is no copy
+        if stage is not corpus_pipeline.encode:
+            assert {(r.kept, r.keep_id, r.id, r.node, r.text_sha256, r.marks) for r in got} == {("old",) * 6}, name
+        assert (50 in ids) == (name != "language ID"), name
