@@ -13,6 +13,7 @@ from ..operators import bm25, chunking, context, evaluate, fusion, graph, guard,
 from ..operators.graph_store import GraphStore
 from ..operators.store import DocumentStore
 from ..sources.tables import numbered, read_spread, read_table, shared_dir, stash
+from . import answer
 from .oracles import ORACLES  # noqa: F401 - read by the driver's entry
 
 
@@ -408,8 +409,8 @@ def answer_numbers(spark, sf_dir):
 
 def answer_citations(spark, sf_dir):
     """Answers that cite sources 1 to 3 or more, of which 1 and 2 are known."""
-    answer = F.concat("text", F.lit(" ["), (F.col("turn") % 5 + 1).cast("string"), F.lit("] ."))
-    text, used, invalid = verify.check_citations(answer, F.array(F.lit(1), F.lit(2)))
+    told = F.concat("text", F.lit(" ["), (F.col("turn") % 5 + 1).cast("string"), F.lit("] ."))
+    text, used, invalid = verify.check_citations(told, F.array(F.lit(1), F.lit(2)))
     return _table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(text, 256).alias("text_sha256"), F.array_join(used.cast("array<string>"), ",").alias("used"), F.array_join(invalid.cast("array<string>"), ",").alias("invalid"))
 
 
@@ -421,6 +422,21 @@ def answer_check(spark, sf_dir):
     return verify.assemble(answers, verify.check_sentences(answers, sources)).select("query_id", "supported", "corrected", "unsupported", "meta", "passed", "has_supported_facts")
 
 
+class Stubborn:
+    """Stands in for a model: whatever is asked, it says one thing that can stand and
+    one that no source holds, and so it is asked again."""
+
+    def complete_json(self, system: str, user: str) -> str:
+        return '{"answer": "The documents describe this [1]. They list 4711 parts [1].", "coverage": "full"}'
+
+
+def answer_questions(spark, sf_dir):
+    """The whole way from a question to a checked answer, with a second draft."""
+    got = answer.answer(_pieces(spark, sf_dir).select("chunk_id", "text"), _questions(spark, sf_dir), Stubborn, settings=search.Settings(min_relevance_score=0.3))
+    return got.select("query_id", "category", "answer", "grounded", "insufficient_evidence", "regenerated", F.size("refs").alias("n_refs"), F.coalesce("supported", F.lit(0).cast("long")).alias("supported"),
+                      F.coalesce("unsupported", F.lit(0).cast("long")).alias("unsupported"), F.try_element_at("counters", F.lit("context_sources")).alias("n_sources"))
+
+
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     named = lambda c: F.when(c == 1, "answer").otherwise("refuse")
@@ -496,5 +512,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_ids, graph_seed_entities, graph_one_hop, graph_search, graph_hits, graph_fusion, graph_delete_document, graph_counts,
     graph_upsert_evidence, graph_upsert_entities, graph_document_status, graph_replace,
     entity_validation, graph_merge, relationship_validation, relationship_merge,
-    input_guardrail, answer_numbers, answer_citations, answer_check,
+    input_guardrail, answer_numbers, answer_citations, answer_check, answer_questions,
     observed_behavior, eval_scores, eval_summary, eval_by_behavior, eval_compare, eval_run, relevance_buckets, presentation)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..operators import guard
+from ..operators import guard, verify
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'),
@@ -238,22 +238,26 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _guard() -> str:
+def _screened(rows: str) -> str:
+    """c and v: the category and reason of ``rows`` (any keys, text)."""
     cases = []
     for text in ("cleaned", "text"):
         cases += [f"WHEN regexp_matches({text}, {_quoted(p)}) THEN 'sensitive_data|question contains a secret'" for p in _SECRETS]
         cases += [f"WHEN regexp_matches({text}, {_quoted('(?is)' + p)}) THEN {_quoted('prompt_injection|' + why)}" for p, why in guard.INJECTIONS]
     return rf"""
-WITH c AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM conversations WHERE role = 'user'),
+c AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM ({rows})),
 v AS (SELECT *, CASE WHEN cleaned = '' THEN 'invalid|empty question' WHEN length(cleaned) > 1000 THEN 'invalid|question too long'
   WHEN len(regexp_extract_all(cleaned, '\p{{L}}')) < 2 THEN 'invalid|no words in question' {' '.join(cases)}
   WHEN regexp_matches(cleaned, {_quoted(guard.CHIT_CHAT)}) THEN 'chit_chat|greeting or small talk'
-  WHEN regexp_matches(cleaned, {_quoted(guard.OUT_OF_SCOPE)}) THEN 'out_of_scope|task is not a question about the documents' ELSE 'ok|' END AS v FROM c)
+  WHEN regexp_matches(cleaned, {_quoted(guard.OUT_OF_SCOPE)}) THEN 'out_of_scope|task is not a question about the documents' ELSE 'ok|' END AS v FROM c)"""
+
+
+_GUARD = f"""
+WITH {_screened("SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")}
 SELECT conv_id, turn, split_part(v, '|', 1) AS category, split_part(v, '|', 2) AS reason, sha256(cleaned) AS cleaned_sha256,
        CASE WHEN cleaned <> trim(text) THEN 'collapsed extra whitespace' ELSE '' END AS changes
 FROM v"""
 
-
 _IN_CHUNKS = f"{_ASKED}, {_CHUNKS}, corpus AS ({_CHUNK_IDS}), {_bm25('corpus')}, {_vector('corpus')}, {_HITS}, {_RRF}"
 _RERANKED = f"""{_IN_CHUNKS},
 logit AS (
@@ -281,6 +285,15 @@ SELECT query_id, n AS n_sources, sha256(array_to_string(texts, chr(10) || chr(10
 FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1"""
 
 
+_ANSWERED = f"""
+WITH RECURSIVE cx AS ({_CONTEXT}), {_screened('SELECT item_id AS query_id, text FROM benchmark')},
+j AS (SELECT query_id, split_part(v, '|', 1) AS category, n_sources, v = 'ok|' AS ok, coalesce(n_sources, 0) > 0 AS told FROM v LEFT JOIN cx USING (query_id))
+SELECT query_id, category, CASE WHEN NOT ok THEN NULL WHEN told THEN 'The documents describe this [1].' ELSE {_quoted(verify.REFUSAL)} END AS answer,
+       CASE WHEN ok THEN true END AS grounded, CASE WHEN ok THEN NOT told END AS insufficient_evidence, ok AND told AS regenerated,
+       CASE WHEN ok AND told THEN 1 ELSE 0 END AS n_refs, CASE WHEN ok AND told THEN 1 ELSE 0 END AS supported, CASE WHEN ok AND told THEN 1 ELSE 0 END AS unsupported,
+       CASE WHEN ok AND told THEN n_sources END AS n_sources FROM j"""
+
+
 def _numbers(text: str) -> str:
     bare = f"regexp_extract_all(regexp_replace({text}, '\\[(\\d{{1,2}})\\]', ' ', 'g'), '\\d[\\d,]*(?:\\.\\d+)?')".replace("\\\\", "\\")
     plain = "regexp_replace(CASE WHEN contains(replace(x, ',', ''), '.') THEN regexp_replace(replace(x, ',', ''), '\\.?0*$', '') ELSE replace(x, ',', '') END, '^0+', '')".replace("\\\\", "\\")
@@ -370,7 +383,7 @@ SELECT (SELECT count(*) FROM e2) AS n_evidence, (SELECT count(*) FROM m2) AS n_m
 WITH RECURSIVE {_RAW_ENTITIES}
 SELECT substr(sha1(entity_type || '|' || name_key), 1, 16) AS entity_id, any_value(entity_type) AS type, count(DISTINCT chunk_id) AS n_chunks FROM accepted GROUP BY 1""",
     "relationship_validation": f"WITH RECURSIVE {_RELATIONS} SELECT chunk_id, pos, relation, reason FROM r4",
-    "input_guardrail": _guard(),
+    "input_guardrail": _GUARD,
     "answer_numbers": r"""
 SELECT DISTINCT doc_id, CASE WHEN z = '' THEN '0' ELSE z END AS number FROM (
   SELECT doc_id, regexp_replace(CASE WHEN contains(x, '.') THEN regexp_replace(x, '\.?0*$', '') ELSE x END, '^0+', '') AS z FROM (
@@ -451,4 +464,5 @@ WITH d AS (SELECT *, list_filter([CASE WHEN doc_id % 2 > 0 THEN 'Vector' END, CA
 SELECT doc_id, CASE len(u) WHEN 0 THEN 'None' WHEN 1 THEN u[1] ELSE 'Hybrid (' || array_to_string(u, ' + ') || ')' END AS method,
        ':green-badge[Keyword] ' || CASE WHEN doc_id % 2 = 0 THEN ':blue-badge[Semantic]' ELSE ':gray-badge[other]' END AS badges,
        '[' || doc_id % 9 || '] ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE coalesce(nullif(lang, ''), source) END AS heading FROM d""",
+    "answer_questions": _ANSWERED,
 }
