@@ -53,4 +53,26 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN
 FROM fit
 """
 
-ORACLES: dict[str, str] = {"op2_extendible_shards": _SHARDS, "op5_exact_dedup": _EXACT, "op9_url_filters": _URLS}
+_NEGATIVES = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, r.id AS id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.x, r.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.id <> r.id WHERE a.id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_extendible_shards": _SHARDS, "op5_exact_dedup": _EXACT, "op9_url_filters": _URLS, "op12_hard_negatives": _NEGATIVES}

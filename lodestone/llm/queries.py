@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .langid import identify_language
 from .near_dedup import near_duplicates
 from .quality import score_quality
 from .secrets import find_secrets
 from .sharding import extendible_shards
+from .simhash import simhash_duplicates
 from .substring_dedup import remove_repeats
 from .tables import table
 from .url_filters import PATTERN_RULES, SITE_RULES, filter_urls
+from .whitening import whiten
 
 SHARD_BYTES = 1 << 20
 
@@ -63,5 +67,19 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", own), F.col("id") % 100 == 0)
+
+
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op4_benchmark_leaks, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters, op10_repeated_passages)}
+    op1_quality_scores, op2_extendible_shards, op3_secret_scan, op4_benchmark_leaks, op5_exact_dedup, op6_near_duplicates, op7_language_id, op8_bpe_round_trip, op9_url_filters, op10_repeated_passages,
+    op11_whitened_embeddings, op12_hard_negatives, op13_simhash_duplicates)}
