@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.versions import Versions
+from ..sources.versions import Change, Snapshot, Versions
 from . import graph
 
 SCHEMAS = {
@@ -32,20 +32,28 @@ class GraphStore(Versions):
 
     def clear(self) -> None:
         """Forgets all chunks, entities and facts; the documents' states stay."""
-        self.write({name: self.spark.createDataFrame([], SCHEMAS[name]) for name in SCHEMAS if name != "documents"})
+        self.transact(lambda now: {name: Change(None) for name in SCHEMAS if name != "documents"})
 
     def set_status(self, states: DataFrame) -> None:
         """states (document_id, document_name, kg_status, and any other column of
         the documents) in place of those documents' own."""
-        known = self.read("documents")
-        full = states.select(*[(F.col(c) if c in states.columns else F.lit(None)).alias(c) for c in known.columns])
-        self.write({"documents": known.join(full.select("document_id"), "document_id", "left_anti").unionByName(full)})
+
+        def put(now: Snapshot) -> dict[str, DataFrame]:
+            known = now.read("documents")
+            full = states.select(*[(F.col(c) if c in states.columns else F.lit(None)).alias(c) for c in known.columns])
+            return {"documents": known.join(full.select("document_id"), "document_id", "left_anti").unionByName(full)}
+
+        self.transact(put)
 
     def remove(self, document_ids: DataFrame) -> None:
         """Removes documents (document_id): their chunks, mentions and evidence, then
         edges without evidence and entities that nothing refers to any more."""
-        t = self.tables()
-        self.write(_without(t, document_ids) | {"documents": t["documents"].join(document_ids, "document_id", "left_anti")})
+
+        def take(now: Snapshot) -> dict[str, DataFrame]:
+            t = {name: now.read(name) for name in SCHEMAS}
+            return _without(t, document_ids) | {"documents": t["documents"].join(document_ids, "document_id", "left_anti")}
+
+        self.transact(take)
 
     def replace(self, chunks: DataFrame, entities: DataFrame, relationships: DataFrame, failed: DataFrame | None = None, rejected: DataFrame | None = None) -> None:
         """Puts the documents of ``chunks`` in place of what the graph has of them.
@@ -57,21 +65,23 @@ class GraphStore(Versions):
         written at once, however many chunks they have."""
         rows = graph.chunk_rows(chunks)
         of_chunk = rows.select("chunk_id", "document_id")
-        t = self.tables()
-        old = t | _without(t, rows.select("document_id").distinct())
         mentions = entities.join(of_chunk, "chunk_id").select("entity_id", "chunk_id", "document_id").distinct()
         facts = graph.relationship_rows(relationships, rows)
         new_entities = graph.entity_rows(entities).select("entity_id", "name", "type", "description")
-        edges = old["edges"].unionByName(facts.select(*old["edges"].columns)).distinct()
-        changed = {
-            "chunks": old["chunks"].unionByName(rows),
-            "entities": graph.upsert_entities(old["entities"], new_entities),
-            "mentions": old["mentions"].unionByName(mentions),
-            "edges": edges,
-            "evidence": old["evidence"].unionByName(facts.select(*old["evidence"].columns)),
-            "documents": t["documents"].join(rows.select("document_id").distinct(), "document_id", "left_anti").unionByName(states(rows, mentions, facts, failed, rejected)),
-        }
-        self.write(changed)
+
+        def put(now: Snapshot) -> dict[str, DataFrame]:
+            t = {name: now.read(name) for name in SCHEMAS}
+            old = t | _without(t, rows.select("document_id").distinct())
+            return {
+                "chunks": old["chunks"].unionByName(rows),
+                "entities": graph.upsert_entities(old["entities"], new_entities),
+                "mentions": old["mentions"].unionByName(mentions),
+                "edges": old["edges"].unionByName(facts.select(*old["edges"].columns)).distinct(),
+                "evidence": old["evidence"].unionByName(facts.select(*old["evidence"].columns)),
+                "documents": t["documents"].join(rows.select("document_id").distinct(), "document_id", "left_anti").unionByName(states(rows, mentions, facts, failed, rejected)),
+            }
+
+        self.transact(put)
 
 
 def _without(tables: dict[str, DataFrame], document_ids: DataFrame) -> dict[str, DataFrame]:

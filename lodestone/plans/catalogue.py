@@ -34,8 +34,8 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text")
+def _pages(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), *more, F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,10 +351,35 @@ def split_quality(spark, sf_dir):
     return good.select("doc_id", F.lit("").alias("reason")).unionByName(bad.select("doc_id", "reason"))
 
 
+def _named_pages(spark, sf_dir) -> DataFrame:
+    return _pages(spark, sf_dir, F.col("source").alias("document_name"))
+
+
 def _ingested(spark, sf_dir) -> tuple[DocumentStore, DataFrame]:
-    pages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("document_name"), F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text")
     store = DocumentStore(spark, _folder(spark, "store"))
-    return store, store.ingest(pages)
+    return store, store.ingest(_named_pages(spark, sf_dir))
+
+
+def _in_segments(spark, sf_dir) -> DocumentStore:
+    """Documents that come in three batches, some of which are removed, and some of these come again."""
+    store, pages = DocumentStore(spark, _folder(spark, "store")), _named_pages(spark, sf_dir)
+    for k in range(3):
+        store.ingest(pages.where(F.col("document_id") % 3 == k))
+    store.remove_all(pages.where("document_id % 50 = 7").select("document_id"))
+    store.merge_all(fan=3)
+    store.ingest(pages.where("document_id % 100 = 7"))
+    return store
+
+
+def segmented_search(spark, sf_dir):
+    return bm25.search(_in_segments(spark, sf_dir).index(), _questions(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+def segmented_tables(spark, sf_dir):
+    """Documents of the store, with the number of their chunks and vectors."""
+    tables = _in_segments(spark, sf_dir).tables()
+    number = lambda name: tables[name].groupBy("document_id").agg(F.count("*").alias(f"n_{name}"))
+    return tables["registry"].select("document_id", "chunk_count").join(number("chunks"), "document_id").join(number("vectors"), "document_id").join(number("lengths"), "document_id")
 
 
 def ingest_documents(spark, sf_dir):
@@ -505,7 +530,7 @@ def hybrid_search(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     clean_documents, chunk_documents, fixed_chunks, document_hash_dedup, quality_filter, split_quality, upload_validation, index_stats,
-    ingest_documents, ingest_stats, remove_document, register_unnamed, registry_order, vector_delete,
+    ingest_documents, ingest_stats, segmented_search, segmented_tables, remove_document, register_unnamed, registry_order, vector_delete,
     bm25_term_stats, bm25_search_batch, search_metadata, vector_search_batch, vector_normalize, hashed_vector_search,
     compare_retrievers, rrf_fusion, weighted_fusion, rerank_threshold, retrieval_counts,
     context_build, context_render, sentence_split, context_dedup, hybrid_search,

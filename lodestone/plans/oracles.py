@@ -329,6 +329,17 @@ fate AS (
   SELECT d.*, good, CASE WHEN good IS NULL THEN 'unreadable' WHEN good = 0 THEN 'needs_ocr' WHEN d.document_id <> first THEN 'duplicate' ELSE 'registered' END AS outcome
   FROM d LEFT JOIN ch ON ch.document_id = d.doc_id)"""
 
+_SEGMENTS = f"""{_CHUNKS},
+good AS (SELECT * FROM ({_CHUNK_IDS}) WHERE NOT coalesce({_BAD} > 0.01, false)),
+dd AS (SELECT doc_id, coalesce(text, '') AS content FROM documents WHERE doc_id IN (SELECT document_id FROM good)),
+held AS (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id % 3, CAST(doc_id AS VARCHAR)) = 1),
+kept AS (SELECT * FROM held WHERE doc_id % 50 <> 7),
+back AS (
+  SELECT * FROM dd WHERE doc_id % 100 = 7 AND content NOT IN (SELECT content FROM kept)
+  QUALIFY row_number() OVER (PARTITION BY content ORDER BY CAST(doc_id AS VARCHAR)) = 1),
+stored AS (SELECT * FROM kept UNION ALL SELECT * FROM back),
+corpus AS (SELECT chunk_id, document_id, text FROM good WHERE document_id IN (SELECT doc_id FROM stored))"""
+
 ORACLES: dict[str, str] = {
     "clean_documents": f"SELECT doc_id, sha256(c) AS clean_sha256, length(c) AS n_clean FROM (SELECT doc_id, {_CLEAN} AS c FROM documents)",
     "chunk_documents": f"WITH RECURSIVE {_CHUNKS} SELECT document_id || '_chunk_' || chunk_ord AS chunk_id, document_id, chunk_ord, text FROM chunks",
@@ -452,6 +463,10 @@ SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' TH
     "ingest_stats": f"""
 WITH RECURSIVE {_INGEST}
 SELECT count(*) AS documents, sum(good)::BIGINT AS chunks, sum(good)::BIGINT AS vectors, sum(good)::BIGINT AS bm25_chunks FROM fate WHERE outcome = 'registered'""",
+    "segmented_search": f"WITH RECURSIVE {_ASKED}, {_SEGMENTS}, {_bm25('corpus')} SELECT query_id, rank, chunk_id, round(score, 5) AS score FROM bm",
+    "segmented_tables": f"""
+WITH RECURSIVE {_SEGMENTS}
+SELECT CAST(document_id AS VARCHAR) AS document_id, count(*) AS chunk_count, count(*) AS n_chunks, count(*) AS n_vectors, count(*) AS n_lengths FROM corpus GROUP BY 1""",
     "observed_behavior": """
 SELECT doc_id, CASE WHEN toxic <> 0 THEN 'blocked' WHEN quality = 0 OR doc_id % 3 = 0 THEN 'refuse' WHEN doc_id % 5 = 0 THEN 'mentioned_only' ELSE 'answer' END AS observed FROM labels""",
     "eval_run": f"""
