@@ -7,7 +7,10 @@ others that the rows have; the last returns what encoding made of them.
 For all stages: an empty table gives no rows, texts of any length are taken whole,
 rows that repeat each other are decided alike, a row without a doc_id is dropped
 as a copy of another text alone, and other columns pass through, whatever their
-names.  A null text counts as empty: it has no language.
+names.  A null text counts as empty: it has no language.  Rows that share a doc_id
+but not the text are documents of their own: each is judged by its text, and what
+drops one of them leaves the others.  Of such rows in one group of near
+duplicates the one with the smallest SHA-256 counts as the smaller.
 """
 
 from __future__ import annotations
@@ -27,15 +30,25 @@ LEAST_SCORE = 0.35
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in ``ids``; rows without one stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+KEY = "__key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of id and text; null where there's no id."""
+    text = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumn(KEY, F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), text.alias("sha256"))))
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of keyed docs whose key isn't a doc_id of ``found``; rows without one stay."""
+    return docs.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").drop(KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters (a null or empty text has
     none), or nothing that resembles one; rows without a doc_id are all kept."""
-    found = identify_language(docs, certainty=True)
+    docs = _keyed(docs)
+    found = identify_language(docs, certainty=True, key_col=KEY)
     return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("certainty") < LEAST_SCORE)))
 
 
@@ -51,13 +64,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, keeps the document with the smallest
     id.  Texts without words are linked with nothing, and rows without a doc_id stay."""
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    docs = _keyed(docs)
+    return _without(docs, near_duplicates(docs, id_col=KEY).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of ``benchmark``; an empty benchmark drops
     none, and rows without a doc_id stay."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    docs = _keyed(docs)
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=KEY))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,10 +205,11 @@ def fit(sample: list[tuple[str, object]], epochs: int = 2, rate: float = 0.3, sp
     return LanguageModel(languages, weights.astype(np.float32), moves)
 
 
-def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False) -> DataFrame:
+def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False, key_col: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of each row of ``docs``; with
     ``certainty`` also certainty, the mean of each word's own largest posterior:
-    score is the language's share, which is small in a clean text of several.
+    score is the language's share, which is small in a clean text of several.  With
+    ``key_col`` the rows are named by that column instead, in doc_id.
 
     The field is fitted on at most ``per_language`` texts of each language in
     ``lang_col`` (nulls teach nothing), of texts of more than ``max_chars``
@@ -219,7 +220,7 @@ def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int =
     """
     model = fit(labelled_sample(docs, docs.select(id_col, lang_col), lang_col, per_language, max_chars, id_col, text_col))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.schema[key_col or id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
@@ -228,5 +229,5 @@ def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int =
             columns = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns[: 4 + certainty], ["doc_id", "held_out", "lang_pred", "score", "certainty"][: 4 + certainty])
 
-    rows = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(key_col or id_col).alias("__id"), held_out(id_col).alias("__held"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double" + ", certainty double" * certainty)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import corpus_pipeline
@@ -59,3 +60,41 @@ def test_each_stage_on_odd_rows(spark, tmp_path):
         if stage is not corpus_pipeline.encode:
             assert {(r.kept, r.keep_id, r.id, r.node, r.text_sha256, r.marks) for r in got} == {("old",) * 6}, name
         assert (50 in ids) == (name != "language ID"), name
+
+
+def test_rows_of_one_id_are_judged_each_by_its_text(spark, tmp_path):
+    rng = random.Random(14)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = (prose(rng, "ae", 60) for _ in range(3))
+    item = "ka be ga du ro " * 8
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda *rows: spark.createDataFrame([(i, t, "xx", "src", 1) for i, t in rows], schema)
+    left = lambda stage, *rows: sorted((r.doc_id, r.text) for r in stage(spark, frame(*rows), str(tmp_path)).collect())
+    assert left(corpus_pipeline.near, (4, b), (5, a), (5, b + " once more")) == sorted([(4, b), (5, a)])
+    assert left(corpus_pipeline.language, (5, "12 34"), (5, a), (6, b), (5, None)) == sorted([(5, a), (6, b)])
+    assert left(corpus_pipeline.decontaminate, (5, f"{a} {item} {b}"), (5, c), (6, a)) == sorted([(5, c), (6, a)])
+    assert left(corpus_pipeline.exact, (5, a), (5, c), (6, a)) == sorted([(5, c), (6, a)])
+
+
+def test_the_chain_with_shared_ids(spark, tmp_path):
+    """Against each decision by brute force, over rows and not ids."""
+    rng = random.Random(15)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [prose(rng, "aeiou", 80) for _ in range(50)]
+    rows = [(k % 30, t) for k, t in enumerate(texts)]  # ids 0 to 19 have two texts
+    rows += [(k, texts[k + 1] + " once more") for k in range(0, 20, 4)] + [(100 + k, texts[k]) for k in range(5)] + [(7, "12 34"), (8, ""), (8, None)]
+    item = "ka be ga du ro " * 8
+    rows += [(9, f"{prose(rng, 'ae', 50)} {item}")]
+    spark.createDataFrame([(i, t, "xx", "src", 1) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = [r for r in rows if r[1] and any(x.isalpha() for x in r[1])]
+    left = [r for r in left if r[0] == max(i for i, t in left if t == r[1])]
+    key = {r: n for n, r in enumerate(sorted(left, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).digest())))}
+    groups = brute_components([(n, r[1], None) for r, n in key.items()])
+    left = [r for r, n in key.items() if groups[n][2]]
+    left = [r for r in left if item.strip() not in r[1]]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in at.collect()) == sorted(left)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(i for i, _ in left)
