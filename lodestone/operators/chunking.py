@@ -60,7 +60,8 @@ def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 120, cleaned:
     (document_id, page_ord, page_number, text); blank pages have no chunks and
     numbering goes on over a document's pages."""
     text = F.col("text") if cleaned else T.clean_text(F.col("text"))
-    rows = pages.select("document_id", "page_ord", "page_number", text.alias("__clean")).where("__clean <> ''")
+    # Blank pages have no pieces; a condition on the cleaned text would be computed a second time, before the pages are dealt out.
+    rows = pages.select("document_id", "page_ord", "page_number", text.alias("__clean"))
     pieces = rows.select("document_id", "page_ord", "page_number", F.posexplode(split_text(F.col("__clean"), size, overlap)).alias("pos", "text"))
     order = Window.partitionBy("document_id").orderBy("page_ord", "pos")
     numbered = pieces.withColumn("chunk_ord", F.row_number().over(order) - 1)

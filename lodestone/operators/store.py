@@ -112,12 +112,14 @@ class DocumentStore(Versions):
             if added.isEmpty():
                 return {}
             number = F.lit(base.version + 1).cast("long").alias("segment")
-            good = stash(chunks.where("NOT garbled").join(added.select("document_id"), "document_id", "left_semi"), "good-chunks")
+            good = chunks.where("NOT garbled").join(added.select("document_id"), "document_id", "left_semi")
+            good = stash(good.repartitionByRange("document_id").sortWithinPartitions("document_id", "chunk_ord"), "good-chunks")
             suffix = F.lower(F.regexp_extract("filename", r"\.([^./]+)$", 1))
             rows = added.select("document_id", "filename", suffix.alias("file_type"), "file_hash", F.current_timestamp().alias("uploaded_at"), "chunk_count", "page_count", F.col("filename").alias("source"))
             made = bm25.segment(good, ("document_id",))
             made |= {"registry": rows, "chunks": good, "vectors": vectors.add_chunks(None, good, embedder)}
-            return {name: base.append(name, df if name in SUMS else df.withColumn("segment", number)) for name, df in made.items()}
+            ordered = ("chunks", "vectors")  # as ``good`` is
+            return {name: base.append(name, df if name in SUMS else df.withColumn("segment", number), name in ordered) for name, df in made.items()}
 
         self.transact(add)
         return outcomes[0].select("document_id", "outcome")
