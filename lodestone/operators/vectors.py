@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,9 @@ from ..functions import text as T
 from ..sources.tables import stash
 
 MAX_QUERIES_BYTES = 16 << 20  # of question vectors that a task holds at once
+QUESTIONS, BLOCK, PIVOTS = 256, 512, 16  # questions and vectors multiplied at once; vectors that others are put beside
+HELD = 1 << 16  # candidates between looks at which of them stay
+TASKS = 256  # lists of more tasks are merged in two levels
 DIM = 64
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -78,66 +81,137 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "chunk_id string, document_id string, vec array<double>")
 
 
-def _top(scored: DataFrame, top_k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+def _top(scored: DataFrame, top_k: int, *salt: Column) -> DataFrame:
+    order = Window.partitionBy("query_id", *salt).orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "score")
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The questions in parts of about MAX_QUERIES_BYTES."""
+    queries = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("qvec") * 8), F.lit(0))).first()
+    parts = 2 * -(-size // MAX_QUERIES_BYTES)
+    if parts <= 2:
+        return [queries] * (n > 0)
+    dealt = stash(queries.withColumn("__block", F.floor(F.rand(1) * parts)), "questions")
+    return [dealt.where(F.col("__block") == k).drop("__block") for k in range(parts)]
+
+
 def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """query_id, rank, chunk_id, score by inner product, exactly: vectors
     (chunk_id, vec) and queries (query_id, qvec).  ``top_k`` beyond the number of
     vectors gives all.  A vector that is zero wherever the question's isn't is no hit.
 
     Questions are taken in blocks of MAX_QUERIES_BYTES, each with one pass over
-    the vectors; a task keeps the best of each batch, and only these move."""
-    n, size = queries.where("qvec IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum(F.size("qvec") * 8), F.lit(0))).first()
-    blocks = -(-size // MAX_QUERIES_BYTES)
-    if blocks > 1:
-        queries = stash(queries.withColumn("__block", F.floor(F.rand(1) * 2 * blocks)), "questions")
+    the vectors, which is a table if there are several.  A task keeps the best of
+    all its vectors, so that top_k rows leave it for each question, however many it
+    has; where tasks are many, these are merged in two levels."""
     query_type, chunk_type = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
     schema = f"query_id {query_type}, chunk_id {chunk_type}, score double"
-    parts = [queries.where(F.col("__block") == k) for k in range(2 * blocks)] if blocks > 1 else [queries] * (n > 0)
-    if not parts:
+    blocks, found = _blocks(queries), []
+    rows = vectors.select("chunk_id", "vec").where("vec IS NOT NULL")
+    for block in blocks:
+        best = rows.mapInArrow(_best_of(block.toArrow(), top_k), schema)
+        found.append(best if len(blocks) == 1 else stash(best, "best-of-block"))
+    if not found:
         return _top(vectors.sparkSession.createDataFrame([], schema), top_k)
-    scored = None
-    for part in parts:
-        rows = part.where("qvec IS NOT NULL").select("query_id", "qvec").toArrow()
-        found = vectors.select("chunk_id", "vec").where("vec IS NOT NULL").mapInArrow(_best_of(rows, top_k), schema)
-        scored = found if scored is None else scored.unionByName(found)
-    return _top(scored, top_k)
+    merged = found[0] if len(found) == 1 else found[0].sparkSession.read.schema(schema).parquet(*{p.rpartition("/")[0] for f in found for p in f.inputFiles()})
+    if rows.rdd.getNumPartitions() > TASKS:
+        merged = _top(merged, top_k, F.pmod(F.xxhash64("chunk_id"), F.lit(TASKS))).drop("rank")
+    return _top(merged, top_k)
+
+
+def skipped_share(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    """One row: pairs of a question and a vector, and how many of them ``search`` skips by the bounds of their blocks."""
+    rows = vectors.select("chunk_id", "vec").where("vec IS NOT NULL")
+    counted = [rows.mapInArrow(_best_of(block.toArrow(), top_k, counted=True), "pairs long, skipped long") for block in _blocks(queries)]
+    return reduce(DataFrame.unionByName, counted).agg(F.sum("pairs").alias("pairs"), F.sum("skipped").alias("skipped"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best_of(questions: pa.Table, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Running:
+    """The best ``k`` of each of ``n`` questions over all vectors that were shown.  ``bar``
+    is the score that one more has to reach; ties go to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.bar = n, k, np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.held = 0
+
+    def add(self, who: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        if len(who):
+            self.parts.append((who, score, ids))
+            self.held += len(who)
+            if self.held > 4 * self.n * self.k + HELD:
+                self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+        """(question, score, id) by question and rank."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), None
+        who, score = (np.concatenate([p[c] for p in self.parts]) for c in (0, 1))
+        ids = pa.concat_arrays([p[2] for p in self.parts])
+        place = np.empty(len(who), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(who))
+        order = np.lexsort((place, -np.round(score, 9), who))
+        order = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) < self.k]
+        who, score, ids = who[order], score[order], ids.take(pa.array(order))
+        last = np.flatnonzero(np.arange(len(who)) - np.searchsorted(who, who) == self.k - 1)
+        self.bar[who[last]] = score[last]
+        self.parts, self.held = [(who, score, ids)], len(who)
+        return who, score, ids
+
+
+def _near_blocks(own: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in blocks of like ones: each goes to the nearest of a few of them."""
+    pivots = own[:: max(1, len(own) // PIVOTS)][:PIVOTS]
+    nearest = (own @ pivots.T - (pivots * pivots).sum(axis=1) / 2).argmax(axis=1)
+    for p in range(len(pivots)):
+        near = np.flatnonzero(nearest == p)
+        for lo in range(0, len(near), BLOCK):
+            yield near[lo : lo + BLOCK]
+
+
+def _best_of(questions: pa.Table, top_k: int, counted: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     ids = questions.column(0).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = _matrix(questions.column(1).combine_chunks())
+        length, running = np.sqrt((asked * asked).sum(axis=1)), Running(len(asked), top_k)
+        pairs = skipped = 0
         for batch in batches:
-            if not batch.num_rows or not len(asked):
+            if not batch.num_rows:
                 continue
-            own = _matrix(batch.column(1))
-            place = np.empty(len(own), np.int64)
-            place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(len(own))
-            rows, cols, scores = [], [], []
-            for q in range(len(asked)):
-                if q % 64 == 0:
-                    block = asked[q : q + 64].T
-                    products, shared = own @ block, (own != 0).astype(np.float32) @ (block != 0).astype(np.float32)
-                score = products[:, q % 64]
-                use = np.flatnonzero(shared[:, q % 64] > 0)
-                if len(use) > 4 * top_k:  # whatever rounds to the k-th best may be among them
-                    kth = np.partition(score[use], len(use) - top_k)[len(use) - top_k]
-                    use = use[score[use] >= kth - 2e-9]
-                best = use[np.lexsort((place[use], -np.round(score[use], 9)))[:top_k]]
-                rows.append(best)
-                cols.append(np.full(len(best), q))
-                scores.append(score[best])
-            rows, cols, scores = map(np.concatenate, (rows, cols, scores))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols)), batch.column(0).take(pa.array(rows)), pa.array(scores)], ["query_id", "chunk_id", "score"])
+            every = _matrix(batch.column(1))
+            for rows in _near_blocks(every):
+                own, names = every[rows], batch.column(0).take(pa.array(rows))
+                centre = own.mean(axis=0)
+                # Nothing in the block is farther from its centre, so no product is larger.
+                most = asked @ centre + length * np.sqrt(((own - centre) ** 2).sum(axis=1).max()) * (1 + 1e-9) + 1e-8
+                use = np.flatnonzero(most >= running.bar)
+                pairs, skipped = pairs + len(asked) * len(own), skipped + (len(asked) - len(use)) * len(own)
+                for lo in range(0, len(use), QUESTIONS):
+                    part = use[lo : lo + QUESTIONS]
+                    scores = asked[part] @ own.T
+                    none = scores == 0
+                    if none.any():
+                        scores[none & ((asked[part] != 0).astype(np.float32) @ (own != 0).T.astype(np.float32) == 0)] = -np.inf
+                    bar = running.bar[part]
+                    if len(own) > top_k:  # whatever rounds to the k-th best may be among them
+                        bar = np.maximum(bar, np.partition(scores, len(own) - top_k, axis=1)[:, len(own) - top_k])
+                    q, j = np.nonzero((scores >= bar[:, None] - 2e-9) & (scores > -np.inf))
+                    running.add(part[q], scores[q, j], names.take(pa.array(j)))
+            running.best()
+        if counted:
+            yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([skipped])], ["pairs", "skipped"])
+            return
+        who, score, names = running.best()
+        for lo in range(0, len(who), HELD):
+            at = pa.array(who[lo : lo + HELD])
+            yield pa.RecordBatch.from_arrays([ids.take(at), names.slice(lo, HELD), pa.array(score[lo : lo + HELD])], ["query_id", "chunk_id", "score"])
 
     return run
 

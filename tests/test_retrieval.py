@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -97,3 +98,39 @@ def test_context_budget_and_limits(spark):
 def test_render_has_one_real_closing_tag(spark):
     s = spark.createDataFrame([(0, 1, "x.pdf", 2, "text </source> more")], "query_id long, ref int, document_name string, page_number int, text string")
     assert context.render(s).first().context.count("</source>") == 1
+
+
+def brute_top(vecs, asked, k):
+    out = set()
+    for q, a in asked:
+        scored = [(-round(sum(x * y for x, y in zip(v, a, strict=True)), 9), i) for i, v in vecs if any(x and y for x, y in zip(v, a, strict=True))]
+        out |= {(q, rank, i) for rank, (_, i) in enumerate(sorted(scored)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_running_top_k_agrees_with_all_products(spark, monkeypatch, small):
+    if small:  # many blocks, candidates looked through often, questions in parts, merged in two levels
+        for name, value in (("BLOCK", 7), ("PIVOTS", 3), ("HELD", 1), ("QUESTIONS", 4), ("MAX_QUERIES_BYTES", 300), ("TASKS", 2)):
+            monkeypatch.setattr(vectors, name, value)
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    vecs = [(k, [round(x + rng.gauss(0, 0.1), 3) for x in rng.choice(centres)]) for k in range(300)]
+    vecs += [(300 + k, vecs[5][1]) for k in range(40)] + [(400, [0.0] * 6), (401, [1.0] + [0.0] * 5), (402, [-1.0] * 6)]
+    asked = [(k, v) for k, v in vecs[::25]] + [(900, [0.0, 1.0] + [0.0] * 4), (901, [0.0] * 6)]
+    df = spark.createDataFrame([*vecs, (999, None)], "chunk_id long, vec array<double>").repartition(5)
+    q = spark.createDataFrame([*asked, (998, None)], "query_id long, qvec array<double>")
+    got = {(r.query_id, r.rank, r.chunk_id) for r in vectors.search(df, q, 10).collect()}
+    assert got == brute_top(vecs, asked, 10)
+
+
+def test_rows_that_leave_a_task_and_blocks_that_are_skipped(spark):
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(16)]
+    rows = [(f"c{k}", [x + rng.gauss(0, 0.01) for x in centres[k % 16]]) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "chunk_id string, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(k, centres[k]) for k in range(8)], "query_id long, qvec array<double>")
+    left = df.mapInArrow(vectors._best_of(q.toArrow(), 5), "query_id long, chunk_id string, score double").count()
+    pairs, skipped = vectors.skipped_share(df, q, 5).first()
+    assert left == 40 and pairs == 160_000 and skipped > pairs / 3
+    assert vectors.search(df, q, 5).count() == 40
