@@ -1,19 +1,24 @@
 """A graph's tables in a folder: documents replaced, removed, and their status.
 
-Every write makes new versions of the tables that it changes and then adds a
-pointer to them, a few rows, so that a reader sees the graph before or after, and
-a write that fails half way leaves nothing visible.  Entities and edges are shared
-between documents and are kept up by id.
+Rows lie in buckets by a hash of their id: documents, chunks, mentions and
+evidence by the document's, entities and edges by their own.  A write reads and
+writes the buckets that its documents, and the entities and edges these refer to, are
+in; the files of all others stay.  Entities and edges are shared between
+documents: an edge counts the evidence it has left, and ``uses`` counts for each entity
+its mentions and the ends of edges, so that what nothing refers to any more is
+found without looking through other documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.versions import Change, Snapshot, Versions
+from ..sources.tables import stash
+from ..sources.versions import Change, Part, Snapshot, Versions, bucket
 from . import graph
 
 SCHEMAS = {
@@ -27,33 +32,48 @@ SCHEMAS = {
 COUNTS = ("kg_chunks", "kg_entities", "kg_relationships", "kg_failed_chunks", "kg_rejected")
 
 
+#: How often an entity is mentioned, and is an end of an edge, whether it has a row of its own or not.
+USES = {"uses": "entity_id string, mentions long, ends long"}
+KEYS = {name: "document_id" for name in ("documents", "chunks", "mentions", "evidence")} | {"entities": "entity_id", "uses": "entity_id", "edges": "relationship_id"}
+
+
 class GraphStore(Versions):
-    schemas = SCHEMAS
+    """``buckets`` is the number of each table's parts; it is that of the store's first
+    write for ever.  A bucket should be about what a few tasks can hold."""
+
+    schemas = {name: schema + ", told long" * (name == "edges") for name, schema in SCHEMAS.items()} | USES
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        super().__init__(spark, folder)
+        self.buckets = buckets
+
+    def tables(self) -> dict[str, DataFrame]:
+        now = self.snapshot()
+        return {name: now.read(name).drop("told") for name in SCHEMAS}
+
+    def read(self, name: str) -> DataFrame:
+        return self.snapshot().read(name).drop("told")
 
     def clear(self) -> None:
         """Forgets all chunks, entities and facts; the documents' states stay."""
-        self.transact(lambda now: {name: Change(None) for name in SCHEMAS if name != "documents"})
+        self.transact(lambda now: {name: Change(None) for name in self.schemas if name != "documents"})
 
     def set_status(self, states: DataFrame) -> None:
         """states (document_id, document_name, kg_status, and any other column of
         the documents) in place of those documents' own."""
 
-        def put(now: Snapshot) -> dict[str, DataFrame]:
-            known = now.read("documents")
-            full = states.select(*[(F.col(c) if c in states.columns else F.lit(None)).alias(c) for c in known.columns])
-            return {"documents": known.join(full.select("document_id"), "document_id", "left_anti").unionByName(full)}
+        def put(now: Snapshot) -> dict[str, Change]:
+            part = self._part(now, "documents", states)
+            full = states.select(*[(F.col(c) if c in states.columns else F.lit(None)).alias(c) for c in part.rows.columns])
+            return {"documents": part.change(part.rows.join(full.select("document_id"), "document_id", "left_anti").unionByName(full))}
 
         self.transact(put)
 
     def remove(self, document_ids: DataFrame) -> None:
         """Removes documents (document_id): their chunks, mentions and evidence, then
         edges without evidence and entities that nothing refers to any more."""
-
-        def take(now: Snapshot) -> dict[str, DataFrame]:
-            t = {name: now.read(name) for name in SCHEMAS}
-            return _without(t, document_ids) | {"documents": t["documents"].join(document_ids, "document_id", "left_anti")}
-
-        self.transact(take)
+        ids = stash(document_ids.select(F.col("document_id").cast("string").alias("document_id")).distinct(), "removed-documents")
+        self.transact(lambda now: self._changed(now, ids, {}))
 
     def replace(self, chunks: DataFrame, entities: DataFrame, relationships: DataFrame, failed: DataFrame | None = None, rejected: DataFrame | None = None) -> None:
         """Puts the documents of ``chunks`` in place of what the graph has of them.
@@ -63,33 +83,76 @@ class GraphStore(Versions):
         evidence, confidence) are accepted ones by chunk; failed and rejected
         (chunk_id) count for the documents' states.  All documents of a batch are
         written at once, however many chunks they have."""
-        rows = graph.chunk_rows(chunks)
+        rows = stash(graph.chunk_rows(chunks), "graph-chunks")
         of_chunk = rows.select("chunk_id", "document_id")
-        mentions = entities.join(of_chunk, "chunk_id").select("entity_id", "chunk_id", "document_id").distinct()
-        facts = graph.relationship_rows(relationships, rows)
-        new_entities = graph.entity_rows(entities).select("entity_id", "name", "type", "description")
-
-        def put(now: Snapshot) -> dict[str, DataFrame]:
-            t = {name: now.read(name) for name in SCHEMAS}
-            old = t | _without(t, rows.select("document_id").distinct())
-            return {
-                "chunks": old["chunks"].unionByName(rows),
-                "entities": graph.upsert_entities(old["entities"], new_entities),
-                "mentions": old["mentions"].unionByName(mentions),
-                "edges": old["edges"].unionByName(facts.select(*old["edges"].columns)).distinct(),
-                "evidence": old["evidence"].unionByName(facts.select(*old["evidence"].columns)),
-                "documents": t["documents"].join(rows.select("document_id").distinct(), "document_id", "left_anti").unionByName(states(rows, mentions, facts, failed, rejected)),
-            }
-
-        self.transact(put)
-
-
-def _without(tables: dict[str, DataFrame], document_ids: DataFrame) -> dict[str, DataFrame]:
-    """The tables that removing documents changes."""
-    gone = document_ids.select("document_id", F.lit(True).alias("__gone"))
-    marked = {name: tables[name].join(gone, "document_id", "left") for name in ("chunks", "mentions", "evidence")}
-    left = graph.delete_document(marked["evidence"], marked["mentions"], tables["edges"], tables["entities"], F.col("__gone"))
-    return {"chunks": marked["chunks"].where("__gone IS NULL").drop("__gone"), "mentions": left["mentions"].drop("__gone"), "evidence": left["evidence"].drop("__gone"), "edges": left["edges"], "entities": left["entities"]}
+        mentions = stash(entities.join(of_chunk, "chunk_id").select("entity_id", "chunk_id", "document_id").distinct(), "graph-mentions")
+        facts = stash(graph.relationship_rows(relationships, rows), "graph-facts")
+        new = {
+            "chunks": rows, "mentions": mentions, "facts": facts, "documents": states(rows, mentions, facts, failed, rejected),
+            "evidence": facts.select("relationship_id", "chunk_id", "document_id", "evidence", "confidence"),
+            "entities": stash(graph.entity_rows(entities).select("entity_id", "name", "type", "description"), "graph-entities"),
+        }
+        ids = stash(rows.select("document_id").distinct(), "replaced-documents")
+        self.transact(lambda now: self._changed(now, ids, new))
+
+    def _part(self, now: Snapshot, name: str, touched: DataFrame) -> _Part:
+        """The buckets of a table that hold ids of ``touched``."""
+        own = {r[0] for r in touched.select(bucket(KEYS[name], self.buckets)).distinct().collect()}  # as many as there are buckets, at most
+        return _Part(now.read(name, lambda p: p.bucket in own), tuple(p for p in now.of(name) if p.bucket not in own), bucket(KEYS[name], self.buckets))
+
+    def _changed(self, now: Snapshot, ids: DataFrame, new: dict[str, DataFrame]) -> dict[str, Change]:
+        """The tables without the documents of ``ids``, and with the rows of ``new``."""
+        changes, lost = {}, {}
+        for name in ("documents", "chunks", "mentions", "evidence"):
+            part = self._part(now, name, ids)
+            left = part.rows.join(ids, "document_id", "left_anti")
+            changes[name] = part.change(left.unionByName(new[name].select(*left.columns)) if new else left)
+            lost[name] = part.rows.join(ids, "document_id", "left_semi")
+
+        number = lambda rows, key, name: rows.groupBy(key).agg(F.count("*").alias(name))
+        fact = F.struct("source_id", "target_id", "type")
+        facts = new["facts"].groupBy("relationship_id").agg(F.count("*").alias("added"), F.min(fact).alias("fact")) if new else None
+        delta = number(lost["evidence"], "relationship_id", "lost")
+        delta = delta.join(facts, "relationship_id", "full") if new else delta.withColumns({"added": F.lit(0), "fact": F.lit(None).cast("struct<source_id:string,target_id:string,type:string>")})
+        delta = stash(delta.fillna(0, ["lost", "added"]), "edge-changes")
+        part = self._part(now, "edges", delta)
+        own = part.rows.select("relationship_id", fact.alias("own"), "told").join(delta, "relationship_id", "full").fillna(0, ["told", "lost", "added"])
+        between = F.col("told") - F.col("lost")  # evidence after the removal, before anything new
+        own = own.select("relationship_id", F.coalesce("own", "fact").alias("fact"), (between + F.col("added")).alias("left"), (F.col("told") > 0).alias("was"), (between > 0).alias("stayed"))
+        own = stash(own, "edges-after")
+        changes["edges"] = part.change(own.where("left > 0").select("relationship_id", "fact.*", F.col("left").alias("told")))
+
+        ends = own.withColumn("cut", F.col("was") & ~F.col("stayed")).withColumn("joined", ~F.col("stayed") & (F.col("left") > 0)).where("cut OR joined")
+        ends = ends.select(F.explode(F.array("fact.source_id", "fact.target_id")).alias("entity_id"), F.col("cut").cast("long").alias("lost_ends"), F.col("joined").cast("long").alias("new_ends"))
+        zero = F.lit(0).cast("long")
+        one = lambda rows, name: rows.select("entity_id", *[(F.lit(1).cast("long") if c == name else zero).alias(c) for c in _USES])
+        moved = ends.select("entity_id", *[(F.col(c) if c in ends.columns else zero).alias(c) for c in _USES]).unionByName(one(lost["mentions"], "lost_mentions"))
+        moved = moved.unionByName(one(new["mentions"], "new_mentions")) if new else moved
+        moved = stash(moved.groupBy("entity_id").agg(*[F.sum(c).alias(c) for c in _USES]), "use-changes")
+        part, entities = self._part(now, "uses", moved), self._part(now, "entities", moved)
+        uses = stash(part.rows.join(moved, "entity_id", "full").fillna(0), "uses-after")
+        mentions, at_ends = (F.col("mentions") - F.col("lost_mentions")), (F.col("ends") - F.col("lost_ends"))
+        after = uses.select("entity_id", (mentions + F.col("new_mentions")).alias("mentions"), (at_ends + F.col("new_ends")).alias("ends"))
+        changes["uses"] = part.change(after.where("mentions > 0 OR ends > 0"))
+        orphans = uses.where(mentions + at_ends <= 0).join(moved, "entity_id", "left_semi").select("entity_id")
+        kept = entities.rows.join(orphans, "entity_id", "left_anti")
+        changes["entities"] = entities.change(graph.upsert_entities(kept, new["entities"]) if new else kept)
+        return changes
+
+
+_USES = ("lost_mentions", "new_mentions", "lost_ends", "new_ends")
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Rows of some of a table's buckets, and the parts of the others."""
+
+    rows: DataFrame
+    others: tuple[Part, ...]
+    bucket: Column
+
+    def change(self, rows: DataFrame) -> Change:
+        return Change(rows.withColumn("__bucket", self.bucket), self.others, buckets=True)
 
 
 def states(chunks: DataFrame, mentions: DataFrame, facts: DataFrame, failed: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
