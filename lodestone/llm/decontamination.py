@@ -9,9 +9,11 @@
    solved on the driver (Nystrom form).
 3. Passages and items are projected; an item is a candidate for a passage whose
    projection has at least SHARE of the item's own, at a cosine of COSINE.
-   As a small space has no room for every item, an item is also a candidate
-   wherever one of its anchors occurs: so many of its rarest words that a span
-   without any of them can't match it.  So no match is lost, whatever the space.
+   A small space has no room for every item: one whose projection keeps less
+   than FAINT of its length, or of under EVIDENCE words, may escape it, and is also
+   a candidate wherever one of its anchors occurs, so many of its rarest words
+   that a span without any of them can't match it.  found_by says whether the
+   space proposed a match, or an anchor alone.
 4. A candidate counts if, in a span half as long again as the item, the longest
    common subsequence of words has most of the item's, or somewhat fewer but also
    the item's answer (its last words), which catches paraphrases; and EVIDENCE
@@ -20,7 +22,7 @@
 
 A benchmark of more than MAX_ITEMS items or MAX_BYTES bytes is searched for in
 several parts, one after another, as what describes a part is held by the driver
-and each task.  For words w and segments s of a part that's about 1.2 kB * w +
+and each task; each part has a space of its own, so that cosine may differ.  For words w and segments s of a part that's about 1.2 kB * w +
 0.3 kB * s besides its texts: 1 GB for 10**6 different words and 10**5 segments.
 
 A passage is SPAN cells of CELL words; it begins at every cell of a document.
@@ -43,6 +45,7 @@ from .tables import stash
 CELL, SPAN, SEGMENT = 16, 4, 48
 RANK, EXTRA = 48, 8
 SHARE, COSINE = 0.4, 0.25
+FAINT = 0.5  # of the length of any of its segments
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 EVIDENCE = 8  # words in common at least, or all of a shorter item's
 COMMON = 0.01  # words in more of the cells carry no weight
@@ -172,11 +175,14 @@ def _needs(items: Benchmark) -> np.ndarray:
     return np.array([_need(len(w), min(PARAPHRASE, COPY)) for w in items.words])
 
 
-def _anchors(df: np.ndarray, items: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds by word, items) of the anchors: every span that matches an item
-    holds one of its anchors."""
+def _anchors(df: np.ndarray, items: Benchmark, faint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds by word, items) of the anchors of the items in ``faint``: every span
+    that matches an item holds one of its anchors."""
     words = []
-    for w, need in zip(items.words, _needs(items).tolist(), strict=True):
+    for w, need, wanted in zip(items.words, _needs(items).tolist(), faint.tolist(), strict=True):
+        if not wanted:
+            words.append(w[:0])
+            continue
         # Any match has one of the first; a copy or the answer of a paraphrase has one of the others.
         any_match = _rarest(w, df, need)
         either = np.union1d(_rarest(w, df, _need(len(w), COPY)), _rarest(_tail(w), df, _least(len(_tail(w)), ANSWER)))
@@ -188,8 +194,8 @@ def _anchors(df: np.ndarray, items: Benchmark) -> tuple[np.ndarray, np.ndarray]:
 class Near:
     """Finds where an item may be, by anchors and by how many of its words are around."""
 
-    def __init__(self, df: np.ndarray, items: Benchmark):
-        self.bounds, self.items = _anchors(df, items)
+    def __init__(self, df: np.ndarray, items: Benchmark, faint: np.ndarray):
+        self.bounds, self.items = _anchors(df, items, faint)
         self.needs, self.size = _needs(items), len(df)
         keys = [np.unique(w, return_counts=True) for w in items.words]
         self.keys = np.concatenate([k * self.size + w for k, (w, _) in enumerate(keys)])  # sorted
@@ -389,9 +395,9 @@ def _basis(sums: np.ndarray, omega: np.ndarray) -> np.ndarray:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = 5) -> DataFrame:
-    """doc_id, item_id, cosine, lcs (share of the item's words) and
-    answer (share of its last ones), a row for each document and item that it
-    leaks.
+    """doc_id, item_id, cosine, lcs (share of the item's words), answer (share of
+    its last ones) and found_by (latent or anchor), a row for each document and item
+    that it leaks.
 
     Null, empty and wordless texts, of documents or items, match nothing; an
     empty benchmark or corpus gives no rows.  Repeated rows and rows with a null
@@ -399,7 +405,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     are searched whole, and other columns aren't read, whatever their names.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, cosine double, lcs double, answer double"
+    schema = f"doc_id {id_type}, item_id {item_type}, cosine double, lcs double, answer double, found_by string"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return reduce(DataFrame.unionByName, [_find_part(texts, part, schema, seed) for part in _parts(benchmark, item_col, item_text)])
 
@@ -418,7 +424,11 @@ def _find_part(texts: DataFrame, part: DataFrame, schema: str, seed: int) -> Dat
     segments = Segments(items, idf)
     segments.add_gram(sums, omega, max(norm, 1.0) / len(segments.owner))
     basis = _basis(sums, omega)
-    model = spark.sparkContext.broadcast((basis * idf[:, None], segments.times(basis), segments.owner, items, idf > 0, Near(df, items)))
+    targets = segments.times(basis)
+    faint = np.zeros(len(items.ids), bool)
+    faint[segments.owner[np.linalg.norm(targets, axis=1) < FAINT * segments.norms]] = True
+    faint |= np.array([len(w) < EVIDENCE for w in items.words])  # too few words for a direction of their own
+    model = spark.sparkContext.broadcast((basis * idf[:, None], targets, segments.owner, items, idf > 0, Near(df, items, faint)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lift, targets, owner, known, content, near = model.value
@@ -444,13 +454,14 @@ def _find_part(texts: DataFrame, part: DataFrame, schema: str, seed: int) -> Dat
                     begin, reach = (int(own[r]) - int(p.first_cell[doc])) * CELL, len(sequences[item])
                     step = _step(reach)
                     candidates.setdefault((doc, item), set()).update(range(max(0, (begin - reach) // step) * step, begin + SPAN * CELL + 1, step))
+            latent = set(candidates)
             for item, x in zip(*(x.tolist() for x in near.places(p)), strict=True):
                 doc, reach = int(p.words.doc[x]), len(sequences[item])
                 x -= int(p.words.of[doc])
                 step = _step(reach)
                 candidates.setdefault((doc, item), set()).update(range(max(0, (x - _width(reach)) // step + 1) * step, x + 1, step))
             at, number = p.at, p.number
-            out: list[tuple[int, int, float, float, float]] = []
+            out: list[tuple[int, int, float, float, float, str]] = []
             for (doc, item), begins in candidates.items():
                 sequence = sequences[item]
                 tail = _tail(sequence)
@@ -473,8 +484,10 @@ def _find_part(texts: DataFrame, part: DataFrame, schema: str, seed: int) -> Dat
                     cells = np.arange(max(0, -begin // CELL - SPAN + 1), (width - begin - 1) // CELL + 1) + p.first_cell[doc]
                     cells, own = cells[cells < p.first_cell[doc + 1]], np.flatnonzero(owner == item)
                     cosine = spans[cells] @ targets[own].T / np.maximum(size[cells][:, None] * sizes[own], 1e-12)
-                    out.append((doc, item, float(cosine.max()), lcs, answer))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array([known.ids[k] for k in columns[1]], item_type_pa), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+                    out.append((doc, item, float(cosine.max()), lcs, answer, "latent" if (doc, item) in latent else "anchor"))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array([known.ids[k] for k in columns[1]], item_type_pa), *(pa.array(c, pa.float64()) for c in columns[2:5]), pa.array(columns[5], pa.string())],
+                ["doc_id", "item_id", "cosine", "lcs", "answer", "found_by"])
 
     return texts.mapInArrow(search, schema)

@@ -403,6 +403,16 @@ def test_leaks_of_more_items_than_dimensions(spark):
     expected = brute_leaks(items, docs)
     assert len({k for _, k, _, _ in expected if len(items[k][1].split()) < decontamination.EVIDENCE}) > 50
     assert {(r.doc_id, r.item_id, r.lcs, r.answer) for r in found} == expected
+    # The latent search proposes nearly all; anchors stand in for items that the space has no room for.
+    assert len(items) > 5 * decontamination.RANK and sum(r.found_by == "latent" for r in found) > 0.95 * len(found)
+
+
+def test_leaks_by_the_latent_search_alone(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "_anchors", lambda df, items, faint: (np.zeros(len(df) + 1, np.int64), np.zeros(0, np.int64)))
+    items, docs = crowded_corpus(random.Random(18))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected, got = brute_leaks(items, docs), {(r.doc_id, r.item_id, r.lcs, r.answer) for r in found}
+    assert got <= expected and len(got) > 0.9 * len(expected)
 
 
 def test_a_benchmark_in_parts(spark, monkeypatch):
