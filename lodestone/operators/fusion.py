@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -53,17 +56,39 @@ def fuse(hits: dict[str, DataFrame], method: str = "rrf", **options) -> DataFram
     return METHODS[method](union_hits(hits), **options)
 
 
-def retrieve_each(retrievers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+def retrieve_each(retrievers: dict[str, Callable[[], DataFrame]], seconds: float | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """(each retriever's list, the errors of those that failed).  Lists are written
-    at once, so that a failure in the run is noticed and stops no other retriever."""
-    out, failed = {}, {}
-    for name in RETRIEVERS:
-        if name in retrievers:
-            try:
-                out[name] = stash(retrievers[name](), f"{name}-hits")
-            except Exception as x:  # noqa: BLE001 - told to the caller
-                failed[name] = f"{type(x).__name__}: {x}"[:500]
-    return out, failed
+    at once, so that a failure in the run is noticed and stops no other retriever.
+
+    They run side by side, each in a thread, a job group and a scheduler pool of its
+    own.  One that isn't through after ``seconds`` has its jobs cancelled and
+    counts as failed."""
+    out: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    names = [name for name in RETRIEVERS if name in retrievers]
+    session = SparkSession.active()
+    context, run_id = session.sparkContext, uuid.uuid4().hex
+
+    def run(name: str) -> None:
+        context.setJobGroup(f"{name}-{run_id}", f"{name} retrieval", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            out[name] = stash(retrievers[name](), f"{name}-hits")
+        except Exception as x:  # noqa: BLE001 - told to the caller
+            failed[name] = f"{type(x).__name__}: {x}"[:500]
+
+    threads = {name: InheritableThread(target=run, args=(name,), daemon=True) for name in names}
+    until = None if seconds is None else time.monotonic() + seconds
+    for t in threads.values():
+        t.start()
+    late = {}
+    for name, t in threads.items():
+        t.join(None if until is None else max(0.0, until - time.monotonic()))
+        if t.is_alive():
+            late[name] = f"TimeoutError: not through after {seconds} s"
+            context.cancelJobGroup(f"{name}-{run_id}")
+    # What ends after it was given up is as if it hadn't.
+    return {name: out[name] for name in names if name in out and name not in late}, {**{n: e for n, e in failed.items() if n not in late}, **late}
 
 
 def compare(hits: dict[str, DataFrame]) -> DataFrame:

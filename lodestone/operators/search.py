@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Protocol
 
@@ -51,9 +52,13 @@ class TableVectors:
 
 @dataclass
 class Keywords:
-    index: bm25.Bm25Index
+    """An index, or what builds one when it's first asked."""
+
+    index: bm25.Bm25Index | Callable[[], bm25.Bm25Index]
 
     def search(self, queries: DataFrame, top_k: int) -> DataFrame:
+        if callable(self.index):
+            self.index = self.index()
         return bm25.search(self.index, queries, top_k)
 
 
@@ -78,6 +83,7 @@ class Settings:
     vector_top_k: int = 10
     bm25_top_k: int = 10
     kg_top_k: int = 10
+    retrieval_seconds: float | None = None
     rerank_top_k: int = 5
     rerank_candidates: int = 30
     min_relevance_score: float = 0.0
@@ -127,7 +133,7 @@ class Hybrid:
 
     def retrieve_each(self, queries: DataFrame) -> dict[str, DataFrame]:
         own = {name: (lambda r=r, k=k: r.search(queries, k)) for name, (r, k) in self.retrievers.items()}
-        found, self.failed = fusion.retrieve_each(own)
+        found, self.failed = fusion.retrieve_each(own, self.settings.retrieval_seconds)
         return found
 
     def retrieve(self, queries: DataFrame, chunks: DataFrame, top_k: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -106,12 +106,21 @@ def hashed_vector_search(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, chunks: DataFrame) -> search.Hybrid:
-    embedded = stash(vectors.embed(chunks.select("chunk_id", "text")).drop("text"), "vectors")
-    return search.Hybrid.of(search.Settings(min_relevance_score=0.3), search.TableVectors(embedded), search.Keywords(bm25.build_index(chunks)))
+    """Both lists over ``chunks``; each is searched once, so neither is stored, and both are made side by side."""
+    embedded = vectors.embed(chunks.select("chunk_id", "text")).drop("text")
+    return search.Hybrid.of(search.Settings(min_relevance_score=0.3), search.TableVectors(embedded), search.Keywords(lambda: bm25.build_index(chunks)))
+
+
+def _each(own: search.Hybrid, questions: DataFrame) -> dict[str, DataFrame]:
+    """Every list; a retriever that fails here is an error."""
+    found = own.retrieve_each(questions)
+    if own.failed:
+        raise RuntimeError(str(own.failed))
+    return found
 
 
 def _hits(spark, sf_dir) -> dict[str, DataFrame]:
-    return _hybrid(spark, sf_dir, _chunks(spark, sf_dir)).retrieve_each(_questions(spark, sf_dir))
+    return _each(_hybrid(spark, sf_dir, _chunks(spark, sf_dir)), _questions(spark, sf_dir))
 
 
 def compare_retrievers(spark, sf_dir):
@@ -131,9 +140,17 @@ def weighted_fusion(spark, sf_dir):
     return _flat(fusion.fuse(_hits(spark, sf_dir), "weighted", weights={"bm25": 2.0})).drop("fused_rank")
 
 
+def _retrieved(spark, sf_dir, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = _hybrid(spark, sf_dir, chunks)
+    got = own.retrieve(_questions(spark, sf_dir), chunks.select("chunk_id", "text"))
+    if own.failed:
+        raise RuntimeError(str(own.failed))
+    return got
+
+
 def _reranked(spark, sf_dir) -> DataFrame:
     chunks = _pieces(spark, sf_dir)
-    return _hybrid(spark, sf_dir, chunks).retrieve(_questions(spark, sf_dir), chunks.select("chunk_id", "text"))[0]
+    return _retrieved(spark, sf_dir, chunks)[0]
 
 
 def rerank_threshold(spark, sf_dir):
@@ -148,7 +165,7 @@ def context_build(spark, sf_dir):
 
 def retrieval_counts(spark, sf_dir):
     chunks = _pieces(spark, sf_dir)
-    return _hybrid(spark, sf_dir, chunks).retrieve(_questions(spark, sf_dir), chunks.select("chunk_id", "text"))[1]
+    return _retrieved(spark, sf_dir, chunks)[1]
 
 
 def search_metadata(spark, sf_dir):
@@ -245,8 +262,8 @@ def graph_hits(spark, sf_dir):
 def graph_fusion(spark, sf_dir):
     """Orders found by keywords and through the graph, fused."""
     g, asked = _graph(spark, sf_dir), _asked(spark, sf_dir)
-    retrievers = search.Hybrid.of(search.Settings(), None, search.Keywords(bm25.build_index(_order_chunks(spark, sf_dir))), search.GraphRetriever(g["entities"], g["edges"], g["evidence"], g["mentions"]))
-    fused = fusion.fuse(retrievers.retrieve_each(asked))
+    retrievers = search.Hybrid.of(search.Settings(), None, search.Keywords(lambda: bm25.build_index(_order_chunks(spark, sf_dir))), search.GraphRetriever(g["entities"], g["edges"], g["evidence"], g["mentions"]))
+    fused = fusion.fuse(_each(retrievers, asked))
     return fused.select("query_id", "fused_rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("retrievers", ",").alias("retrievers"))
 
 
@@ -521,7 +538,7 @@ def presentation(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over overlapping chunks: BM25 and vector lists, fused."""
-    return _flat(fusion.fuse(_hybrid(spark, sf_dir, _pieces(spark, sf_dir)).retrieve_each(_questions(spark, sf_dir))))
+    return _flat(fusion.fuse(_each(_hybrid(spark, sf_dir, _pieces(spark, sf_dir)), _questions(spark, sf_dir))))
 
 
 def hybrid_search(spark, sf_dir):

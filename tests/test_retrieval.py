@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -68,6 +69,26 @@ def test_a_failing_retriever_leaves_the_others(spark):
     assert list(found) == ["bm25"] and list(failed) == ["vector"]
 
 
+def test_retrievers_run_side_by_side(spark):
+    def slow(seconds, chunk):
+        wait = F.udf(lambda x: time.sleep(seconds) or x, "long")
+        return lambda: spark.range(0, 1, 1, 1).select(wait("id").alias("query_id"), F.lit(1).alias("rank"), F.lit(chunk).alias("chunk_id"), F.lit(1.0).alias("score"))
+
+    fusion.retrieve_each({"vector": slow(0, "a")})
+    began = time.time()
+    found, failed = fusion.retrieve_each({"vector": slow(4, "a"), "bm25": slow(4, "b"), "knowledge_graph": slow(4, "c")})
+    assert list(found) == ["vector", "bm25", "knowledge_graph"] and not failed and time.time() - began < 10
+    began = time.time()
+    found, failed = fusion.retrieve_each({"vector": slow(0, "a"), "bm25": slow(120, "b")}, seconds=6)
+    assert time.time() - began < 30 and [r.chunk_id for r in found["vector"].collect()] == ["a"] and failed == {"bm25": "TimeoutError: not through after 6 s"}
+    # Its jobs are cancelled, and the slots are free.
+    for _ in range(50):
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_rerank(spark):
     rows = spark.createDataFrame([(0, 1, "a", "pension age", "nothing here"), (0, 2, "b", "pension age", "the pension age is 60")], "query_id long, fused_rank int, chunk_id string, question string, text string")
     got = fusion.rerank(rows).orderBy("rank").collect()
