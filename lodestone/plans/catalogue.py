@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, chunking, context, evaluate, fusion, graph, guard, registry, search, vectors, verify
-from ..operators.graph_store import GraphStore
+from ..operators import bm25, chunking, context, evaluate, extract, fusion, graph, guard, registry, search, vectors, verify
+from ..operators.graph_store import GraphStore, index_documents
 from ..operators.store import DocumentStore
+from ..sources import files
 from ..sources.tables import numbered, read_spread, read_table, shared_dir, stash
 from . import answer
 from .oracles import ORACLES  # noqa: F401 - read by the driver's entry
@@ -423,6 +424,28 @@ def graph_replace(spark, sf_dir):
     return store.read("documents").select("document_id", "kg_status", "kg_chunks", "kg_entities", "kg_relationships")
 
 
+def graph_indexing(spark, sf_dir):
+    """Each year's orders as a document whose chunks a model reads; every tenth chunk
+    of 1994 can't be read, and none of 1995."""
+    g, chunks = _graph(spark, sf_dir), _order_chunks(spark, sf_dir)
+    chunks = stash(chunks.withColumns({"chunk_id": F.col("chunk_id").cast("string"), "document_id": F.col("document_id").cast("string")}), "order-chunks")
+    text = lambda df: df.withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    names = g["entities"].select("entity_id", F.col("name").alias("entity_name"), F.col("type").alias("entity_type"), "description")
+    entities = text(g["mentions"].select("chunk_id", "entity_id").join(names, "entity_id"))
+    facts = text(g["evidence"].select("chunk_id", "relationship_id", "confidence").join(g["edges"], "relationship_id").withColumn("evidence", F.lit("order")))
+
+    def extracted(rows: DataFrame) -> dict[str, DataFrame]:
+        bad = stash(rows.where("document_id = '1995' OR (document_id = '1994' AND chunk_id LIKE '%0')").select("chunk_id", F.lit("no answer").alias("error")), "errors")
+        good = rows.select("chunk_id").join(bad, "chunk_id", "left_anti")
+        return {"entities": entities.join(good, "chunk_id", "left_semi"), "relationships": facts.join(good, "chunk_id", "left_semi"), "errors": bad, "rejected": bad.limit(0)}
+
+    store = GraphStore(spark, _folder(spark, "graph"), buckets=8)
+    index_documents(store, chunks, extracted)
+    todo = graph.backlog(chunks.select("document_id").distinct(), store.read("documents")).withColumn("todo", F.lit(True))
+    rows = store.read("documents").join(todo, "document_id", "left")
+    return rows.select("document_id", "kg_status", "kg_chunks", "kg_failed_chunks", F.coalesce("todo", F.lit(False)).alias("todo"))
+
+
 def graph_document_status(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return graph.document_status(g["mentions"].select("document_id").distinct(), g["mentions"], g["evidence"])
@@ -456,11 +479,15 @@ def answer_citations(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.sha2(text, 256).alias("text_sha256"), F.array_join(used.cast("array<string>"), ",").alias("used"), F.array_join(invalid.cast("array<string>"), ",").alias("invalid"))
 
 
+def _answers(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = F.max_by(F.concat("text", F.lit(" It has 12 parts [1].")), "turn").alias("answer")
+    answers = talk.where("role = 'assistant'").groupBy(F.col("conv_id").alias("query_id")).agg(own)
+    return answers, talk.where("role = 'user'").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("ref"), "text")
+
+
 def answer_check(spark, sf_dir):
     """Assistant turns against the user turns of their conversation as sources."""
-    talk = _table(spark, sf_dir, "conversations")
-    answers = talk.where("role = 'assistant'").groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by(F.concat("text", F.lit(" It has 12 parts [1].")), "turn").alias("answer"))
-    sources = talk.where("role = 'user'").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).cast("int").alias("ref"), "text")
+    answers, sources = _answers(_table(spark, sf_dir, "conversations"))
     return verify.assemble(answers, verify.check_sentences(answers, sources)).select("query_id", "supported", "corrected", "unsupported", "meta", "passed", "has_supported_facts")
 
 
@@ -472,6 +499,26 @@ class Stubborn:
         return '{"answer": "The documents describe this [1]. They list 4711 parts [1].", "coverage": "full"}'
 
 
+class Doubter:
+    """Stands in for a verifier: it refuses the first sentence that it is shown, and
+    finds the second one supported by a source that isn't there."""
+
+    def complete_json(self, system: str, user: str) -> str:
+        return '{"sentences": [{"id": 1, "verdict": "Unsupported", "sources": [], "issue": "no"}, {"id": 2, "verdict": "supported", "sources": [99]}]}'
+
+
+def verified_answers(spark, sf_dir):
+    """Assistant turns, checked by the rules and then by a verifier."""
+    talk = _table(spark, sf_dir, "conversations")
+    answers, sources = _answers(talk)
+    checked = stash(verify.check_sentences(answers, sources), "checked")
+    questions = sources.groupBy("query_id").agg(F.max("text").alias("question"))
+    prompts, numbers = verify.verifier_prompts(questions, sources, checked)
+    said = stash(extract.complete(prompts, "query_id", verify.VERIFIER, "user", Doubter), "verdicts")
+    merged = verify.merge_verdicts(checked, verify.parse_verdicts(said.where("raw IS NOT NULL"), numbers), sources)
+    return verify.assemble(answers, merged).select("query_id", "supported", "corrected", "unsupported", "meta", "passed")
+
+
 def answer_questions(spark, sf_dir):
     """The whole way from a question to a checked answer, with a second draft."""
     got = answer.answer(_pieces(spark, sf_dir).select("chunk_id", "text"), _questions(spark, sf_dir), Stubborn, settings=search.Settings(min_relevance_score=0.3))
@@ -518,6 +565,26 @@ def observed_behavior(spark, sf_dir):
     return _table(spark, sf_dir, "labels").select("doc_id", seen.alias("observed"))
 
 
+def stored_run(spark, sf_dir):
+    """Scored cases, written as a run and read again."""
+    folder = _folder(spark, "runs")
+    name = files.write_run(evaluate.score_cases(_cases(spark, sf_dir)), folder, "a run", "2024")
+    return files.read_run(spark, folder, name, "doc_id long, behavior_correct double, source_hit double, key_facts double")
+
+
+def golden_cases(spark, sf_dir):
+    """The benchmark's items as golden cases, in JSON lines with comments and blank lines."""
+    path = _folder(spark, "golden")
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.lit("answer").alias("expected_behavior"), F.array(F.col("item_id") % 7).alias("expected_pages"))
+    _table(spark, sf_dir, "benchmark").select(F.explode(F.array(F.to_json(case), F.lit("# a comment"), F.lit(" "))).alias("value")).write.text(path)
+    return files.read_golden(spark, path).select("id", F.sha2("question", 256).alias("question_sha256"), "expected_behavior", F.col("expected_pages")[0].alias("page"))
+
+
+def saved_uploads(spark, sf_dir):
+    raw = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return files.save_upload(spark, raw, _folder(spark, "uploads"))
+
+
 def eval_run(spark, sf_dir):
     """A whole run: what was observed is looked up; every tenth case fails."""
     cases = _cases(spark, sf_dir).withColumn("id", F.col("doc_id"))
@@ -536,6 +603,29 @@ def presentation(spark, sf_dir):
     return docs.select("doc_id", method.alias("method"), badges.alias("badges"), heading.alias("heading"))
 
 
+def source_labels(spark, sf_dir):
+    label = context.label(F.col("source"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3))
+    return _table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
+
+
+def status_banners(spark, sf_dir):
+    """What a reader is told of answers in many states."""
+    n = F.col("doc_id")
+    of = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    shown = evaluate.status_banners(
+        n % 4 > 0, of(["chit_chat", "prompt_injection", "off_topic"], n), F.col("toxic") == 1, of(["full", "partial", "mentioned_only"], n), F.lit("x"), F.lit(""), F.lit("y"),
+        n % 5, n % 2, n % 7 == 0, F.col("quality") == 1, n % 3, n % 11 == 0)
+    told = F.transform(shown, lambda b: F.concat(b["kind"], F.lit(":"), b["message"]))
+    return _table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.array_join(told, "|").alias("banners"))
+
+
+def linked_citations(spark, sf_dir):
+    """Turns that cite source 1 or 2, and one that has no title."""
+    answer_ = F.concat(F.coalesce("text", F.lit("")), F.lit(" $5 ["), (F.col("turn") % 2 + 1).cast("string"), F.lit("] [9]"))
+    titles = F.create_map(F.lit(1), F.lit('the "first"'), F.lit(2), F.lit("second [1]"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(evaluate.link_citations(answer_, titles), 256).alias("linked_sha256"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over overlapping chunks: BM25 and vector lists, fused."""
     return _flat(fusion.fuse(_each(_hybrid(spark, sf_dir, _pieces(spark, sf_dir)), _questions(spark, sf_dir))))
@@ -555,4 +645,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     graph_upsert_evidence, graph_upsert_entities, graph_document_status, graph_replace,
     entity_validation, graph_merge, relationship_validation, relationship_merge,
     input_guardrail, answer_numbers, answer_citations, answer_check, answer_questions,
-    observed_behavior, eval_scores, eval_summary, eval_by_behavior, eval_compare, eval_run, relevance_buckets, presentation)}
+    observed_behavior, eval_scores, eval_summary, eval_by_behavior, eval_compare, eval_run, stored_run, golden_cases, relevance_buckets, presentation,
+    verified_answers, saved_uploads, graph_indexing, source_labels, status_banners, linked_citations)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..operators import guard, verify
+from ..operators import evaluate, guard, verify
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'),
@@ -480,4 +480,38 @@ SELECT doc_id, CASE len(u) WHEN 0 THEN 'None' WHEN 1 THEN u[1] ELSE 'Hybrid (' |
        ':green-badge[Keyword] ' || CASE WHEN doc_id % 2 = 0 THEN ':blue-badge[Semantic]' ELSE ':gray-badge[other]' END AS badges,
        '[' || doc_id % 9 || '] ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE coalesce(nullif(lang, ''), source) END AS heading FROM d""",
     "answer_questions": _ANSWERED,
+    "verified_answers": _ANSWERS.replace(
+        "FROM m)\nSELECT", """FROM m),
+sv AS (
+  SELECT * REPLACE (CASE WHEN status <> 'unsupported' AND row_number() OVER (PARTITION BY query_id, status = 'unsupported' ORDER BY pos) = 1 THEN 'unsupported' ELSE status END AS status) FROM st)
+SELECT""").replace("LEFT JOIN st USING", "LEFT JOIN sv USING").replace(""" AS passed,
+       coalesce(bool_or(status IN ('supported', 'corrected') AND len(cites) > 0), false) AS has_supported_facts""", " AS passed"),
+    "stored_run": f"WITH {_CASES} SELECT doc_id, behavior_correct, source_hit, key_facts FROM scored",
+    "golden_cases": "SELECT CAST(item_id AS VARCHAR) AS id, sha256(text) AS question_sha256, 'answer' AS expected_behavior, CAST(item_id % 7 AS INTEGER) AS page FROM benchmark",
+    "saved_uploads": "SELECT doc_id AS document_id, strlen(coalesce(text, '')) AS n_bytes FROM documents",
+    "graph_indexing": f"""
+WITH {_ORDER_DOCS},
+n AS (
+  SELECT document_id, count(*) AS kg_chunks, count(*) FILTER (document_id = '1995' OR (document_id = '1994' AND chunk_id % 10 = 0)) AS bad FROM oc GROUP BY 1)
+SELECT document_id, CASE WHEN bad = kg_chunks THEN 'failed' WHEN bad > 0 THEN 'partial' ELSE 'done' END AS kg_status,
+       CASE WHEN bad < kg_chunks THEN kg_chunks END AS kg_chunks, CASE WHEN bad < kg_chunks THEN bad END AS kg_failed_chunks, bad > 0 AS todo FROM n""",
+    "source_labels": "SELECT doc_id, source || CASE WHEN doc_id % 3 > 0 THEN ', page ' || doc_id % 3 ELSE '' END AS label FROM documents",
+    "status_banners": f"""
+WITH l AS (
+  SELECT *, ['chit_chat', 'prompt_injection', 'off_topic'][doc_id % 3 + 1] AS category, ['full', 'partial', 'mentioned_only'][doc_id % 3 + 1] AS coverage
+  FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)
+SELECT doc_id, CASE
+  WHEN doc_id % 4 = 0 AND category = 'chit_chat' THEN ''
+  WHEN doc_id % 4 = 0 THEN CASE WHEN category = 'prompt_injection' THEN 'error' ELSE 'warning' END || ':Not processed: ' || replace(category, '_', ' ') || '.'
+  WHEN toxic = 1 THEN 'warning:{evaluate.REFUSED.replace("'", "''")}'
+  ELSE concat_ws('|',
+    CASE coverage WHEN 'mentioned_only' THEN 'info:Only mentioned in passing: this subject. The documents are about y.' WHEN 'partial' THEN 'info:Part of the question is not covered by the documents.' END,
+    CASE WHEN doc_id % 5 > 0 THEN 'warning:Left out, as no source supports it: ' || doc_id % 5 || ' sentence(s).' END,
+    CASE WHEN doc_id % 2 > 0 THEN 'info:Citation corrected: ' || doc_id % 2 || ' sentence(s).' END,
+    CASE WHEN doc_id % 7 = 0 THEN 'info:Rewritten after a first draft failed its check.' END,
+    CASE WHEN quality = 1 AND doc_id % 3 > 0 AND doc_id % 5 = 0 THEN 'success:Based on ' || doc_id % 3 || ' source(s)' || CASE WHEN doc_id % 11 = 0 THEN ', verified' ELSE '' END || '.' END) END AS banners FROM l""",
+    "linked_citations": r"""
+WITH a AS (SELECT conv_id, turn, turn % 2 + 1 AS ref, replace(coalesce(text, ''), '$', '\$') || ' \$5 [' || (turn % 2 + 1) || '] [9]' AS t FROM conversations),
+b AS (SELECT *, regexp_replace(t, '(?m)^(\s*)([#>])', '\1\\\2', 'g') AS u FROM a)
+SELECT conv_id, turn, sha256(replace(u, '[' || ref || ']', '[\[' || ref || '\]](#source-' || ref || ' "' || CASE ref WHEN 1 THEN 'the ' || chr(39) || 'first' || chr(39) ELSE 'second [1]' END || '")')) AS linked_sha256 FROM b""",
 }
