@@ -205,20 +205,21 @@ def fit(sample: list[tuple[str, object]], epochs: int = 2, rate: float = 0.3, sp
     return LanguageModel(languages, weights.astype(np.float32), moves)
 
 
-def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False, key_col: str | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", certainty: bool = False, key_col: str | None = None, max_languages: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of each row of ``docs``; with
     ``certainty`` also certainty, the mean of each word's own largest posterior:
     score is the language's share, which is small in a clean text of several.  With
     ``key_col`` the rows are named by that column instead, in doc_id.
 
     The field is fitted on at most ``per_language`` texts of each language in
-    ``lang_col`` (nulls teach nothing), of texts of more than ``max_chars``
+    ``lang_col`` (nulls teach nothing; beyond ``max_languages`` the most frequent ones
+    are learned, and no other is predicted), of texts of more than ``max_chars``
     characters on so many of them; every whole text is labelled.  A text that is
     null, empty or without a letter is ``und`` with score 0; so is every text where
     nothing could be learned.  Repeated rows and null ids give a row each, an empty
     table none; other columns aren't read, whatever their names.
     """
-    model = fit(labelled_sample(docs, docs.select(id_col, lang_col), lang_col, per_language, max_chars, id_col, text_col))
+    model = fit(labelled_sample(docs, docs.select(id_col, lang_col), lang_col, per_language, max_chars, id_col, text_col, max_languages))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[key_col or id_col].dataType.simpleString()
 

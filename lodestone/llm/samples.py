@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 _RANGE = 1 << 20
+MAX_CHARS = 1 << 28  # of a sample, which the driver holds
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -24,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     many characters from a place that the hash chooses.
 
     ``labels`` has the id and the label column; of more than ``max_labels`` labels
-    the most frequent ones are learned.  The ids are chosen before any text moves,
+    the most frequent ones are learned.  All texts together have MAX_CHARS
+    characters at most: with very many labels each text is cut to less.  The ids are chosen before any text moves,
     and by a share of the hash's range that each label's count gives, so that a
     label which nearly all rows have doesn't come together in one task."""
     pick = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label).alias("__label"))
@@ -32,6 +34,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     counts = pick.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(max_labels).collect()
     if not counts:
         return []
+    max_chars = max(1, min(max_chars, MAX_CHARS // (per_label * len(counts))))
     hashed = F.pmod(F.xxhash64("__id"), F.lit(_RANGE))
     share = hashed / _RANGE
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["__label"], (2 * per_label + 20) / r["count"])])

@@ -443,3 +443,16 @@ def test_longest_common_subsequence():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert decontamination.longest_common(a, b) == row[-1]
+
+
+def test_bounds_of_samples(spark, monkeypatch):
+    from lodestone.llm import samples
+
+    rng = random.Random(19)
+    rows = [(k, prose(rng, "ae" if k % 3 else "io", 300), "xx" if k % 3 else "yy") for k in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.lang_pred for r in langid.identify_language(docs, per_language=20, max_languages=1).collect()}
+    assert found == {"xx"} and {r.lang_pred for r in langid.identify_language(docs, per_language=20).collect()} == {"xx", "yy"}
+    monkeypatch.setattr(samples, "MAX_CHARS", 2000)
+    got = samples.labelled_sample(docs, docs.select("doc_id", "lang"), "lang", 20, 1 << 16)
+    assert len(got) == 40 and sum(len(t) for t, _ in got) <= 2000 and all(t in dict.fromkeys(x[1] for x in rows) or any(t in x[1] for x in rows) for t, _ in got)
