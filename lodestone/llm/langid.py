@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .bytewords import Words, pieces
 from .samples import held_out, labelled_sample
+from .tables import batch_bytes, stash
 
 BUCKET_BITS = 16
+BATCH_BYTES = 4 << 20
 AFFIXES = ((0, 2), (0, 3), (1, 2), (1, 3))  # (prefix or suffix, bytes)
 UNKNOWN = "und"
 _U = np.uint64
@@ -231,4 +233,6 @@ def identify_language(docs: DataFrame, per_language: int = 150, max_chars: int =
             yield pa.RecordBatch.from_arrays(columns[: 4 + certainty], ["doc_id", "held_out", "lang_pred", "score", "certainty"][: 4 + certainty])
 
     rows = docs.select(F.col(key_col or id_col).alias("__id"), held_out(id_col).alias("__held"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double" + ", certainty double" * certainty)
+    schema = f"doc_id {id_type}, held_out boolean, lang_pred string, score double" + ", certainty double" * certainty
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):  # a batch of ten thousand whole texts would take most of a task's memory
+        return stash(rows.mapInArrow(run, schema), "languages")
