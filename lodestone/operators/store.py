@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,10 +25,6 @@ REMOVED = {"removed": "document_id string, upto long"}
 OUTCOMES = ("registered", "duplicate", "unreadable", "needs_ocr", "known_id", "no_id")
 
 
-def _is(document_id: str | None) -> Column:
-    return F.col("document_id").eqNullSafe(F.lit(document_id))
-
-
 class DocumentStore(Versions):
     """Every ingest adds a segment to each table, and a removal adds a row that hides
     the document in the segments before it, with its counts taken back: either
@@ -38,11 +34,14 @@ class DocumentStore(Versions):
 
     schemas = {name: f"{schema}, segment long" for name, schema in SCHEMAS.items()} | SUMS | REMOVED
     clustered = {"registry": "document_id", "chunks": "document_id", "vectors": "document_id", "postings": "term", "lengths": "document_id", "terms": "term"}
+    looked_up = ("registry", "chunks")
 
     def live(self, name: str, at: Snapshot | None = None, only: tuple[Part, ...] | None = None) -> DataFrame:
         """Rows that no removal hides, with the segment that each came in."""
         at = at or self.snapshot()
-        rows = at.read(name, None if only is None else lambda p: p in only)
+        return self._shown(at.read(name, None if only is None else lambda p: p in only), at)
+
+    def _shown(self, rows: DataFrame, at: Snapshot) -> DataFrame:
         if not at.of("removed"):
             return rows
         gone = at.read("removed").groupBy("document_id").agg(F.max("upto").alias("upto"))
@@ -69,8 +68,8 @@ class DocumentStore(Versions):
         return self._own("registry", document_id, now).drop("segment").join(chunks, "document_id", "left")
 
     def _own(self, name: str, document_id: str, at: Snapshot) -> DataFrame:
-        """A document's rows; files are sorted by document_id, so that few row groups are read."""
-        return self.live(name, at).where(_is(document_id))
+        """A document's rows, from the files that its id may be in."""
+        return self._shown(self.find(name, document_id, at), at)
 
     def get_chunks(self, document_id: str) -> DataFrame:
         return self._own("chunks", document_id, self.snapshot()).drop("segment")

@@ -214,3 +214,16 @@ def test_pages_of_no_document(spark, tmp_path):
     empty = DocumentStore(spark, f"file://{tmp_path}/empty")
     assert hits(spark, empty.index(), "x") == [] and empty.stats().first().documents == 0 and not empty.remove("x")
     empty.merge_all()
+
+
+def test_a_look_up_opens_few_files(spark, tmp_path):
+    own = DocumentStore(spark, f"file://{tmp_path}/s")
+    for lo in (0, 40, 80):
+        own.ingest(pages(spark, {f"d{k:03d}": f"words of {k} . " * 20 for k in range(lo, lo + 40)}))
+    stored = len(own.read("chunks").inputFiles())
+    got = own.get_chunks("d057")
+    assert 1 <= len(got.inputFiles()) <= 2 < stored and {r.document_id for r in got.collect()} == {"d057"}
+    assert [c.page_number for c in own.get_document("d057").first().chunks] == [1] and own.get_chunks("d0571").count() == 0 and own.get_chunks("zzz").count() == 0
+    own.merge_all(fan=3)
+    assert len(own.snapshot().of("chunks")) == 1 and len(own.get_chunks("d099").inputFiles()) <= 2 and own.get_chunks("d099").count() == 1
+    assert own.remove("d099") and own.get_chunks("d099").count() == 0 and own.get_document("d099").count() == 0
