@@ -40,7 +40,7 @@ def feedback(drafts: DataFrame) -> DataFrame:
     return drafts.select("query_id", F.concat("user", more).alias("user"))
 
 
-def _judged(raw: DataFrame, sources: DataFrame, questions: DataFrame, verifier: Callable[[], extract.JsonClient] | None) -> DataFrame:
+def _judged(raw: DataFrame, sources: DataFrame, questions: DataFrame, verifier: Callable[[], extract.JsonClient] | None, log: extract.AnswerLog | None = None) -> DataFrame:
     """query_id, reason (why it's refused, or null), coverage, invalid citations and
     what the checks say, for raw answers (query_id, raw, error)."""
     known = sources.groupBy("query_id").agg(F.array_sort(F.collect_list("ref")).alias("known"))
@@ -56,13 +56,13 @@ def _judged(raw: DataFrame, sources: DataFrame, questions: DataFrame, verifier:
     checked = stash(verify.check_sentences(real, sources.select("query_id", "ref", "text")), "checked")
     if verifier is not None:
         asked, numbers = verify.verifier_prompts(questions, sources.select("query_id", "ref", "text"), checked)
-        said = stash(extract.complete(asked, "query_id", verify.VERIFIER, "user", verifier), "verdicts")
+        said = stash(extract.complete(asked, "query_id", verify.VERIFIER, "user", verifier, log=log), "verdicts")
         checked = verify.merge_verdicts(checked, verify.parse_verdicts(said.where("raw IS NOT NULL"), numbers), sources)
     return drafts.drop("answer").join(verify.assemble(real, checked), "query_id", "left")
 
 
 def answer(chunks: DataFrame, questions: DataFrame, client: Callable[[], extract.JsonClient], system: str = SYSTEM, settings: search.Settings = search.Settings(), hybrid: search.Hybrid | None = None,
-           verifier: Callable[[], extract.JsonClient] | None = None, facts: Callable[[DataFrame], DataFrame] | None = None, seconds: dict[str, float] | None = None) -> DataFrame:
+           verifier: Callable[[], extract.JsonClient] | None = None, facts: Callable[[DataFrame], DataFrame] | None = None, seconds: dict[str, float] | None = None, log: extract.AnswerLog | None = None) -> DataFrame:
     """query_id, category, message, answer, grounded, insufficient_evidence, refs (the
     cited sources), coverage, notes, counters, regenerated and counts by status.
 
@@ -75,7 +75,8 @@ def answer(chunks: DataFrame, questions: DataFrame, client: Callable[[], extract
     ``max_regenerations`` times; of the last draft they are left out.  ``facts``
     gives graph facts for questions (see context.attach_facts); its failure leaves
     them out.  ``seconds`` receives the time of each stage.  Every answer of the
-    model is written out when it comes: nothing is asked twice."""
+    model is written out when it comes: nothing is asked twice, and with a ``log``
+    nothing that an earlier run has asked."""
     began = time.time()
     screened = stash(guard.screen(questions), "screened")
     allowed = screened.where("allowed").select("query_id", F.col("cleaned").alias("question"))
@@ -97,8 +98,8 @@ def answer(chunks: DataFrame, questions: DataFrame, client: Callable[[], extract
     rounds = settings.max_regenerations if settings.enable_output_guardrail else 0
     done = None
     for turn in range(rounds + 1):
-        raw = stash(extract.complete(todo, "query_id", system, "user", client), "raw-answers")
-        judged = stash(_judged(raw, sources, allowed, verifier).withColumn("turn", F.lit(turn)), "judged")
+        raw = stash(extract.complete(todo, "query_id", system, "user", client, log=log), "raw-answers")
+        judged = stash(_judged(raw, sources, allowed, verifier, log).withColumn("turn", F.lit(turn)), "judged")
         again = F.col("reason").isNull() & ~F.coalesce("passed", F.lit(True)) & F.lit(turn < rounds)
         final = judged.where(~again)
         done = final if done is None else done.unionByName(final)
