@@ -519,6 +519,22 @@ def verified_answers(spark, sf_dir):
     return verify.assemble(answers, merged).select("query_id", "supported", "corrected", "unsupported", "meta", "passed")
 
 
+class Silent:
+    """Stands in for a model that is down."""
+
+    def complete_json(self, system: str, user: str) -> str:
+        raise RuntimeError("down")
+
+
+def answer_log(spark, sf_dir):
+    """User turns, asked once; a second run, of a model that is down, finds all in the log."""
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    log = extract.AnswerLog(spark, _folder(spark, "answers"), steps=2)
+    extract.complete(asked, "id", "system", "text", Stubborn, log=log)
+    again = extract.complete(asked, "id", "system", "text", Silent, log=log)
+    return again.select("id", F.col("raw").isNotNull().alias("answered"), F.col("error").isNotNull().alias("failed"))
+
+
 def answer_questions(spark, sf_dir):
     """The whole way from a question to a checked answer, with a second draft."""
     got = answer.answer(_pieces(spark, sf_dir).select("chunk_id", "text"), _questions(spark, sf_dir), Stubborn, settings=search.Settings(min_relevance_score=0.3))
@@ -646,4 +662,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_validation, graph_merge, relationship_validation, relationship_merge,
     input_guardrail, answer_numbers, answer_citations, answer_check, answer_questions,
     observed_behavior, eval_scores, eval_summary, eval_by_behavior, eval_compare, eval_run, stored_run, golden_cases, relevance_buckets, presentation,
-    verified_answers, saved_uploads, graph_indexing, source_labels, status_banners, linked_citations)}
+    verified_answers, answer_log, saved_uploads, graph_indexing, source_labels, status_banners, linked_citations)}

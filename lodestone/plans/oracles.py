@@ -486,6 +486,7 @@ sv AS (
   SELECT * REPLACE (CASE WHEN status <> 'unsupported' AND row_number() OVER (PARTITION BY query_id, status = 'unsupported' ORDER BY pos) = 1 THEN 'unsupported' ELSE status END AS status) FROM st)
 SELECT""").replace("LEFT JOIN st USING", "LEFT JOIN sv USING").replace(""" AS passed,
        coalesce(bool_or(status IN ('supported', 'corrected') AND len(cites) > 0), false) AS has_supported_facts""", " AS passed"),
+    "answer_log": "SELECT conv_id || '-' || turn AS id, trim(coalesce(text, '')) <> '' AS answered, false AS failed FROM conversations WHERE role = 'user'",
     "stored_run": f"WITH {_CASES} SELECT doc_id, behavior_correct, source_hit, key_facts FROM scored",
     "golden_cases": "SELECT CAST(item_id AS VARCHAR) AS id, sha256(text) AS question_sha256, 'answer' AS expected_behavior, CAST(item_id % 7 AS INTEGER) AS page FROM benchmark",
     "saved_uploads": "SELECT doc_id AS document_id, strlen(coalesce(text, '')) AS n_bytes FROM documents",
