@@ -264,7 +264,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _stash_pairs(df: DataFrame, name: str) -> DataFrame:
-    """Stash rows that Python makes of whole sets, few of which it gets at a time."""
+    """Stash rows that Python makes of whole texts or sets, few of which it gets at a time."""
     with batch_bytes(df.sparkSession, SET_BYTES):
         return stash(df, name)
 
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    signed = stash(texts.mapInArrow(_sign, f"id {id_type}, n long, s1 long, s2 long, symbols binary"), "signatures")
+    signed = _stash_pairs(texts.mapInArrow(_sign, f"id {id_type}, n long, s1 long, s2 long, symbols binary"), "signatures")
     named = signed.where("id IS NOT NULL AND n > 0")
     classes = named.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.max("symbols").alias("symbols"))
     # Numbered by id, as the smallest, which leads, is mostly what the others were copied from.  The numbers are
