@@ -75,4 +75,47 @@ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * po
 QUALIFY rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_extendible_shards": _SHARDS, "op5_exact_dedup": _EXACT, "op9_url_filters": _URLS, "op12_hard_negatives": _NEGATIVES}
+_NEAR = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM d),
+own AS MATERIALIZED (
+  SELECT doc_id, n_shingles, min(doc_id) OVER (PARTITION BY shingles) AS class
+  FROM (SELECT doc_id, count(*) AS n_shingles, list(shingle ORDER BY shingle) AS shingles FROM g GROUP BY doc_id)),
+one AS MATERIALIZED (SELECT g.doc_id AS class, shingle, n_shingles FROM g JOIN own USING (doc_id) WHERE doc_id = class),
+near AS MATERIALIZED (
+  SELECT a.class AS a, b.class AS b FROM one a JOIN one b USING (shingle) WHERE a.class <> b.class
+  GROUP BY a.class, b.class, a.n_shingles, b.n_shingles HAVING 100 * count(*) >= 75 * (a.n_shingles + b.n_shingles - count(*))),
+reached(class, root) AS (
+  SELECT class, class FROM own WHERE doc_id = class UNION SELECT near.b, root FROM reached JOIN near ON a = class),
+root AS (SELECT class, min(root) AS root FROM reached GROUP BY class)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN root USING (class)
+"""
+
+_PASSAGES = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS pos,
+         unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS passage
+  FROM d),
+again AS (SELECT doc_id, pos FROM starts QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_extendible_shards": _SHARDS, "op5_exact_dedup": _EXACT, "op6_near_duplicates": _NEAR, "op9_url_filters": _URLS,
+    "op10_repeated_passages": _PASSAGES, "op12_hard_negatives": _NEGATIVES}
