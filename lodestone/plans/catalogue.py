@@ -91,6 +91,19 @@ def bm25_search_batch(spark, sf_dir):
     return bm25.search(bm25.build_index(_chunks(spark, sf_dir)), _questions(spark, sf_dir)).withColumn("score", F.round("score", 5))
 
 
+def bm25_common_words(spark, sf_dir):
+    """Orders in words that most of them have, so that the mean idf is negative, with
+    one word in half of them and one in all but a few; asked alone and with a priority."""
+    orders = _table(spark, sf_dir, "orders")
+    place = F.col("o_orderkey")
+    words = [F.lit("this is an order of goods on the way"), F.when(place % 3 > 0, "usual"), F.when(place > 4, "late"), F.lower("o_orderpriority")]
+    ranked = numbered(orders.select("o_orderkey"), ["o_orderkey"], "place").select("o_orderkey", F.when(F.col("place") % 2 == 0, "even").alias("even"))
+    corpus = orders.join(ranked, "o_orderkey").select(F.col("o_orderkey").alias("chunk_id"), F.concat_ws(" ", *words, "even").alias("text"))
+    levels = F.transform(F.array_insert(F.collect_set(F.lower("o_orderpriority")), 1, F.lit("")), lambda p: F.transform(F.array(*[F.lit(w) for w in ("usual", "late", "even")]), lambda w: F.concat_ws(" ", w, p)))
+    asked = orders.agg(F.flatten(levels).alias("all")).select(F.explode("all").alias("question"))
+    return bm25.search(bm25.build_index(corpus), asked.withColumn("query_id", F.trim("question"))).withColumn("score", F.round("score", 5))
+
+
 def vector_search_batch(spark, sf_dir):
     vecs = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
     asked = vecs.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
@@ -654,7 +667,7 @@ def hybrid_search(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     clean_documents, chunk_documents, fixed_chunks, document_hash_dedup, quality_filter, split_quality, upload_validation, index_stats,
     ingest_documents, ingest_stats, segmented_search, segmented_tables, remove_document, register_unnamed, registry_order, vector_delete,
-    bm25_term_stats, bm25_search_batch, search_metadata, vector_search_batch, vector_normalize, hashed_vector_search,
+    bm25_term_stats, bm25_search_batch, bm25_common_words, search_metadata, vector_search_batch, vector_normalize, hashed_vector_search,
     compare_retrievers, rrf_fusion, weighted_fusion, rerank_threshold, retrieval_counts,
     context_build, context_render, sentence_split, context_dedup, hybrid_search,
     entity_ids, graph_seed_entities, graph_one_hop, graph_search, graph_hits, graph_fusion, graph_delete_document, graph_counts,

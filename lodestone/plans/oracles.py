@@ -354,6 +354,21 @@ FROM (SELECT doc_id, source || ['.pdf', '.txt', '.exe', '.MD'][doc_id % 4 + 1] A
     "index_stats": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum(ceil(length(text) / 2500))::BIGINT FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM documents) AS bm25_chunks",
     "bm25_term_stats": f"WITH {_ASKED}, {_CORPUS}, {_bm25('corpus')} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_search_batch": f"WITH {_ASKED}, {_CORPUS}, {_bm25('corpus')} SELECT query_id, rank, chunk_id, round(score, 5) AS score FROM bm",
+    "bm25_common_words": f"""
+WITH corpus AS (
+  SELECT o_orderkey AS chunk_id, concat_ws(' ', 'this is an order of goods on the way', CASE WHEN o_orderkey % 3 > 0 THEN 'usual' END,
+         CASE WHEN o_orderkey > 4 THEN 'late' END, lower(o_orderpriority),
+         CASE WHEN row_number() OVER (ORDER BY o_orderkey) % 2 = 0 THEN 'even' END) AS text FROM orders),
+asked AS (
+  SELECT trim(concat_ws(' ', w, p)) AS query_id, trim(concat_ws(' ', w, p)) AS question
+  FROM (SELECT unnest(['usual', 'late', 'even']) AS w), (SELECT DISTINCT lower(o_orderpriority) AS p FROM orders UNION ALL SELECT '')),
+{_bm25('corpus')},
+every AS (
+  SELECT query_id, chunk_id, score, bs.chunk_id IS NOT NULL AS matched,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, chunk_id) AS place
+  FROM corpus CROSS JOIN asked LEFT JOIN bs USING (query_id, chunk_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, chunk_id, round(score, 5) AS score
+FROM every WHERE place <= 10 AND matched""",
     "vector_search_batch": """
 SELECT query_id, chunk_id, round(score, 4) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (

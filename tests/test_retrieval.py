@@ -31,6 +31,26 @@ def test_bm25_ranks_and_agrees_with_the_formula(spark, chunks):
     assert got[0, 1].score == pytest.approx(expected)
 
 
+def test_bm25_chunks_without_a_shared_token_take_places(spark):
+    """Against scores of all chunks, sorted: the mean idf is negative here."""
+    rows = [(k, " ".join(["a b c d e f", "w" * (k % 7 > 1), "v" * (k > 2), "half" * (k % 2), "rare" * (k == 9)])) for k in range(20)]
+    words = {k: text.split() for k, text in rows}
+    n, mean_length = len(rows), sum(map(len, words.values())) / len(rows)
+    raw = {t: math.log(n - df + 0.5) - math.log(df + 0.5) for t, df in Counter(t for w in words.values() for t in set(w)).items()}
+    mean = sum(raw.values()) / len(raw)
+    assert mean < 0 and raw["half"] == 0
+    idf = {t: r if r >= 0 else 0.25 * mean for t, r in raw.items()}
+    index = bm25.build_index(spark.createDataFrame(rows, "chunk_id long, text string"))
+    questions = ("w", "v", "half", "w half", "v rare", "rare", "zzz", "a")
+    parts = lambda q, k: [idf[t] * words[k].count(t) * 2.5 / (words[k].count(t) + 1.5 * (0.25 + 0.75 * len(words[k]) / mean_length)) for t in q.split() if t in idf]
+    for top_k in (4, 10, 30):
+        got = bm25.search(index, asked(spark, *questions), top_k).orderBy("query_id", "rank").collect()
+        for at, question in enumerate(questions):
+            ranked = sorted(words, key=lambda k: (-round(sum(parts(question, k)), 9), k))[:top_k]  # noqa: B023
+            want = [(n + 1, k) for n, k in enumerate(k for k in ranked if set(question.split()) & set(words[k]))]
+            assert [(r.rank, r.chunk_id) for r in got if r.query_id == at] == want, (question, top_k)
+
+
 def test_bm25_of_nothing(spark, chunks):
     assert bm25.search(bm25.build_index(chunks.limit(0)), asked(spark, "x")).count() == 0
 
