@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 25 << 20
-PAGES = "document_id string, document_name string, page_ord int, page_number int, text string, error string"
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -35,10 +34,37 @@ def _docx(content: bytes) -> list[tuple[int | None, str]]:
 LOADERS: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] = {".txt": _plain, ".md": _plain, ".docx": _docx}
 
 
-def read_pages(spark: SparkSession, path: str, loaders: dict[str, Callable[[bytes], list[tuple[int | None, str]]]] | None = None) -> DataFrame:
+Loaders = dict[str, Callable[[bytes], list[tuple[int | None, str]]]]
+_FILES = "path string, modificationTime timestamp, length long, content binary"
+_PARSED = "document_id string, document_name string, pages array<struct<page_number:int,text:string>>, error string"
+
+
+def read_pages(spark: SparkSession, path: str, loaders: Loaders | None = None) -> DataFrame:
     """Pages of all files under ``path``, one task batch at a time; a file that
-    can't be read has one row with an error and no text.  Spark's file source
-    passes over files of no bytes."""
+    can't be read has one row with an error and no text.  Of files with the same
+    content, which is what a document's id is made of, the one whose name is first
+    counts.  Spark's file source passes over files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parsed = _parsed(files, loaders)
+    first = parsed.groupBy("document_id").agg(F.min_by(F.struct("document_name", "pages", "error"), "document_name").alias("f"))
+    return _as_pages(first.select("document_id", "f.*"))
+
+
+def stream_pages(spark: SparkSession, path: str, loaders: Loaders | None = None, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of the pages of files that come to be under ``path``.  A file whose
+    content the stream has brought before, in any batch or run, has no pages: the
+    stream's state keeps the ids of all documents, a few bytes for each.  One that was
+    removed from a store comes back by an ingest of its own, not by another copy."""
+    source = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+    return _as_pages(_parsed(source.load(path), loaders).dropDuplicates(["document_id"]))
+
+
+def _as_pages(parsed: DataFrame) -> DataFrame:
+    pages = parsed.select("document_id", "document_name", "error", F.posexplode_outer("pages").alias("page_ord", "page"))
+    return pages.select("document_id", "document_name", F.coalesce("page_ord", F.lit(0)).alias("page_ord"), "page.page_number", "page.text", "error")
+
+
+def _parsed(files: DataFrame, loaders: Loaders | None) -> DataFrame:
     by_suffix = loaders or LOADERS
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,23 +73,22 @@ def read_pages(spark: SparkSession, path: str, loaders: dict[str, Callable[[byte
             for file, size, content, digest in zip(batch["path"], batch["length"], batch["content"], batch["digest"], strict=True):
                 name = file.rsplit("/", 1)[-1]
                 suffix = name[name.rfind(".") :].lower() if "." in name else ""
-                pages, error = [], None
+                pages, error = None, None
                 if suffix not in by_suffix:
                     error = f"unsupported file type {suffix}"
                 elif size > MAX_BYTES:
                     error = f"larger than {MAX_BYTES} bytes"
                 else:
                     try:
-                        pages = by_suffix[suffix](bytes(content))
-                        if not any(t.strip() for _, t in pages):
-                            pages, error = [], "no text found"
+                        pages = [{"page_number": number, "text": t} for number, t in by_suffix[suffix](bytes(content))]
+                        if not any(p["text"].strip() for p in pages):
+                            pages, error = None, "no text found"
                     except Exception as x:  # noqa: BLE001 - one damaged file must not stop the others
-                        error = f"unreadable: {type(x).__name__}"
-                rows += [(digest[:12], name, k, number, t, None) for k, (number, t) in enumerate(pages)] or [(digest[:12], name, 0, None, None, error)]
-            yield pd.DataFrame(rows, columns=["document_id", "document_name", "page_ord", "page_number", "text", "error"]).astype({"page_number": "Int32"})
+                        pages, error = None, f"unreadable: {type(x).__name__}"
+                rows.append((digest[:12], name, pages, error))
+            yield pd.DataFrame(rows, columns=["document_id", "document_name", "pages", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "content", F.sha2("content", 256).alias("digest")).mapInPandas(parse, PAGES)
+    return files.select("path", "length", "content", F.sha2("content", 256).alias("digest")).mapInPandas(parse, _PARSED)
 
 
 GOLDEN = "id string, question string, expected_behavior string, expected_answer string, expected_facts array<string>, expected_document string, expected_pages array<int>"

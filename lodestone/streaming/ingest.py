@@ -1,38 +1,35 @@
-"""Incremental ingest: a stream of documents into the registry's tables."""
+"""Incremental ingest: streams of pages into a store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import chunking, registry
+from ..operators import vectors
+from ..operators.store import DocumentStore
+
 
+def ingest_stream(
+    pages: DataFrame, store: DocumentStore, checkpoint: str, told: Callable[[int, DataFrame], None] | None = None, skip_garbled: bool = True, size: int = 800, overlap: int = 120,
+    embedder: vectors.Embedder = vectors.hashed_terms,
+) -> StreamingQuery:
+    """Start a query over a stream of pages, as ``DocumentStore.ingest`` takes them and
+    ``sources.files.stream_pages`` gives them; a document's pages come in one batch.
 
-def ingest_stream(documents: DataFrame, folder: str, checkpoint: str, size: int = 800, overlap: int = 120) -> StreamingQuery:
-    """Start a query over a stream of (doc_id, text): each batch adds the chunks of
-    content not seen before, then the registry, which readers join to, so that a
-    batch that fails half way leaves nothing visible.  A batch that is run again
-    finds its own rows registered by batch number and writes none twice."""
+    Each batch is one commit of the store, by the same rules as any other ingest.  One
+    that is run again, because it broke off after its commit, finds its documents
+    registered and adds nothing.  ``told`` gets each batch's number and the outcomes
+    (document_id, outcome) of its documents.  What is there when the query starts is
+    taken, in as many batches as the source makes, and the query ends."""
+    folder = f"{checkpoint.rstrip('/')}/batch"
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = _stored(spark, f"{folder}/registry")
-        before = stored.where(F.col("batch") != number) if stored is not None else None
-        fresh = registry.register(batch.select("doc_id", "text"), before)
-        pages = fresh.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_ord"), F.lit(None).cast("int").alias("page_number"), "text")
-        chunks = chunking.chunk_pages(pages, size, overlap).withColumn("batch", F.lit(number))
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/chunks")
-        rows = fresh.select("doc_id", "file_hash").withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/registry")
-
-    return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as x:  # noqa: BLE001 - before the first batch there's no table yet
-        if "PATH_NOT_FOUND" in str(x):
-            return None
-        raise
+        # Written once, so that state is asked once; and read by the store's own session, which plans as it runs.
+        batch.write.mode("overwrite").parquet(folder)
+        outcomes = store.ingest(store.spark.read.schema(batch.schema).parquet(folder), skip_garbled, size, overlap, embedder)
+        if told is not None:
+            told(number, outcomes)
+
+    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

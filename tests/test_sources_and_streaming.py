@@ -1,9 +1,9 @@
-import json
 import zipfile
 
 import pytest
 
 from lodestone.operators import evaluate, registry
+from lodestone.operators.store import SCHEMAS, SUMS, DocumentStore
 from lodestone.sources import files
 from lodestone.streaming import ingest
 
@@ -43,13 +43,50 @@ def test_register_skips_known_content(spark):
     assert sorted(r.doc_id for r in registry.register(new, stored).collect()) == [1, 4]
 
 
-def test_stream_ends_where_a_batch_ends(spark, tmp_path):
-    source, out = tmp_path / "in", tmp_path / "out"
+WORDS = "The scheme pays a pension of three thousand rupees to every farmer who has asked for it. "
+
+
+def test_a_stream_ends_where_one_ingest_ends(spark, tmp_path):
+    """Two runs of a stream, with files in between that are copies, garbled, unreadable
+    or of a kind that nobody can read, leave the tables of one ingest of all files."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for name, text in {"a.txt": WORDS * 30, "b.txt": WORDS * 3 + "b", "c.pdf": "x", "d.txt": " ", "e.txt": "zxqv kkjh wwrt ppsd ffgh jjkl zzxc vvbn " * 20}.items():
+        (source / name).write_text(text)
+    stream_store, told = DocumentStore(spark, f"file://{tmp_path}/streamed"), {}
+
+    def run():
+        pages = files.stream_pages(spark, str(source), files_per_batch=2)
+        found = lambda number, outcomes: told.update({number: sorted(r.outcome for r in outcomes.collect())})
+        ingest.ingest_stream(pages, stream_store, str(tmp_path / "cp"), found).awaitTermination()
+
+    run()
+    assert sum(map(len, told.values())) == 5 and "unreadable" in sum(told.values(), [])
+    before = stream_store.snapshot().version
+    run()  # nothing new
+    assert stream_store.snapshot().version == before
+    (source / "f.txt").write_text(WORDS * 30)  # as a.txt
+    (source / "g.md").write_text(WORDS * 12 + "g")
+    run()
+    assert sum(map(len, told.values())) == 6  # the copy was known to the state
+    whole = DocumentStore(spark, f"file://{tmp_path}/whole")
+    whole.ingest(files.read_pages(spark, str(source)))
+    got, want = stream_store.tables(), whole.tables()
+    assert got["registry"].count() >= 3
+    for name in SCHEMAS | SUMS:
+        rows = lambda df: sorted(map(repr, df.drop("uploaded_at", "idf").collect()))
+        assert rows(got[name]) == rows(want[name]), name
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    """The commit of the stream's own log is lost, as if the driver had died before it."""
+    source, checkpoint = tmp_path / "in", tmp_path / "cp"
     source.mkdir()
-    for k, rows in enumerate(([(1, "first text"), (2, "second text")], [(3, "first text"), (4, "third text")])):
-        (source / f"{k}.json").write_text("\n".join(json.dumps({"doc_id": i, "text": t}) for i, t in rows))
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(str(source))
-    ingest.ingest_stream(stream, str(out), str(tmp_path / "cp")).awaitTermination()
-    hashes = spark.read.parquet(str(out / "registry")).select("file_hash")
-    assert hashes.count() == hashes.distinct().count() == 3
-    assert spark.read.parquet(str(out / "chunks")).count() == 3
+    (source / "a.txt").write_text(WORDS * 3)
+    store, told = DocumentStore(spark, f"file://{tmp_path}/store"), []
+    for _ in range(2):
+        outcome = lambda _, rows: told.append([r.outcome for r in rows.collect()])
+        ingest.ingest_stream(files.stream_pages(spark, str(source)), store, str(checkpoint), outcome).awaitTermination()
+        for name in ("0", ".0.crc"):
+            (checkpoint / "commits" / name).unlink(missing_ok=True)
+    assert told == [["registered"], ["duplicate"]] and store.read("chunks").count() == 1
