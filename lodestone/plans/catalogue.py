@@ -14,6 +14,7 @@ from ..operators.graph_store import GraphStore, index_documents
 from ..operators.store import DocumentStore
 from ..sources import files
 from ..sources.tables import numbered, read_spread, read_table, shared_dir, stash
+from ..streaming.ingest import ingest_stream
 from . import answer
 from .oracles import ORACLES  # noqa: F401 - read by the driver's entry
 
@@ -413,6 +414,21 @@ def segmented_tables(spark, sf_dir):
     return tables["registry"].select("document_id", "chunk_count").join(number("chunks"), "document_id").join(number("vectors"), "document_id").join(number("lengths"), "document_id")
 
 
+def incremental_ingest(spark, sf_dir):
+    """Documents that come as a stream of files, half of them in each batch, equal
+    texts together; then the stream is started again, and finds nothing new."""
+    folder, n = _folder(spark, "incoming"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages = _named_pages(spark, sf_dir)
+    pages.repartition(n, F.xxhash64(F.coalesce("text", F.lit("")))).write.parquet(folder)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", max(n // 2, 1)).parquet(folder)
+    store, checkpoint = DocumentStore(spark, _folder(spark, "store")), _folder(spark, "stream")
+    for _ in range(2):
+        ingest_stream(stream, store, checkpoint).awaitTermination()
+    tables = store.tables()
+    vectors_of = tables["vectors"].groupBy("document_id").agg(F.count("*").alias("n_vectors"))
+    return tables["registry"].select("document_id", "chunk_count").join(vectors_of, "document_id")
+
+
 def ingest_documents(spark, sf_dir):
     return _ingested(spark, sf_dir)[1]
 
@@ -666,7 +682,7 @@ def hybrid_search(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     clean_documents, chunk_documents, fixed_chunks, document_hash_dedup, quality_filter, split_quality, upload_validation, index_stats,
-    ingest_documents, ingest_stats, segmented_search, segmented_tables, remove_document, register_unnamed, registry_order, vector_delete,
+    ingest_documents, ingest_stats, incremental_ingest, segmented_search, segmented_tables, remove_document, register_unnamed, registry_order, vector_delete,
     bm25_term_stats, bm25_search_batch, bm25_common_words, search_metadata, vector_search_batch, vector_normalize, hashed_vector_search,
     compare_retrievers, rrf_fusion, weighted_fusion, rerank_threshold, retrieval_counts,
     context_build, context_render, sentence_split, context_dedup, hybrid_search,

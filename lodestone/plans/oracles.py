@@ -475,6 +475,7 @@ SELECT relationship_id, any_value(type) AS type, round(max(confidence), 6) AS co
     "split_quality": f"""
 SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN {_BAD} > 0.01 THEN 'unmapped_characters' ELSE '' END AS reason FROM documents""",
     "ingest_documents": f"WITH RECURSIVE {_INGEST} SELECT document_id, outcome FROM fate",
+    "incremental_ingest": f"WITH RECURSIVE {_INGEST} SELECT document_id, good AS chunk_count, good AS n_vectors FROM fate WHERE outcome = 'registered'",
     "ingest_stats": f"""
 WITH RECURSIVE {_INGEST}
 SELECT count(*) AS documents, sum(good)::BIGINT AS chunks, sum(good)::BIGINT AS vectors, sum(good)::BIGINT AS bm25_chunks FROM fate WHERE outcome = 'registered'""",
