@@ -16,7 +16,7 @@ SCHEMAS = {
     "registry": "document_id string, filename string, file_type string, file_hash string, uploaded_at timestamp, chunk_count long, page_count long, source string",
     "chunks": "chunk_id string, document_id string, document_name string, page_number int, chunk_ord int, text string",
     "vectors": "chunk_id string, document_id string, vec array<double>",
-    "postings": "term string, chunk_id string, document_id string, tf long, dl int",
+    "postings": "chunk_id string, document_id string, dl int, terms array<string>, tfs array<int>",
     "lengths": "chunk_id string, document_id string, dl int",
 }
 #: Counts of each segment, which add up; a removed document's are there once more, as negative ones.
@@ -33,7 +33,7 @@ class DocumentStore(Versions):
     hidden rows go then.  Any number of writers may work on a store at once."""
 
     schemas = {name: f"{schema}, segment long" for name, schema in SCHEMAS.items()} | SUMS | REMOVED
-    clustered = {"registry": "document_id", "chunks": "document_id", "vectors": "document_id", "postings": "term", "lengths": "document_id", "terms": "term"}
+    clustered = {"registry": "document_id", "chunks": "document_id", "vectors": "document_id", "postings": "document_id", "lengths": "document_id", "terms": "term"}
     looked_up = ("registry", "chunks")
 
     def live(self, name: str, at: Snapshot | None = None, only: tuple[Part, ...] | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ class DocumentStore(Versions):
             rows = added.select("document_id", "filename", suffix.alias("file_type"), "file_hash", F.current_timestamp().alias("uploaded_at"), "chunk_count", "page_count", F.col("filename").alias("source"))
             made = bm25.segment(good, ("document_id",))
             made |= {"registry": rows, "chunks": good, "vectors": vectors.add_chunks(None, good, embedder)}
-            ordered = ("chunks", "vectors")  # as ``good`` is
+            ordered = ("chunks", "vectors", "postings", "lengths")  # as ``good`` is
             return {name: base.append(name, df if name in SUMS else df.withColumn("segment", number), name in ordered) for name, df in made.items()}
 
         self.transact(add)

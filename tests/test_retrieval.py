@@ -175,3 +175,36 @@ def test_rows_that_leave_a_task_and_blocks_that_are_skipped(spark):
     pairs, skipped = vectors.skipped_share(df, q, 5).first()
     assert left == 40 and pairs == 160_000 and skipped > pairs / 3
     assert vectors.search(df, q, 5).count() == 40
+
+
+def brute_bm25(texts, questions, top_k):
+    words = {k: t.split() for k, t in texts.items()}
+    n, mean_length = len(words), sum(map(len, words.values())) / len(words)
+    raw = {t: math.log(n - df + 0.5) - math.log(df + 0.5) for t, df in Counter(t for w in words.values() for t in set(w)).items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {t: r if r >= 0 else 0.25 * mean for t, r in raw.items()}
+    counted = {k: Counter(w) for k, w in words.items()}
+    out = []
+    for at, question in enumerate(questions):
+        asked = [t for t in question.split() if t in idf]
+        score = {k: sum(idf[t] * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * len(words[k]) / mean_length)) for t in asked) for k, c in counted.items()}
+        ranked = sorted(words, key=lambda k: (-round(score[k], 9), k))[:top_k]  # noqa: B023
+        out += [(at, place + 1, k) for place, k in enumerate(ranked) if any(counted[k][t] for t in asked)]
+    return out
+
+
+def test_bm25_keeps_a_row_for_each_chunk_and_the_best_of_each_task(spark, monkeypatch):
+    """Small blocks, several passes and many copies change nothing; all chunks have words that all questions have."""
+    draw = random.Random(5)
+    texts = {k: " ".join(["the", "in", *(f"w{int(draw.paretovariate(0.4)) % 60}" for _ in range(draw.randrange(1, 9)))]) for k in range(500)}
+    texts |= {k: texts[k % 7] for k in range(500, 800)}
+    questions = [" ".join(["the", "in", "the", f"w{k % 60}", f"w{k % 7}"]) for k in range(90)]
+    for name, value in (("BLOCK", 16), ("GROUPS", 40), ("QUESTIONS", 8), ("MAX_QUERY_TERMS", 100)):
+        monkeypatch.setattr(bm25, name, value)
+    index = bm25.build_index(spark.createDataFrame(list(texts.items()), "chunk_id long, text string").repartition(3))
+    assert index.postings.count() == len(texts)
+    got = bm25.search(index, asked(spark, *questions), 10).collect()
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in got) == sorted(brute_bm25(texts, questions, 10))
+    table = next(bm25._blocks(index, asked(spark, *questions[:1])))
+    few = list(bm25._best_of(table, 6.0, 10)(iter(index.postings.select("chunk_id", "dl", "terms", "tfs").toArrow().to_batches())))
+    assert sum(b.num_rows for b in few) == 10
