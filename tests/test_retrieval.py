@@ -208,3 +208,10 @@ def test_bm25_keeps_a_row_for_each_chunk_and_the_best_of_each_task(spark, monkey
     table = next(bm25._blocks(index, asked(spark, *questions[:1])))
     few = list(bm25._best_of(table, 6.0, 10)(iter(index.postings.select("chunk_id", "dl", "terms", "tfs").toArrow().to_batches())))
     assert sum(b.num_rows for b in few) == 10
+
+
+def test_index_stats_counts_no_terms(spark, monkeypatch):
+    from lodestone.plans import catalogue
+
+    monkeypatch.setattr(bm25, "index_of", None)
+    assert catalogue.index_stats(spark, "/root/testdata/sf0.001").first().bm25_chunks == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
