@@ -97,9 +97,10 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [dealt.where(F.col("__block") == k).drop("__block") for k in range(parts)]
 
 
-def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, embedder: Embedder | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score by inner product, exactly: vectors
-    (chunk_id, vec) and queries (query_id, qvec).  ``top_k`` beyond the number of
+    (chunk_id, vec) and queries (query_id, qvec).  With an ``embedder`` vec is a text,
+    which becomes a vector in the same task.  ``top_k`` beyond the number of
     vectors gives all.  A vector that is zero wherever the question's isn't is no hit.
 
     Questions are taken in blocks of MAX_QUERIES_BYTES, each with one pass over
@@ -111,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame
     blocks, found = _blocks(queries), []
     rows = vectors.select("chunk_id", "vec").where("vec IS NOT NULL")
     for block in blocks:
-        best = rows.mapInArrow(_best_of(block.toArrow(), top_k), schema)
+        best = rows.mapInArrow(_best_of(block.toArrow(), top_k, embedder=embedder), schema)
         found.append(best if len(blocks) == 1 else stash(best, "best-of-block"))
     if not found:
         return _top(vectors.sparkSession.createDataFrame([], schema), top_k)
@@ -175,19 +176,24 @@ def _near_blocks(own: np.ndarray) -> Iterator[np.ndarray]:
             yield near[lo : lo + BLOCK]
 
 
-def _best_of(questions: pa.Table, top_k: int, counted: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _in_slices(batches: Iterator[pa.RecordBatch], embedder: Embedder | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, vectors) of batches; texts are turned into vectors BLOCK at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK if embedder else max(batch.num_rows, 1)):
+            part = batch.slice(lo, BLOCK) if embedder else batch
+            yield part.column(0), embedder(part.column(1).to_pylist()) if embedder else _matrix(part.column(1))
+
+
+def _best_of(questions: pa.Table, top_k: int, counted: bool = False, embedder: Embedder | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     ids = questions.column(0).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = _matrix(questions.column(1).combine_chunks())
         length, running = np.sqrt((asked * asked).sum(axis=1)), Running(len(asked), top_k)
         pairs = skipped = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = _matrix(batch.column(1))
+        for every_id, every in _in_slices(batches, embedder):
             for rows in _near_blocks(every):
-                own, names = every[rows], batch.column(0).take(pa.array(rows))
+                own, names = every[rows], every_id.take(pa.array(rows))
                 centre = own.mean(axis=0)
                 # Nothing in the block is farther from its centre, so no product is larger.
                 most = asked @ centre + length * np.sqrt(((own - centre) ** 2).sum(axis=1).max()) * (1 + 1e-9) + 1e-8
@@ -218,7 +224,8 @@ def _best_of(questions: pa.Table, top_k: int, counted: bool = False) -> Callable
 
 def search_hashed(chunks: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """query_id, rank, chunk_id, score by the cosine of hashed terms."""
-    return search(embed(chunks.select("chunk_id", "text")), embed(queries.select("query_id", "question"), "question", "qvec"), top_k)
+    texts = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("vec"))
+    return search(texts, embed(queries.select("query_id", "question"), "question", "qvec"), top_k, hashed_terms)
 
 
 def delete_document(vectors: DataFrame, document_id: str) -> tuple[DataFrame, DataFrame]:

@@ -215,3 +215,18 @@ def test_index_stats_counts_no_terms(spark, monkeypatch):
 
     monkeypatch.setattr(bm25, "index_of", None)
     assert catalogue.index_stats(spark, "/root/testdata/sf0.001").first().bm25_chunks == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_texts_become_vectors_a_few_at_a_time():
+    import pyarrow as pa
+
+    seen = []
+
+    def embedder(texts):
+        seen.append(len(texts))
+        return vectors.hashed_terms(texts)
+
+    questions = pa.table({"query_id": [1], "qvec": [vectors.hashed_terms(["w7"])[0].tolist()]})
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(2000)), "vec": [f"w{k}" for k in range(2000)]})
+    got = pa.Table.from_batches(vectors._best_of(questions, 1, embedder=embedder)(iter([batch]))).to_pylist()
+    assert sum(seen) == 2000 and max(seen) <= vectors.BLOCK and got[0]["score"] == pytest.approx(1.0)
