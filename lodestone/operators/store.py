@@ -33,7 +33,7 @@ class DocumentStore(Versions):
     hidden rows go then.  Any number of writers may work on a store at once."""
 
     schemas = {name: f"{schema}, segment long" for name, schema in SCHEMAS.items()} | SUMS | REMOVED
-    clustered = {"registry": "document_id", "chunks": "document_id", "vectors": "document_id", "postings": "document_id", "lengths": "document_id", "terms": "term"}
+    clustered = {"registry": "document_id", "chunks": "document_id", "vectors": "document_id", "postings": "document_id", "lengths": "document_id"}
     looked_up = ("registry", "chunks")
 
     def live(self, name: str, at: Snapshot | None = None, only: tuple[Part, ...] | None = None) -> DataFrame:
@@ -111,7 +111,7 @@ class DocumentStore(Versions):
             if added.isEmpty():
                 return {}
             number = F.lit(base.version + 1).cast("long").alias("segment")
-            good = chunks.where("NOT garbled").join(added.select("document_id"), "document_id", "left_semi")
+            good = chunks.where("NOT garbled")  # a new document that has any is registered
             good = stash(good.repartitionByRange("document_id").sortWithinPartitions("document_id", "chunk_ord"), "good-chunks")
             suffix = F.lower(F.regexp_extract("filename", r"\.([^./]+)$", 1))
             rows = added.select("document_id", "filename", suffix.alias("file_type"), "file_hash", F.current_timestamp().alias("uploaded_at"), "chunk_count", "page_count", F.col("filename").alias("source"))
