@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import stash
+from ..sources.tables import MAX_BROADCAST, stash
 from . import bm25, fusion, graph, vectors
 
 
@@ -50,6 +50,16 @@ class TableVectors:
         return self.table.count()
 
 
+@dataclass
+class PassingTexts:
+    """Texts (chunk_id, text) that become vectors in the task that compares them; no vector is stored."""
+
+    chunks: DataFrame
+
+    def search(self, queries: DataFrame, top_k: int) -> DataFrame:
+        return vectors.search_hashed(self.chunks, queries, top_k)
+
+
 @dataclass
 class Keywords:
     """An index, or what builds one when it's first asked."""
@@ -145,6 +155,9 @@ class Hybrid:
             raise ValueError("no retriever is on, or all of them failed")
         fused = stash(fusion.fuse(each, self.settings.fusion_method), "fused")
         texts = chunks.select("chunk_id", *[c for c in chunks.columns if c not in ("chunk_id", "score")])
+        ids = stash(fused.select("chunk_id").distinct(), "fused-ids")
+        if ids.count() <= MAX_BROADCAST:  # no other text has to move
+            texts = texts.join(F.broadcast(ids), "chunk_id", "left_semi")
         rows = fused.join(asked.select("query_id", "question"), "query_id").join(texts, "chunk_id")
         best = self.rerank(rows, top_k)
         return best, counts(each, fused, best)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _CONF = "spark.checkpoint.dir"
+MAX_BROADCAST = 200_000  # ids that every task may hold
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import time
 from collections import Counter
@@ -6,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, context, fusion, vectors
+from lodestone.operators import bm25, chunking, context, fusion, vectors
+from lodestone.plans import catalogue
+from lodestone.sources.tables import shared_dir
 
 CORPUS = {"c0": "PM-KMY pays a pension of Rs.3,000 per month to farmers.", "c1": "Rs.55 is paid at the age of eighteen.", "c2": "Something else that is not about money at all."}
 
@@ -230,3 +233,28 @@ def test_texts_become_vectors_a_few_at_a_time():
     batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(2000)), "vec": [f"w{k}" for k in range(2000)]})
     got = pa.Table.from_batches(vectors._best_of(questions, 1, embedder=embedder)(iter([batch]))).to_pylist()
     assert sum(seen) == 2000 and max(seen) <= vectors.BLOCK and got[0]["score"] == pytest.approx(1.0)
+
+
+def test_pages_that_are_their_documents_only_ones_stay_where_they_are(spark):
+    text = "A sentence of some words. " * 60
+    rows = [(1, 0, 1, text), (2, 0, 1, text + "x"), (2, 1, 2, text + "y"), (3, 0, 1, " "), (4, 0, 1, None), (None, 0, 1, text), (5, 0, 1, "short")]
+    pages = spark.createDataFrame(rows, "document_id long, page_ord int, page_number int, text string")
+    for some in (pages, pages.where("document_id <> 2"), pages.union(pages.where("document_id IS NULL").withColumn("page_ord", F.lit(1)))):
+        assert sorted(map(str, chunking.chunk_in_place(some).collect())) == sorted(map(str, chunking.chunk_pages(some).collect()))
+    alone = chunking.chunk_in_place(pages.where("document_id <> 2"))
+    assert alone.count() == 4 and "Exchange" not in alone._jdf.queryExecution().toString()
+
+
+def test_an_index_for_one_search_finds_the_same_and_stores_no_postings(spark, tmp_path):
+    rows = [(k, " ".join(["a b c d e f", "w" * (k % 7 > 1), "v" * (k > 2), "half " * (k % 2), "rare" * (k == 9)])) for k in range(20)] + [(20, None), (21, " ")]
+    corpus, questions = spark.createDataFrame(rows, "chunk_id long, text string"), asked(spark, "w", "v", "half", "v rare", "zzz", "a half half")
+    of = lambda index: sorted(bm25.search(index, questions).collect())
+    assert of(bm25.passing_index(corpus)) == of(bm25.build_index(corpus)) != []
+    assert bm25.search(bm25.passing_index(corpus.limit(0)), questions).count() == 0
+    folder, stored = str(tmp_path), lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("postings-")}
+    spark.createDataFrame([(k, f"{text} " * 40) for k, text in rows], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "v rare")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    before = stored()
+    for query in (catalogue.context_build, catalogue.hybrid_search, catalogue.rerank_threshold):
+        assert query(spark, folder).count() > 0
+    assert stored() == before
