@@ -95,16 +95,20 @@ class GraphStore(Versions):
         ids = stash(rows.select("document_id").distinct(), "replaced-documents")
         self.transact(lambda now: self._changed(now, ids, new))
 
-    def _part(self, now: Snapshot, name: str, touched: DataFrame) -> _Part:
-        """The buckets of a table that hold ids of ``touched``."""
-        own = {r[0] for r in touched.select(bucket(KEYS[name], self.buckets)).distinct().collect()}  # as many as there are buckets, at most
+    def _buckets(self, key: str, touched: DataFrame) -> set[int]:
+        return {r[0] for r in touched.select(bucket(key, self.buckets)).distinct().collect()}  # as many as there are buckets, at most
+
+    def _part(self, now: Snapshot, name: str, touched: DataFrame | set[int]) -> _Part:
+        """The buckets of a table that hold ids of ``touched``, or these buckets."""
+        own = touched if isinstance(touched, set) else self._buckets(KEYS[name], touched) if now.of(name) else set()
         return _Part(now.read(name, lambda p: p.bucket in own), tuple(p for p in now.of(name) if p.bucket not in own), bucket(KEYS[name], self.buckets))
 
     def _changed(self, now: Snapshot, ids: DataFrame, new: dict[str, DataFrame]) -> dict[str, Change]:
         """The tables without the documents of ``ids``, and with the rows of ``new``."""
         changes, lost = {}, {}
+        own = self._buckets("document_id", ids)
         for name in ("documents", "chunks", "mentions", "evidence"):
-            part = self._part(now, name, ids)
+            part = self._part(now, name, own)
             left = part.rows.join(ids, "document_id", "left_anti")
             changes[name] = part.change(left.unionByName(new[name].select(*left.columns)) if new else left)
             lost[name] = part.rows.join(ids, "document_id", "left_semi")
@@ -129,7 +133,8 @@ class GraphStore(Versions):
         moved = ends.select("entity_id", *[(F.col(c) if c in ends.columns else zero).alias(c) for c in _USES]).unionByName(one(lost["mentions"], "lost_mentions"))
         moved = moved.unionByName(one(new["mentions"], "new_mentions")) if new else moved
         moved = stash(moved.groupBy("entity_id").agg(*[F.sum(c).alias(c) for c in _USES]), "use-changes")
-        part, entities = self._part(now, "uses", moved), self._part(now, "entities", moved)
+        own = self._buckets("entity_id", moved)
+        part, entities = self._part(now, "uses", own), self._part(now, "entities", own)
         uses = stash(part.rows.join(moved, "entity_id", "full").fillna(0), "uses-after")
         mentions, at_ends = (F.col("mentions") - F.col("lost_mentions")), (F.col("ends") - F.col("lost_ends"))
         after = uses.select("entity_id", (mentions + F.col("new_mentions")).alias("mentions"), (at_ends + F.col("new_ends")).alias("ends"))
