@@ -81,18 +81,22 @@ class GraphStore(Versions):
         entities (chunk_id, entity_id, entity_name, entity_type, description) and
         relationships (chunk_id, relationship_id, source_id, target_id, type,
         evidence, confidence) are accepted ones by chunk; failed and rejected
-        (chunk_id) count for the documents' states.  All documents of a batch are
-        written at once, however many chunks they have."""
-        rows = stash(graph.chunk_rows(chunks), "graph-chunks")
-        of_chunk = rows.select("chunk_id", "document_id")
-        mentions = stash(entities.join(of_chunk, "chunk_id").select("entity_id", "chunk_id", "document_id").distinct(), "graph-mentions")
-        facts = stash(graph.relationship_rows(relationships, rows), "graph-facts")
+        (chunk_id) count for the documents' states.  Of these four, one that has its
+        chunks' document_id too isn't joined with the chunks to learn it.  All documents
+        of a batch are written at once, however many chunks they have."""
+        self._replace(stash(graph.chunk_rows(chunks), "graph-chunks"), entities, relationships, failed, rejected)
+
+    def _replace(self, rows: DataFrame, entities: DataFrame, relationships: DataFrame, failed: DataFrame | None, rejected: DataFrame | None) -> None:
+        """``rows``, as the graph stores them, are read more than once."""
+        ids = stash(rows.select("document_id").distinct(), "replaced-documents")
+        chunk = lambda own: ids if "document_id" in own.columns else rows
+        mentions = stash(graph.of_documents(entities, chunk(entities)).select("entity_id", "chunk_id", "document_id").distinct(), "graph-mentions")
+        facts = stash(graph.relationship_rows(relationships, chunk(relationships)), "graph-facts")
         new = {
             "chunks": rows, "mentions": mentions, "facts": facts, "documents": states(rows, mentions, facts, failed, rejected),
             "evidence": facts.select("relationship_id", "chunk_id", "document_id", "evidence", "confidence"),
             "entities": stash(graph.entity_rows(entities).select("entity_id", "name", "type", "description"), "graph-entities"),
         }
-        ids = stash(rows.select("document_id").distinct(), "replaced-documents")
         self.transact(lambda now: self._changed(now, ids, new))
 
     def _buckets(self, key: str, touched: DataFrame) -> set[int]:
@@ -163,11 +167,10 @@ class _Part:
 def states(chunks: DataFrame, mentions: DataFrame, facts: DataFrame, failed: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """The documents' rows after a write: what they have, and whether all of their
     chunks could be read (done), some (partial) or none (failed)."""
-    of_chunk = chunks.select("chunk_id", "document_id")
     out = chunks.groupBy("document_id").agg(F.max("document_name").alias("document_name"), F.count("*").alias("kg_chunks"))
     number = lambda rows, name, what: rows.groupBy("document_id").agg(what.alias(name))
     parts = [number(mentions, "kg_entities", F.count_distinct("entity_id")), number(facts, "kg_relationships", F.count("*"))]
-    parts += [number(rows.join(of_chunk, "chunk_id"), name, what) for rows, name, what in ((failed, "kg_failed_chunks", F.count_distinct("chunk_id")), (rejected, "kg_rejected", F.count("*"))) if rows is not None]
+    parts += [number(rows if "document_id" in rows.columns else graph.of_documents(rows, chunks), name, what) for rows, name, what in ((failed, "kg_failed_chunks", F.count_distinct("chunk_id")), (rejected, "kg_rejected", F.count("*"))) if rows is not None]
     for part in parts:
         out = out.join(part, "document_id", "left")
     out = out.select("document_id", "document_name", *[F.coalesce(F.col(c) if c in out.columns else F.lit(None).cast("long"), F.lit(0).cast("long")).alias(c) for c in COUNTS])
@@ -180,16 +183,19 @@ def index_documents(store: GraphStore, chunks: DataFrame, extract: Callable[[Dat
     documents' rows.  Never raises: documents of which no chunk could be read are
     failed, and keep what the graph had of them; a failure of the whole batch
     leaves the graph as it was and every document failed, with the error, cut to
-    500 characters."""
+    500 characters.  ``chunks`` are read more than once, so they should be stored; what
+    ``extract`` returns may have document_id, as for ``GraphStore.replace``."""
     rows = graph.chunk_rows(chunks)
-    named = rows.groupBy("document_id").agg(F.max("document_name").alias("document_name"))
+    known = stash(rows.groupBy("document_id").agg(F.max("document_name").alias("document_name"), F.count("*").alias("n")), "indexed-documents")
+    named = known.select("document_id", "document_name")
     try:
         store.set_status(named.withColumn("kg_status", F.lit("processing")))
         got = extract(chunks)
-        n, bad = rows.groupBy("document_id").agg(F.count("*").alias("n")), got["errors"].join(rows, "chunk_id").groupBy("document_id").agg(F.count_distinct("chunk_id").alias("bad"))
-        dead = n.join(bad, "document_id").where("n = bad").select("document_id")
-        live = chunks.join(dead, chunks["document_id"].cast("string") == dead["document_id"], "left_anti")
-        store.replace(live, got["entities"], got["relationships"], got["errors"], got["rejected"])
+        has = "document_id" in got["errors"].columns
+        failed = stash(graph.of_documents(got["errors"], known if has else rows).select("chunk_id", "document_id").distinct(), "failed-chunks")
+        bad = failed.groupBy("document_id").agg(F.count_distinct("chunk_id").alias("bad"))
+        dead = stash(known.join(bad, "document_id").where("n = bad").select("document_id"), "failed-documents")
+        store._replace(rows.join(dead, "document_id", "left_anti").select(*rows.columns), got["entities"], got["relationships"], failed, got["rejected"])
         store.set_status(named.join(dead, "document_id", "left_semi").withColumns({"kg_status": F.lit("failed"), "kg_error": F.lit("extraction failed for every chunk")}))
     except Exception as x:  # noqa: BLE001 - the caller reads the failure from the table
         store.set_status(named.withColumns({"kg_status": F.lit("failed"), "kg_error": F.lit(f"{type(x).__name__}: {x}"[:500])}))

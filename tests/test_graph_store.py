@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph_store import SCHEMAS, GraphStore
+from lodestone.operators import graph
+from lodestone.operators.graph_store import SCHEMAS, GraphStore, index_documents
+from lodestone.plans import catalogue
 
 CHUNKS = "chunk_id string, document_id string, document_name string, page_number int, text string"
 ENTITY = "chunk_id string, entity_id string, entity_name string, entity_type string, description string"
@@ -102,3 +104,41 @@ def test_a_table_that_was_never_written_is_known_to_be_empty(spark, tmp_path):
         joined = spark.range(3).withColumn(rows.columns[0], F.lit("x")).join(rows, rows.columns[0], "left_anti")
         plan = joined._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and joined.count() == 3
+
+
+def test_rows_that_have_their_document_need_no_look_at_its_chunks(spark, tmp_path):
+    docs = documents(random.Random(7), [f"d{k}" for k in range(5)], [f"e{k}" for k in range(6)])
+    chunks, entities, facts = frames(spark, docs)
+    facts = facts.unionByName(facts.withColumn("evidence", F.lit("z")))
+    owned = lambda df: df.withColumn("document_id", F.substring_index("chunk_id", "-", 1))
+    failed = chunks.where("chunk_id LIKE 'd3-%' OR chunk_id = 'd1-0'").select("chunk_id", F.lit("x").alias("error"))
+    left = lambda df: df.join(failed, "chunk_id", "left_anti")
+    got = []
+    for own in (lambda df: df, owned):
+        store = GraphStore(spark, f"file://{tmp_path}/g{len(got)}", 4)
+        told = {"entities": own(left(entities)), "relationships": own(left(facts)), "errors": own(failed), "rejected": own(failed.limit(1))}
+        status = {r.document_id: r.asDict() for r in index_documents(store, chunks, lambda _, told=told: told).collect()}
+        got.append((status, state(store), sorted(map(str, store.read("evidence").collect()))))
+    assert got[0] == got[1] and got[0][0]["d3"]["kg_status"] == "failed" and got[0][0]["d0"]["kg_status"] == "done" and got[0][1][1]
+    plan = lambda own: graph.relationship_rows(own(facts), chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan(lambda df: df) and "Join Inner" not in plan(owned)
+
+
+def test_what_is_said_of_an_order_grows_with_the_orders_of_customers_of_one_name(spark, tmp_path, monkeypatch):
+    day = "TIMESTAMP '199{}-05-01'".format
+    tables = {
+        "region": spark.sql("SELECT 0 AS r_regionkey, 'ASIA' AS r_name"), "nation": spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey"),
+        "customer": spark.range(12).selectExpr("id AS c_custkey", "'Same' AS c_name", "0 AS c_nationkey"),
+        "orders": spark.range(60).selectExpr("id AS o_orderkey", "id % 12 AS o_custkey", f"CASE WHEN id % 3 = 0 THEN {day(4)} WHEN id % 3 = 1 THEN {day(5)} ELSE {day(6)} END AS o_orderdate", "'LOW' AS o_orderpriority")}
+    for name, rows in tables.items():
+        rows.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    said, index = {}, catalogue.index_documents
+
+    def counted(store, chunks, extract):
+        said.update({name: rows.count() for name, rows in extract(chunks).items()})
+        return index(store, chunks, extract)
+
+    monkeypatch.setattr(catalogue, "index_documents", counted)
+    got = {tuple(r) for r in catalogue.graph_indexing(spark, f"file://{tmp_path}").collect()}
+    assert got == {("1994", "partial", 20, 2, True), ("1995", "failed", None, None, True), ("1996", "done", 20, 0, False)}
+    assert said == {"entities": 38, "relationships": 38, "errors": 22, "rejected": 0}
