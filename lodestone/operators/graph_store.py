@@ -84,16 +84,18 @@ class GraphStore(Versions):
         (chunk_id) count for the documents' states.  Of these four, one that has its
         chunks' document_id too isn't joined with the chunks to learn it.  All documents
         of a batch are written at once, however many chunks they have."""
-        self._replace(stash(graph.chunk_rows(chunks), "graph-chunks"), entities, relationships, failed, rejected)
+        rows = stash(graph.chunk_rows(chunks), "graph-chunks")
+        self._replace(rows, entities, relationships, [_failed(failed, rows)] if failed is not None else [], rejected)
 
-    def _replace(self, rows: DataFrame, entities: DataFrame, relationships: DataFrame, failed: DataFrame | None, rejected: DataFrame | None) -> None:
-        """``rows``, as the graph stores them, are read more than once."""
+    def _replace(self, rows: DataFrame, entities: DataFrame, relationships: DataFrame, counted: list[DataFrame], rejected: DataFrame | None) -> None:
+        """``rows``, as the graph stores them, are read more than once; what was ``counted``
+        already goes into the documents' states."""
         ids = stash(rows.select("document_id").distinct(), "replaced-documents")
         chunk = lambda own: ids if "document_id" in own.columns else rows
         mentions = stash(graph.of_documents(entities, chunk(entities)).select("entity_id", "chunk_id", "document_id").distinct(), "graph-mentions")
         facts = stash(graph.relationship_rows(relationships, chunk(relationships)), "graph-facts")
         new = {
-            "chunks": rows, "mentions": mentions, "facts": facts, "documents": states(rows, mentions, facts, failed, rejected),
+            "chunks": rows, "mentions": mentions, "facts": facts, "documents": states(rows, mentions, facts, *counted, *([_rejected(rejected, rows)] if rejected is not None else [])),
             "evidence": facts.select("relationship_id", "chunk_id", "document_id", "evidence", "confidence"),
             "entities": stash(graph.entity_rows(entities).select("entity_id", "name", "type", "description"), "graph-entities"),
         }
@@ -164,14 +166,24 @@ class _Part:
         return Change(rows.withColumn("__bucket", self.bucket), self.others, buckets=True)
 
 
-def states(chunks: DataFrame, mentions: DataFrame, facts: DataFrame, failed: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+def _number(rows: DataFrame, name: str, what: Column) -> DataFrame:
+    return rows.groupBy("document_id").agg(what.alias(name))
+
+
+def _failed(errors: DataFrame, chunks: DataFrame) -> DataFrame:
+    return _number(graph.of_documents(errors, chunks), "kg_failed_chunks", F.count_distinct("chunk_id"))
+
+
+def _rejected(rejected: DataFrame, chunks: DataFrame) -> DataFrame:
+    return _number(graph.of_documents(rejected, chunks), "kg_rejected", F.count("*"))
+
+
+def states(chunks: DataFrame, mentions: DataFrame, facts: DataFrame, *counted: DataFrame) -> DataFrame:
     """The documents' rows after a write: what they have, and whether all of their
-    chunks could be read (done), some (partial) or none (failed)."""
-    out = chunks.groupBy("document_id").agg(F.max("document_name").alias("document_name"), F.count("*").alias("kg_chunks"))
-    number = lambda rows, name, what: rows.groupBy("document_id").agg(what.alias(name))
-    parts = [number(mentions, "kg_entities", F.count_distinct("entity_id")), number(facts, "kg_relationships", F.count("*"))]
-    parts += [number(rows if "document_id" in rows.columns else graph.of_documents(rows, chunks), name, what) for rows, name, what in ((failed, "kg_failed_chunks", F.count_distinct("chunk_id")), (rejected, "kg_rejected", F.count("*"))) if rows is not None]
-    for part in parts:
+    chunks could be read (done), some (partial) or none (failed).  ``counted`` are
+    other counts (document_id, kg_...)."""
+    out = graph.documents_of(chunks)
+    for part in (_number(mentions, "kg_entities", F.count_distinct("entity_id")), _number(facts, "kg_relationships", F.count("*")), *counted):
         out = out.join(part, "document_id", "left")
     out = out.select("document_id", "document_name", *[F.coalesce(F.col(c) if c in out.columns else F.lit(None).cast("long"), F.lit(0).cast("long")).alias(c) for c in COUNTS])
     status = graph.index_status(F.col("kg_chunks"), F.col("kg_failed_chunks"))
@@ -186,16 +198,14 @@ def index_documents(store: GraphStore, chunks: DataFrame, extract: Callable[[Dat
     500 characters.  ``chunks`` are read more than once, so they should be stored; what
     ``extract`` returns may have document_id, as for ``GraphStore.replace``."""
     rows = graph.chunk_rows(chunks)
-    known = stash(rows.groupBy("document_id").agg(F.max("document_name").alias("document_name"), F.count("*").alias("n")), "indexed-documents")
+    known = stash(graph.documents_of(rows), "indexed-documents")
     named = known.select("document_id", "document_name")
     try:
         store.set_status(named.withColumn("kg_status", F.lit("processing")))
         got = extract(chunks)
-        has = "document_id" in got["errors"].columns
-        failed = stash(graph.of_documents(got["errors"], known if has else rows).select("chunk_id", "document_id").distinct(), "failed-chunks")
-        bad = failed.groupBy("document_id").agg(F.count_distinct("chunk_id").alias("bad"))
-        dead = stash(known.join(bad, "document_id").where("n = bad").select("document_id"), "failed-documents")
-        store._replace(rows.join(dead, "document_id", "left_anti").select(*rows.columns), got["entities"], got["relationships"], failed, got["rejected"])
+        failed = stash(_failed(got["errors"], known if "document_id" in got["errors"].columns else rows), "failed-chunks")
+        dead = stash(known.join(failed, "document_id").where("kg_chunks = kg_failed_chunks").select("document_id"), "failed-documents")
+        store._replace(rows.join(dead, "document_id", "left_anti").select(*rows.columns), got["entities"], got["relationships"], [failed], got["rejected"])
         store.set_status(named.join(dead, "document_id", "left_semi").withColumns({"kg_status": F.lit("failed"), "kg_error": F.lit("extraction failed for every chunk")}))
     except Exception as x:  # noqa: BLE001 - the caller reads the failure from the table
         store.set_status(named.withColumns({"kg_status": F.lit("failed"), "kg_error": F.lit(f"{type(x).__name__}: {x}"[:500])}))

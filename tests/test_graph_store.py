@@ -142,3 +142,12 @@ def test_what_is_said_of_an_order_grows_with_the_orders_of_customers_of_one_name
     got = {tuple(r) for r in catalogue.graph_indexing(spark, f"file://{tmp_path}").collect()}
     assert got == {("1994", "partial", 20, 2, True), ("1995", "failed", None, None, True), ("1996", "done", 20, 0, False)}
     assert said == {"entities": 38, "relationships": 38, "errors": 22, "rejected": 0}
+
+
+def test_documents_of_chunks_are_counted_without_a_sort_of_the_chunks(spark):
+    rows = [("a", "x"), ("a", "y"), ("a", None), ("b", None), (None, "z"), ("a", "x")]
+    chunks = spark.createDataFrame(rows, "document_id string, document_name string")
+    got = graph.documents_of(chunks)
+    assert {tuple(r) for r in got.collect()} == {("a", "y", 4), ("b", None, 1), (None, "z", 1)}
+    plan = got._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "HashAggregate" in plan[-2] and not any("Sort" in line for line in plan[-3:])
