@@ -13,15 +13,17 @@ holds for certain, so every pair has an interval that its score lies in.  Only
 pairs whose interval reaches what is asked for are scored, in integers.
 
 Rows are packed into blocks, anchors too, and each block of anchors meets each
-block of rows in one record of a join.  A task keeps the best of each anchor over
-all its blocks, so what it has found raises the bar for what follows, and no
-more than those leave it.  A first pass finds each anchor's positives, a second
-one the negatives of each positive.
+block of rows in one record of a join.  Blocks of rows are dealt out once, and each
+task gets every block of anchors once, so many at a time that they are small.  A task
+keeps the best of each anchor over all its blocks, so what it has found raises the
+bar for what follows, and no more than those leave it.  A first pass finds each
+anchor's positives, a second one the negatives of each positive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ from .whole_vectors import longest, matrix, usable, whole
 LEVELS = 8  # bits of an anchor's coordinate
 ROWS, ANCHORS = 1024, 512  # vectors in a block, if they are short
 BLOCK_BYTES = 1 << 20  # of a block of long vectors
-GROUP = 4  # blocks of rows, or so, that a block of anchors is copied for
-HELD = 32  # blocks of anchors whose best a task holds
+GROUP, MOST = 4, 256  # blocks of rows in a task, from and to, or so
+HELD = 64  # blocks of anchors that are handed over at once, and whose best a task holds
 BATCH_BYTES = 8 << 20
-PAIRS = 1 << 16  # scored at once
+TILE = 1 << 15  # pairs that are compared at once
+PAIRS = 1 << 16  # scored at once, if they are few among others
+DENSE = 1 / 32  # of pairs: where more are asked for, all of a tile are multiplied
 _U = np.uint64
 _Batches = Iterator[pa.RecordBatch]
 _PACK = "ids binary, labels binary, x binary, codes binary, along binary, off binary"
@@ -90,18 +94,34 @@ def levels(x: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def intervals(planes: np.ndarray, scale: np.ndarray, codes: np.ndarray, along: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds (anchors, rows) that the inner products lie between."""
     width = codes.shape[1] * 64
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
-    dots = np.zeros((len(planes), len(codes)), np.int32)
-    for p in range(LEVELS):
+    signs = np.bitwise_count(codes).sum(axis=1, dtype=np.int32) * 2.0 - width
+    shape = len(planes), len(codes)
+    dots, both, count = np.zeros(shape, np.int32), np.empty(shape, _U), np.empty(shape, np.uint8)
+    for p in reversed(range(LEVELS)):
+        dots += dots
         for w in range(codes.shape[1]):
-            dots += np.bitwise_count(planes[:, p, w, None] & codes[None, :, w]).astype(np.int32) << p
+            dots += np.bitwise_count(np.bitwise_and(planes[:, p, w, None], codes[:, w], out=both), out=count)
     least, step, total, lost, size = (c[:, None] for c in scale.T)
-    t = (least * (2 * ones - width) + step * (2.0 * dots - total)) / np.sqrt(width)
-    lost = lost / np.sqrt(width)
-    reach = off * np.sqrt(np.maximum(size * size - np.maximum(np.abs(t) - lost, 0) ** 2, 0)) + along * lost
-    reach += 1e-9 * size * (along + off) + 1e-6
-    middle = along * t
-    return middle - reach, middle + reach
+    least, step, lost = least / np.sqrt(width), step / np.sqrt(width), lost / np.sqrt(width)
+    slack = 1e-9 * size  # for what floats round away
+    t, more = dots * (2 * step), least * signs
+    more -= step * total
+    t += more
+    reach = np.abs(t)
+    reach -= lost
+    np.maximum(reach, 0, out=reach)
+    reach *= reach
+    np.subtract(size * size, reach, out=reach)
+    np.maximum(reach, 0, out=reach)
+    np.sqrt(reach, out=reach)
+    reach += slack
+    reach *= off
+    reach += np.multiply(along, lost + slack, out=more)
+    reach += 1e-6
+    t *= along
+    np.subtract(t, reach, out=more)
+    t += reach
+    return more, t
 
 
 class Block:
@@ -117,7 +137,15 @@ class Block:
             self.codes, self.along, self.off = self.raw[0].view(_U).reshape(n, -1), self.raw[1].view(np.float64), self.raw[2].view(np.float64)
         else:
             self.planes, self.scale = self.raw[0].view(_U).reshape(n, LEVELS, -1), self.raw[1].view(np.float64).reshape(n, -1)
-            self.asks = self.raw[2].view(np.int64).reshape(-1, 3)  # row, positive, its score
+            self.asks = self.raw[2].view(np.int64).reshape(-1, 3)  # row, positive, its score; by row
+
+    @cached_property
+    def floats(self) -> np.ndarray:
+        return self.x.astype(np.float64)
+
+    @cached_property
+    def largest(self) -> float:
+        return max(float(self.x.max()), -float(self.x.min())) if self.x.size else 0.0
 
 
 def _scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -130,56 +158,95 @@ class Best:
     more has to reach."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.bar = k, np.full(n, -np.inf)
-        self.who, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+        self.k, self.bar, self.count = k, np.full(n, -np.inf), np.zeros(n, np.int64)
+        self.score, self.id = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+
+    def _held(self, askers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, place = np.nonzero(np.arange(self.k) < self.count[askers, None])
+        who = askers[i]
+        return who, self.score[who, place], self.id[who, place]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(asker, score, id)"""
+        return self._held(np.arange(len(self.count)))
 
     def add(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         if not len(who):
             return
-        who, score, ids = np.concatenate([self.who, who]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
-        order = np.lexsort((ids, -score, who))
+        who, score, ids = (np.concatenate(c) for c in zip(self._held(np.unique(who)), (who, score, ids), strict=True))
+        order = np.lexsort((ids, ~score, who))
         who, score, ids = who[order], score[order], ids[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         keep = place < self.k
-        self.who, self.score, self.id = who[keep], score[keep], ids[keep]
-        last = place[keep] == self.k - 1
-        self.bar[self.who[last]] = self.score[last]
+        who, score, ids, place = who[keep], score[keep], ids[keep], place[keep]
+        self.score[who, place], self.id[who, place] = score, ids
+        np.maximum.at(self.count, who, place + 1)
+        last = place == self.k - 1
+        self.bar[who[last]] = score[last]
+
+
+def _tiles(a: Block, r: Block) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Some of the anchors, and bounds of their scores with all rows."""
+    n = max(1, TILE // len(r.ids))
+    for k in range(0, len(a.ids), n):
+        part = slice(k, k + n)
+        yield part, *intervals(a.planes[part], a.scale[part], r.codes, r.along, r.off)
+
+
+def _pairs(need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(need), need.shape[1])
+
+
+def _scored(a: Block, r: Block, part: slice, need: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, row, score) of the pairs of a tile that are needed, if they score from ``least`` to ``most``."""
+    if np.count_nonzero(need) > DENSE * need.size and a.largest * r.largest * a.x.shape[1] < 2**53:  # whole numbers, as floats too
+        scores = a.floats[part] @ r.floats.T
+        need &= scores >= least[part, None]
+        need &= scores <= most[part, None]
+        i, j = _pairs(need)
+        return i + part.start, j, scores[i, j].astype(np.int64)
+    i, j = _pairs(need)
+    i += part.start
+    s = _scores(a.x, r.x, i, j)
+    keep = (s >= least[i]) & (s <= most[i])
+    return i[keep], j[keep], s[keep]
 
 
 def _positives(a: Block, r: Block, best: Best) -> int:
     """Rows of the anchors' labels that may be among their best; how many were scored."""
-    low, high = intervals(a.planes, a.scale, r.codes, r.along, r.off)
-    other = (a.labels[:, None] != r.labels) | (a.ids[:, None] == r.ids)
-    low[other], high[other] = -np.inf, -np.inf
-    bar = best.bar
-    if len(r.ids) >= best.k:  # as many certainly reach the k-th largest lower bound
-        bar = np.maximum(bar, -np.partition(-low, best.k - 1, axis=1)[:, best.k - 1])
-    i, j = np.nonzero((high >= bar[:, None]) & ~other)
-    best.add(i, _scores(a.x, r.x, i, j), r.ids[j])
-    return len(i)
+    scored, most = 0, np.full(len(a.ids), np.inf)
+    for part, low, high in _tiles(a, r):
+        need = (a.labels[part, None] == r.labels) & (a.ids[part, None] != r.ids)
+        bar = best.bar.copy()
+        if len(r.ids) >= best.k and np.isneginf(bar[part]).any():  # as many certainly reach the k-th largest lower bound
+            low[~need] = -np.inf
+            bar[part] = np.maximum(bar[part], -np.partition(-low, best.k - 1, axis=1)[:, best.k - 1])
+        need &= high >= bar[part, None]
+        scored += np.count_nonzero(need)
+        i, j, s = _scored(a, r, part, need, bar, most)
+        best.add(i, s, r.ids[j])
+    return scored
 
 
 def _negatives(a: Block, r: Block, best: Best, bounds: tuple[np.ndarray, np.ndarray]) -> int:
     """Rows of other labels that may be among the best between the asks' bounds."""
-    low, high = intervals(a.planes, a.scale, r.codes, r.along, r.off)
-    high[a.labels[:, None] == r.labels] = -np.inf
-    who, (least, most) = a.asks[:, 0], bounds
-    floor = np.maximum(least, best.bar)
-    found, need = [], np.zeros(low.shape, bool)
-    for k in range(0, len(who), ANCHORS):
-        part = who[k : k + ANCHORS]
-        hit = (high[part] >= floor[k : k + ANCHORS, None]) & (low[part] <= most[k : k + ANCHORS, None])
-        np.logical_or.at(need, part, hit)
-        ask, j = np.nonzero(hit)
-        found.append((ask + k, j))
-    i, j = np.nonzero(need)
-    scores = np.zeros(low.shape, np.int64)
-    scores[i, j] = _scores(a.x, r.x, i, j)
-    for ask, row in found:
-        s = scores[who[ask], row]
-        keep = (s >= least[ask]) & (s <= most[ask])
-        best.add(ask[keep], s[keep], r.ids[row[keep]])
-    return len(i)
+    scored, who, (least, most) = 0, a.asks[:, 0], bounds
+    first = np.searchsorted(who, np.arange(len(a.ids) + 1))
+    lowest, highest = np.full(len(a.ids), np.inf), np.full(len(a.ids), -np.inf)  # of an anchor's asks
+    np.minimum.at(lowest, who, np.maximum(least, best.bar))
+    np.maximum.at(highest, who, most)
+    for part, low, high in _tiles(a, r):
+        need = a.labels[part, None] != r.labels
+        need &= high >= lowest[part, None]
+        need &= low <= highest[part, None]
+        scored += np.count_nonzero(need)
+        i, j, s = _scored(a, r, part, need, lowest, highest)
+        n = first[i + 1] - first[i]
+        pair = np.repeat(np.arange(len(i)), n)
+        ask = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + first[i[pair]]
+        keep = (s[pair] >= least[ask]) & (s[pair] <= most[ask]) & (s[pair] >= best.bar[ask])
+        best.add(ask[keep], s[pair[keep]], r.ids[j[pair[keep]]])
+    return scored
 
 
 def _search(dim: int, k: int, window: tuple[int, int] | None, counted: bool = False) -> Callable[[_Batches], _Batches]:
@@ -189,11 +256,12 @@ def _search(dim: int, k: int, window: tuple[int, int] | None, counted: bool = Fa
     anchor_names, row_names = [f"a_{c.split()[0]}" for c in _ASKS.split(", ")], [c.split()[0] for c in _PACK.split(", ")]
 
     def told(a: Block, best: Best) -> pa.RecordBatch:
+        who, score, ids = best.all()
         if window is None:
-            columns = [a.ids[best.who], a.ids[best.who], np.zeros(len(best.who), np.int64)]
+            columns = [a.ids[who], a.ids[who], np.zeros(len(who), np.int64)]
         else:
-            columns = [a.ids[a.asks[best.who, 0]], a.asks[best.who, 1], a.asks[best.who, 2]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, best.id, best.score)], ["anchor", "positive", "positive_score", "id", "score"])
+            columns = [a.ids[a.asks[who, 0]], a.asks[who, 1], a.asks[who, 2]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, ids, score)], ["anchor", "positive", "positive_score", "id", "score"])
 
     def run(batches: _Batches) -> _Batches:
         held: dict[int, tuple] = {}
@@ -202,15 +270,11 @@ def _search(dim: int, k: int, window: tuple[int, int] | None, counted: bool = Fa
             numbers = batch.column(batch.schema.get_field_index("a")).to_pylist()
             for row, number in enumerate(numbers):
                 if number not in held:
-                    if len(held) >= HELD:
-                        spent = held.pop(next(iter(held)))
-                        if not counted:
-                            yield told(*spent[:2])
                     a = Block(batch, row, anchor_names[:3] + ["a_planes", "a_scale", "a_asks"], dim)
                     bounds = None
                     if window is not None:  # least * p <= 100 * s <= most * p, in integers
                         p = a.asks[:, 2].astype(object)
-                        bounds = tuple(np.array(b, np.float64) for b in (-(-window[0] * p // 100), window[1] * p // 100))
+                        bounds = tuple(np.array(b, np.int64) for b in (-(-window[0] * p // 100), window[1] * p // 100))
                     held[number] = (a, Best(len(a.ids) if window is None else len(a.asks), k), bounds)
                 a, best, bounds = held[number]
                 r = Block(batch, row, row_names, dim)
@@ -281,23 +345,25 @@ class Miner:
         self.rows, self.dim = rows, dim
         self.per = lambda most: max(1, min(most, BLOCK_BYTES // (8 * max(dim, 1))))
         self.packs = stash(rows.select("id", "label", "x").mapInArrow(_packs(dim, self.per(ROWS)), _PACK), "vector-blocks")
-        self.groups = max(1, self.packs.count() // GROUP)
+        n, cores = self.packs.count(), rows.sparkSession.sparkContext.defaultParallelism
+        self.tasks = max(1, min(n // GROUP, max(2 * cores, n // MOST)))
 
     def search(self, anchors: DataFrame, k: int, window: tuple[int, int] | None = None, counted: bool = False) -> DataFrame:
         """anchors (id, label, x, asks) to the best of each task."""
         n = anchors.count()
+        schema = "pairs long, scored long" if counted else "anchor long, positive long, positive_score long, id long, score long"
         if not n:
-            schema = "anchor long, positive long, positive_score long, id long, score long"
-            return anchors.sparkSession.createDataFrame([], "pairs long, scored long" if counted else schema)
+            return anchors.sparkSession.createDataFrame([], schema)
         blocks = -(-n // self.per(ANCHORS))
         with batch_bytes(anchors.sparkSession, BATCH_BYTES):
             dealt = anchors.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)))
             asked = stash(dealt.groupBy("a").applyInArrow(_ask_pack(self.dim), f"a long, {_ASKS}"), "anchor-blocks")
-            asked = asked.select("a", *[F.col(c).alias(f"a_{c}") for c in _names(_ASKS)], F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("g"))
-            rows = self.packs.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(self.groups)).cast("int"))
-            rows = rows.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-            schema = "pairs long, scored long" if counted else "anchor long, positive long, positive_score long, id long, score long"
-            return stash(rows.join(asked, ["a", "g"]).drop("g").mapInArrow(_search(self.dim, k, window, counted), schema), "found")
+            asked = asked.select("a", *[F.col(c).alias(f"a_{c}") for c in _names(_ASKS)])
+            found = []
+            for lo in range(0, blocks, HELD):  # HELD blocks are small, however many anchors there are
+                some = F.broadcast(asked.where(F.col("a").between(lo, lo + HELD - 1)))
+                found.append(stash(self.packs.repartition(self.tasks).crossJoin(some).mapInArrow(_search(self.dim, k, window, counted), schema), "found"))
+            return reduce(DataFrame.union, found)
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:

@@ -159,6 +159,38 @@ def test_negatives_of_odd_tables(spark):
     assert [tuple(r) for r in hn.hard_negatives(df(rows), F.col("id") == 1).collect()] == [(1, 2, 1, 3, 65536, 32768)]
 
 
+def test_anchors_are_handed_over_once_for_all_rows(spark, monkeypatch):
+    """However many rows there are, Spark sends each anchor to a task once."""
+    for name, value in (("ROWS", 16), ("GROUP", 1), ("ANCHORS", 64), ("HELD", 2)):
+        monkeypatch.setattr(hn, name, value)
+    rows = vectors(random.Random(7), 3000, 20)
+    name, before = "spark.sql.maxBroadcastTableSize", spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set(name, str(6 << 20))
+    try:
+        got = hn.hard_negatives(spark.createDataFrame(rows, VECS), F.col("id") % 20 == 0).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert {tuple(r) for r in got} == brute_negatives(rows, lambda i: i % 20 == 0) and len(got) == len(set(got)) > 500
+
+
+@pytest.mark.parametrize("far", [1, 2**22])
+def test_all_scores_of_a_tile_or_a_few(monkeypatch, far):
+    """Pairs that are few, and scores that floats don't hold, are summed in integers."""
+    rng = np.random.default_rng(9)
+    blocks = [hn.Block.__new__(hn.Block), hn.Block.__new__(hn.Block)]
+    for n, b in zip((40, 300), blocks, strict=True):
+        b.x = rng.integers(-120, 120, (n, 50)) * far
+        b.x[:, 0] += 1
+    a, r = blocks
+    exact, part = a.x @ r.x.T, slice(8, 40)
+    least, most = np.full(40, -(2.0**20) * far * far), np.full(40, 2.0**17 * far * far)
+    for share in (0.001, 0.9):
+        need = rng.random((32, 300)) < share
+        want = {(i + 8, j, exact[i + 8, j]) for i, j in zip(*np.nonzero(need), strict=True) if least[0] <= exact[i + 8, j] <= most[0]}
+        got = list(zip(*hn._scored(a, r, part, need.copy(), least, most), strict=True))
+        assert set(got) == want and len(got) == len(want) > 0
+
+
 # ---- fingerprints
 
 DOCS = "doc_id long, text string, fingerprint string, component long"
